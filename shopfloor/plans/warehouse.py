@@ -59,10 +59,15 @@ def sales_view(numbered: DataFrame) -> DataFrame:
 class Warehouse:
     _open: dict[tuple[int, str], "Warehouse"] = {}
 
-    def __init__(self, spark: SparkSession, sf_dir: str, storage: Storage):
+    def __init__(self, spark: SparkSession, sf_dir: str, storage: Storage,
+                 parent: "Warehouse | None" = None, condition=None):
         self.spark = spark
         self.sf_dir = sf_dir
         self.storage = storage
+        self.parent = parent
+        self.condition = condition
+        self.memo: dict[str, object] = {}
+        self._slices: dict[str, Warehouse] = {}
         self._sales: DataFrame | None = None
         self._star: star_ops.Star | None = None
         self._nested: DataFrame | None = None
@@ -79,8 +84,19 @@ class Warehouse:
         return cls._open[key]
 
     # -- staging ---------------------------------------------------------------
+    def slice(self, name: str, condition) -> "Warehouse":
+        """The same layouts over the order lines that satisfy ``condition``
+        (a Column), kept in a subfolder; line numbers stay global."""
+        if name not in self._slices:
+            self._slices[name] = Warehouse(self.spark, self.sf_dir,
+                                           Storage(self.spark, self.storage.path("slices", name)),
+                                           parent=self, condition=condition)
+        return self._slices[name]
+
     def sales(self) -> DataFrame:
         """Typed order lines with a global 0-based ``line_no``."""
+        if self._sales is None and self.parent is not None:
+            self._sales = self.parent.sales().where(self.condition)
         if self._sales is None:
             st = self.storage
             if st.is_done("stage", "sales"):

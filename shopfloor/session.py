@@ -23,6 +23,7 @@ def build_session(master: str = "local[8]", app_name: str = "shopfloor",
     """Local session for tests and the bench; a cluster passes its own session."""
     builder = (SparkSession.builder.master(master).appName(app_name)
                .config("spark.ui.enabled", "false")
+               .config("spark.ui.showConsoleProgress", "false")
                .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
                .config("spark.driver.memory", "16g"))
     for key, value in {**SESSION_DEFAULTS, **(extra or {})}.items():
