@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # A side is broadcast only when its row count, known exactly from the build
@@ -12,7 +12,31 @@ from pyspark.sql import functions as F
 BROADCAST_MAX_BYTES = 64 * 1024 * 1024
 
 
+# Parquet on disk is compressed; in memory a table can be several times larger.
+PARQUET_EXPANSION = 8
+
+
 def maybe_broadcast(df: DataFrame, rows: int | None, row_bytes: int = 256) -> DataFrame:
+    """Broadcast ``df`` when its exact row count bounds it under the limit."""
     if rows is not None and rows * row_bytes <= BROADCAST_MAX_BYTES:
         return F.broadcast(df)
     return df
+
+
+def file_bytes(spark: SparkSession, *paths: str) -> int:
+    """Total size of the files under ``paths`` (Hadoop FS metadata, no scan)."""
+    jvm = spark._jvm
+    conf = spark._jsc.hadoopConfiguration()
+    total = 0
+    for path in paths:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        total += p.getFileSystem(conf).getContentSummary(p).getLength()
+    return total
+
+
+def broadcast_if_files_small(df: DataFrame, on_disk_bytes: int) -> DataFrame:
+    """Broadcast a side derived from files of ``on_disk_bytes`` (its size
+    bound) when the expanded size stays under the limit."""
+    if on_disk_bytes * PARQUET_EXPANSION <= BROADCAST_MAX_BYTES:
+        return F.broadcast(df)
+    return df

@@ -12,6 +12,8 @@ them into offsets. The final number is offset[partition] + position + start.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,6 +44,7 @@ def _number_expr(offsets: list[int], start: int) -> Column:
 
 def number_rows(df: DataFrame, order_cols: list[str | Column], name: str, storage: Storage,
                 stage: str, start: int = 0, num_partitions: int | None = None,
+                then: Callable[[DataFrame], DataFrame] | None = None,
                 ) -> tuple[DataFrame, int]:
     """Add ``name`` = start + 0-based rank of each row in ``order_cols`` order.
 
@@ -49,12 +52,17 @@ def number_rows(df: DataFrame, order_cols: list[str | Column], name: str, storag
     first, ascending). Rows tied on every ordering column get distinct
     numbers in an unspecified order, as with ``row_number``. Returns the
     numbered frame (read from the staged files) and the row count.
+
+    ``then`` runs on the numbered rows before they are written (e.g. joins
+    that add columns); it must keep every row, or the offsets are wrong.
     """
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = (df.repartitionByRange(n, *order_cols)
               .sortWithinPartitions(*order_cols)
               .withColumn(_ROW_ID, F.monotonically_increasing_id()))
+    if then is not None:
+        ranged = then(ranged)
     staged = storage.write(ranged, "stage", stage)
     return numbered_view(staged, name, start)
 

@@ -24,7 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import money, ratio
-from ..functions.joins import maybe_broadcast
+from ..functions.distinct_sets import distinct_sets
+from ..functions.joins import broadcast_if_files_small, file_bytes
 from ..plans.storage import Storage
 
 NODE_KEYS = {
@@ -56,10 +57,13 @@ SALE_MEASURES = ["sales_amount", "quantity", "profit_amount"]
 class Graph:
     nodes: dict[str, DataFrame]
     edges: dict[str, DataFrame]
+    # on-disk bytes of the small node tables: their broadcast size bound
     rows: dict[str, int] = field(default_factory=dict)
 
     def node(self, label: str) -> DataFrame:
-        return maybe_broadcast(self.nodes[label], self.rows.get(label))
+        size = self.rows.get(label)
+        return self.nodes[label] if size is None else broadcast_if_files_small(
+            self.nodes[label], size)
 
 
 def _first(col: str, order: str = "line_no"):
@@ -109,22 +113,49 @@ def graph_edges(sales: DataFrame, unique_sales: bool = False) -> dict[str, DataF
 
 def write_graph(nodes: dict[str, DataFrame], edges: dict[str, DataFrame], storage: Storage,
                 name: str = "graph") -> Graph:
-    """K6: node and edge parquet, one folder per label / type. Row counts of
-    the small tables are kept so later joins can check a broadcast."""
-    out_nodes, out_edges, rows = {}, {}, {}
+    """K6: node and edge parquet, one folder per label / type. The on-disk
+    size of each small node table is kept as its broadcast bound."""
+    out_nodes, out_edges, sizes = {}, {}, {}
     for label, df in nodes.items():
         out_nodes[label] = storage.write(df, name, "nodes", label)
         if label != "Sale":
-            rows[label] = out_nodes[label].count()
+            sizes[label] = file_bytes(storage.spark, storage.path(name, "nodes", label))
     for etype, df in edges.items():
         out_edges[etype] = storage.write(df, name, "edges", etype)
-    return Graph(out_nodes, out_edges, rows)
+    return Graph(out_nodes, out_edges, sizes)
 
 
 def build_graph(sales: DataFrame, storage: Storage, name: str = "graph",
                 unique_sales: bool = False) -> Graph:
-    return write_graph(graph_nodes(sales, unique_sales), graph_edges(sales, unique_sales),
-                       storage, name)
+    """Nodes and edges from order lines. The small tables (seven labels,
+    two edge types) come from one grouping-sets scan of the lines."""
+    small = distinct_sets(
+        sales,
+        {"Product": ["product_name"], "Category": ["category"],
+         "Customer": ["customer_name"], "State": ["state"], "ShipMode": ["ship_mode"],
+         "Date": ["order_date"], "Month": ["year", "month"],
+         "IN_CATEGORY": ["product_name", "category"],
+         "IN_MONTH": ["order_date", "year", "month"]},
+        storage, f"{name}-sets",
+        firsts={"State": {"region": "region"}, "Month": {"month_name": "month_name"}})
+    lazy_nodes = graph_nodes(sales, unique_sales)
+    lazy_edges = graph_edges(sales, unique_sales)
+    nodes = {
+        "Sale": lazy_nodes["Sale"],
+        "Product": small["Product"],
+        "Category": small["Category"].withColumnRenamed("category", "category_name"),
+        "Customer": small["Customer"],
+        "State": small["State"].withColumnRenamed("state", "state_name"),
+        "ShipMode": small["ShipMode"].withColumnRenamed("ship_mode", "ship_mode_name"),
+        "Date": small["Date"].withColumnRenamed("order_date", "date"),
+        "Month": small["Month"],
+    }
+    edges = {e: lazy_edges[e] for e in EDGE_ENDS if EDGE_ENDS[e][0] == "Sale"}
+    edges["IN_CATEGORY"] = small["IN_CATEGORY"].select(F.col("product_name").alias("src"),
+                                                        F.col("category").alias("dst"))
+    edges["IN_MONTH"] = small["IN_MONTH"].select(F.col("order_date").alias("src"),
+                                                  F.struct("year", "month").alias("dst"))
+    return write_graph(nodes, edges, storage, name)
 
 
 # ---------------------------------------------------------------------------

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import money, month_name, ratio
+from ..functions.distinct_sets import distinct_sets
 from ..functions.joins import maybe_broadcast
 from ..functions.keys import dense_keys
 from ..plans.storage import Storage
@@ -69,6 +70,19 @@ def star_source(sales: DataFrame) -> dict[str, DataFrame]:
     }
 
 
+def star_sources_one_scan(sales: DataFrame, storage: Storage, prefix: str
+                          ) -> dict[str, DataFrame]:
+    """``star_source`` computed with one grouping-sets scan of the staging."""
+    s = sales.withColumns({"category_name": F.col("category"),
+                           "ship_mode_name": F.col("ship_mode")})
+    sets = {"dim_date": ["year", "month", "month_name"],
+            "dim_product": ["product_name", "category_name"],
+            "dim_customer": ["customer_name"],
+            "dim_location": ["state", "region"],
+            "dim_ship_mode": ["ship_mode_name"]}
+    return distinct_sets(s, sets, storage, f"{prefix}-sets")
+
+
 def fact_rows(sales: DataFrame, dims: dict[str, DataFrame], rows: dict[str, int]) -> DataFrame:
     """Look up the five keys of every sale (inner joins, as the star load does)."""
     f = sales.withColumns({
@@ -88,9 +102,9 @@ def build_star(sales: DataFrame, storage: Storage, prefix: str = "star") -> Star
     is ``line_no + 1`` (rows are inserted in line order).
     """
     dims, rows = {}, {}
+    sources = star_sources_one_scan(sales, storage, prefix)
     for name, (key, natural, attrs) in DIMENSIONS.items():
-        src = star_source(sales)[name]
-        keyed, n = dense_keys(src, natural, key, storage, f"{prefix}-{name}")
+        keyed, n = dense_keys(sources[name], natural, key, storage, f"{prefix}-{name}")
         dims[name] = storage.write(keyed.select(key, *natural, *attrs), prefix, name)
         rows[name] = n
     sales = sales.withColumn("sales_fact_id", F.col("line_no") + 1)

@@ -22,7 +22,8 @@ from ..operators import graph as graph_ops
 from ..operators import nested as nested_ops
 from ..operators import star as star_ops
 from ..session import apply_defaults, shared_dir
-from ..sources.tables import LINE_ORDER, SALES_COLUMNS, order_lines_unnumbered, table_path
+from ..sources.tables import (LINE_ORDER, SALES_COLUMNS, attach_orders, lineitem_lines,
+                              table_path)
 from .storage import Storage
 
 _PACKAGE = pathlib.Path(__file__).resolve().parents[1]
@@ -51,7 +52,7 @@ def _fingerprint(spark: SparkSession, sf_dir: str) -> str:
 
 def sales_view(numbered: DataFrame) -> DataFrame:
     """Order lines as the layouts read them: staging columns, sale id, calendar."""
-    s = numbered.select(*SALES_COLUMNS).withColumn(
+    s = numbered.where("_matched").select(*SALES_COLUMNS).withColumn(
         "sales_fact_id", sale_id("order_id", "line_no"))
     return calendar_cols(s, "order_date")
 
@@ -102,8 +103,10 @@ class Warehouse:
             if st.is_done("stage", "sales"):
                 numbered, _ = numbered_view(st.read("stage", "sales"), "line_no")
             else:
-                raw = order_lines_unnumbered(self.spark, self.sf_dir)
-                numbered, _ = number_rows(raw, LINE_ORDER, "line_no", st, "sales")
+                lines = lineitem_lines(self.spark, self.sf_dir)
+                numbered, _ = number_rows(
+                    lines, LINE_ORDER, "line_no", st, "sales",
+                    then=lambda df: attach_orders(df, self.spark, self.sf_dir))
                 st.mark_done("stage", "sales")
             self._sales = sales_view(numbered)
         return self._sales

@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.joins import broadcast_if_files_small, file_bytes
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "embeddings", "pages", "benchmark", "labels",
           "conversations")
@@ -35,14 +37,24 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(table_path(sf_dir, name))
 
 
-def order_lines_unnumbered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Joined order lines with the raw ordering columns, before numbering.
+def lineitem_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lineitem columns the order lines need (all of them order the lines)."""
+    return read_table(spark, sf_dir, "lineitem").select(*LINE_ORDER)
+
+
+def attach_orders(lines: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order, customer, nation, region and part columns for each line.
 
-    Join order keeps the big join last: customer + nation + region first
-    (small), then orders, then lineitem and part. Size-based strategy is
-    left to Catalyst/AQE: the tiny tables go broadcast by their file
-    statistics, the big ones sort-merge, and AQE splits hot join keys.
+    Left joins keep every line (numbering offsets count all of them);
+    ``_matched`` marks the lines that find all five, i.e. the inner join.
+    The lines are always the streamed side; every other input is joined in
+    order of size and broadcast only when the bytes of the files it comes
+    from bound it under the broadcast limit - otherwise a shuffle join
+    that AQE may turn into a broadcast at run time, or split where a key
+    is hot.
     """
+    size = {t: file_bytes(spark, table_path(sf_dir, t))
+            for t in ("region", "nation", "customer", "orders", "part")}
     region = read_table(spark, sf_dir, "region").select("r_regionkey", "r_name")
     nation = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
     customer = read_table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey")
@@ -50,21 +62,30 @@ def order_lines_unnumbered(spark: SparkSession, sf_dir: str) -> DataFrame:
         "o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
     part = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type",
                                                     "p_retailprice")
-    lineitem = read_table(spark, sf_dir, "lineitem").select(*LINE_ORDER)
 
-    geo = (nation.join(region, nation.n_regionkey == region.r_regionkey)
+    geo_bytes = size["nation"] + size["region"]
+    geo = (nation.join(broadcast_if_files_small(region, size["region"]),
+                       nation.n_regionkey == region.r_regionkey)
            .select("n_nationkey", "n_name", "r_name"))
-    cust = (customer.join(geo, customer.c_nationkey == geo.n_nationkey)
+    cust = (customer.join(broadcast_if_files_small(geo, geo_bytes),
+                          customer.c_nationkey == geo.n_nationkey)
             .select("c_custkey", "c_name", "n_name", "r_name"))
-    order_rows = orders.join(cust, orders.o_custkey == cust.c_custkey)
-    lines = (lineitem.join(order_rows, lineitem.l_orderkey == order_rows.o_orderkey)
-             .join(part, lineitem.l_partkey == part.p_partkey))
+    cust_bytes = geo_bytes + size["customer"]
+    order_rows = orders.join(broadcast_if_files_small(cust, cust_bytes),
+                             orders.o_custkey == cust.c_custkey)
+    joined = (lines
+              .join(broadcast_if_files_small(order_rows, cust_bytes + size["orders"]),
+                    lines.l_orderkey == order_rows.o_orderkey, "left")
+              .join(broadcast_if_files_small(part, size["part"]),
+                    lines.l_partkey == part.p_partkey, "left"))
 
     sales_amount = F.col("l_extendedprice").cast("decimal(18,2)")
     profit = (sales_amount - F.col("l_quantity").cast("decimal(9,2)")
               * F.col("p_retailprice").cast("decimal(9,2)")).cast("decimal(18,4)")
-    return lines.select(
-        *LINE_ORDER,
+    keep = [c for c in lines.columns if c not in LINE_ORDER]
+    return joined.select(
+        *keep,
+        (F.col("o_orderkey").isNotNull() & F.col("p_partkey").isNotNull()).alias("_matched"),
         F.col("l_orderkey").cast("string").alias("order_id"),
         F.col("o_orderdate").cast("date").alias("order_date"),
         F.col("o_orderpriority").alias("ship_mode"),
