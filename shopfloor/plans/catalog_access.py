@@ -310,3 +310,48 @@ FROM (
 def check_graph_keys(spark: SparkSession, d: str) -> DataFrame:
     """L12 on the graph: node keys unique and not null."""
     return checks.graph_checks(_wh(spark, d).graph())
+
+
+# ---------------------------------------------------------------------------
+# Order lines through the reference's CSV format and back
+# ---------------------------------------------------------------------------
+
+def exported_order_lines(wh: Warehouse) -> str:
+    """The staging written once as order-line CSV (latin-1, header row)."""
+    from ..sources.csv_orders import write_order_lines
+    st = wh.storage
+    if not st.is_done("exports", "order_lines_csv"):
+        write_order_lines(wh.sales(), st.path("exports", "order_lines_csv", "files"))
+        st.mark_done("exports", "order_lines_csv")
+    return st.path("exports", "order_lines_csv", "files")
+
+
+@register("csv_roundtrip_category_totals", oracle.with_ctes("""
+SELECT category, COUNT(*) AS lines, CAST(SUM(sales_amount) AS DOUBLE) AS total_sales,
+       CAST(SUM(profit_amount) AS DOUBLE) AS total_profit, CAST(SUM(quantity) AS BIGINT) AS units
+FROM sales GROUP BY category"""))
+def csv_roundtrip_category_totals(spark: SparkSession, d: str) -> DataFrame:
+    """Export, read back with per-file line numbers, clean, aggregate."""
+    from ..functions.cleaning import clean_rows
+    from ..sources.csv_orders import read_order_lines_any_encoding
+    path = exported_order_lines(_wh(spark, d))
+    good, _skipped = clean_rows(read_order_lines_any_encoding(spark, [path], multiline=False))
+    return (good.groupBy("category")
+            .agg(F.count(F.lit(1)).alias("lines"),
+                 F.sum(F.col("sales_amount").cast("decimal(18,2)")).cast("double")
+                 .alias("total_sales"),
+                 F.sum(F.col("profit_amount").cast("decimal(18,4)")).cast("double")
+                 .alias("total_profit"),
+                 F.sum("quantity").cast("long").alias("units")))
+
+
+@register("csv_roundtrip_read_counts", oracle.with_ctes("""
+SELECT COUNT(*) AS rows_read, CAST(0 AS BIGINT) AS skipped FROM sales"""))
+def csv_roundtrip_read_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Rows read back from the exported files, and how many the cleaning rejects."""
+    from ..functions.cleaning import clean_columns
+    from ..sources.csv_orders import read_order_lines_any_encoding
+    path = exported_order_lines(_wh(spark, d))
+    checked = clean_columns(read_order_lines_any_encoding(spark, [path], multiline=False))
+    return checked.agg(F.count(F.lit(1)).alias("rows_read"),
+                       F.count("reject_reason").alias("skipped"))
