@@ -54,7 +54,7 @@ _register_questions()
 
 def _load_extensions() -> None:
     # Modules that add their own entries with ``register``.
-    from . import catalog_access, catalog_ingest, catalog_more  # noqa: F401
+    from . import catalog_access, catalog_ingest, catalog_more, catalog_streams  # noqa: F401
 
 
 _load_extensions()
