@@ -3,7 +3,8 @@ three layouts, with one outcome per event and sink.
 
 A sink that fails does not stop the others (as in the reference) and its
 error is recorded; unlike the reference the query checkpoints its offsets,
-so a batch is retried after a crash. Each layout lives as versions under
+so a batch is retried after a crash. Each layout records the last batch id
+it published, and a replayed batch skips the layouts that already have it. Each layout lives as versions under
 ``live/<layout>`` behind a pointer: a batch reads the current version,
 writes the next one and moves the pointer. New facts are written as their
 own part (``facts/epoch=<id>``, replaced on retry), so the star's fact
@@ -68,6 +69,11 @@ class LiveLayouts:
         return graph_ops.Graph(nodes, edges, meta.get("sizes", {}))
 
     # -- writing the next state -------------------------------------------
+    def applied(self, name: str, epoch: int) -> bool:
+        """True when ``epoch`` is already in the published version of ``name``."""
+        meta = self._meta(name)
+        return meta is not None and meta.get("last_epoch", -1) >= epoch >= 0
+
     def _publish(self, name: str, version: str, meta: dict) -> None:
         meta = {**meta, "version": version}
         self.storage.write_text(json.dumps(meta), name, version, "_META")
@@ -88,17 +94,18 @@ class LiveLayouts:
                 self.storage.path("star", version, name))
         facts = star.fact_sales if new_facts is None else new_facts
         facts.write.mode("overwrite").parquet(self.storage.path("star_facts", f"epoch={epoch}"))
-        self._publish("star", version, {"rows": star.rows, "fact_parts": parts + [epoch]})
+        self._publish("star", version, {"rows": star.rows, "fact_parts": parts + [epoch],
+                                        "last_epoch": epoch})
 
-    def write_nested(self, nested: DataFrame) -> None:
+    def write_nested(self, nested: DataFrame, epoch: int = -1) -> None:
         version = self.storage.new_version("nested")
         nested.write.mode("overwrite").parquet(self.storage.path("nested", version, "sales"))
-        self._publish("nested", version, {})
+        self._publish("nested", version, {"last_epoch": epoch})
 
-    def write_graph(self, g: graph_ops.Graph) -> None:
+    def write_graph(self, g: graph_ops.Graph, epoch: int = -1) -> None:
         version = self.storage.new_version("graph")
         out = graph_ops.write_graph(g.nodes, g.edges, self.storage, f"graph/{version}")
-        self._publish("graph", version, {"sizes": out.rows})
+        self._publish("graph", version, {"sizes": out.rows, "last_epoch": epoch})
 
     # -- one micro-batch ---------------------------------------------------------
     def apply_star(self, events: DataFrame, epoch: int) -> None:
@@ -108,10 +115,10 @@ class LiveLayouts:
         self.write_star(new, epoch, new.fact_sales.where(F.col("sales_fact_id") > top))
 
     def apply_nested(self, events: DataFrame, epoch: int) -> None:
-        self.write_nested(ingest.upsert_nested(self.nested(), events))
+        self.write_nested(ingest.upsert_nested(self.nested(), events), epoch)
 
     def apply_graph(self, events: DataFrame, epoch: int) -> None:
-        self.write_graph(ingest.merge_graph(self.graph(), events, on_match=True))
+        self.write_graph(ingest.merge_graph(self.graph(), events, on_match=True), epoch)
 
 
 def fan_out(live: LiveLayouts, fail: dict[str, Exception] | None = None):
@@ -126,7 +133,8 @@ def fan_out(live: LiveLayouts, fail: dict[str, Exception] | None = None):
                 try:
                     if fail and sink in fail:
                         raise fail[sink]
-                    getattr(live, f"apply_{sink}")(events, epoch_id)
+                    if not live.applied(sink, epoch_id):  # a replayed batch
+                        getattr(live, f"apply_{sink}")(events, epoch_id)
                     outcomes[sink] = "ok"
                 except Exception as exc:  # one sink's failure is its own outcome
                     outcomes[sink] = f"ERR: {type(exc).__name__}: {str(exc)[:300]}"
