@@ -140,9 +140,7 @@ class Warehouse:
             st = self.storage
             if st.is_done("graph"):
                 rows = json.loads(st.read_text("graph", "_ROWS"))
-                nodes = {n: st.read("graph", "nodes", n) for n in graph_ops.NODE_KEYS}
-                edges = {e: st.read("graph", "edges", e) for e in graph_ops.EDGE_ENDS}
-                self._graph = graph_ops.Graph(nodes, edges, rows)
+                self._graph = graph_ops.open_graph(st, "graph", rows)
             else:
                 self._graph = graph_ops.build_graph(self.sales(), st, "graph", unique_sales=True)
                 st.write_text(json.dumps(self._graph.rows), "graph", "_ROWS")

@@ -63,10 +63,8 @@ class LiveLayouts:
         meta = self._meta("graph")
         if meta is None:
             return None
-        v = meta["version"]
-        nodes = {n: self.storage.read("graph", v, "nodes", n) for n in graph_ops.NODE_KEYS}
-        edges = {e: self.storage.read("graph", v, "edges", e) for e in graph_ops.EDGE_ENDS}
-        return graph_ops.Graph(nodes, edges, meta.get("sizes", {}))
+        return graph_ops.open_graph(self.storage, f"graph/{meta['version']}",
+                                    meta.get("sizes", {}))
 
     # -- writing the next state -------------------------------------------
     def applied(self, name: str, epoch: int) -> bool:
