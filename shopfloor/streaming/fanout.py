@@ -8,8 +8,9 @@ it published, and a replayed batch skips the layouts that already have it. Each
 ``live/<layout>`` behind a pointer: a batch reads the current version,
 writes the next one and moves the pointer. New facts are written as their
 own part (``facts/epoch=<id>``, replaced on retry), so the star's fact
-table is never rewritten; the nested set and the graph are rewritten per
-batch (see README: a partitioned rewrite is the next step).
+table is never rewritten. The nested set is kept one folder per order
+month and a batch rewrites only the months it touches. The graph is
+rewritten per batch (see README).
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ import json
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators import graph as graph_ops
 from ..operators import ingest
@@ -57,7 +59,15 @@ class LiveLayouts:
 
     def nested(self) -> DataFrame | None:
         meta = self._meta("nested")
-        return None if meta is None else self.storage.read("nested", meta["version"], "sales")
+        if meta is None:
+            return None
+        return self._read_months(meta, list(meta["months"].values()))
+
+    def _read_months(self, meta: dict, dirs: list[str]) -> DataFrame:
+        schema = T.StructType.fromJson(json.loads(meta["schema_json"]))
+        if not dirs:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*dirs)
 
     def graph(self) -> graph_ops.Graph | None:
         meta = self._meta("graph")
@@ -95,10 +105,20 @@ class LiveLayouts:
         self._publish("star", version, {"rows": star.rows, "fact_parts": parts + [epoch],
                                         "last_epoch": epoch})
 
-    def write_nested(self, nested: DataFrame, epoch: int = -1) -> None:
+    def write_nested(self, nested: DataFrame, epoch: int = -1,
+                     keep: dict[str, str] | None = None) -> None:
+        """Write ``nested`` one folder per order month; ``keep`` are months
+        (key -> folder) carried over unchanged from the previous version."""
         version = self.storage.new_version("nested")
-        nested.write.mode("overwrite").parquet(self.storage.path("nested", version, "sales"))
-        self._publish("nested", version, {"last_epoch": epoch})
+        root = self.storage.path("nested_months", version)
+        (nested.withColumns({"_y": F.col("date.year"), "_m": F.col("date.month")})
+         .write.mode("overwrite").partitionBy("_y", "_m").parquet(root))
+        written = (self.spark.read.parquet(root).select("_y", "_m").distinct().collect())
+        months = dict(keep or {})
+        for r in written:
+            months[f"{r['_y']}-{r['_m']}"] = f"{root}/_y={r['_y']}/_m={r['_m']}"
+        self._publish("nested", version, {"last_epoch": epoch, "months": months,
+                                          "schema_json": nested.schema.json()})
 
     def write_graph(self, g: graph_ops.Graph, epoch: int = -1) -> None:
         version = self.storage.new_version("graph")
@@ -113,7 +133,23 @@ class LiveLayouts:
         self.write_star(new, epoch, new.fact_sales.where(F.col("sales_fact_id") > top))
 
     def apply_nested(self, events: DataFrame, epoch: int) -> None:
-        self.write_nested(ingest.upsert_nested(self.nested(), events), epoch)
+        """Keyed upsert that rewrites only the order months it touches: the
+        months of the incoming records and the months where replaced
+        records lived (a replay may move a sale to another month)."""
+        meta = self._meta("nested")
+        current = self.nested()
+        latest = ingest.nested_records(ingest.last_per_id(events))
+        month = F.concat_ws("-", F.col("date.year"), F.col("date.month"))
+        ids = latest.select("sales_fact_id")
+        old_months = current.join(ids, "sales_fact_id", "left_semi").select(month.alias("k"))
+        touched = {r.k for r in latest.select(month.alias("k")).union(old_months)
+                   .distinct().collect()}  # one row per month, bounded
+        dirs = [meta["months"][k] for k in touched if k in meta["months"]]
+        kept = (self._read_months(meta, dirs).join(ids, "sales_fact_id", "left_anti")
+                if dirs else None)
+        rewritten = latest if kept is None else kept.unionByName(latest)
+        untouched = {k: v for k, v in meta["months"].items() if k not in touched}
+        self.write_nested(rewritten, epoch, keep=untouched)
 
     def apply_graph(self, events: DataFrame, epoch: int) -> None:
         self.write_graph(ingest.merge_graph(self.graph(), events, on_match=True), epoch)

@@ -91,3 +91,36 @@ def test_other_sinks(spark, tmp_path):
     write_documents(nested, str(tmp_path / "docs"), fmt="json")
     back = spark.read.json(str(tmp_path / "docs"))
     assert back.select("customer.customer_name").first()[0] == "Ann"
+
+
+def test_nested_upsert_rewrites_only_touched_months(spark):
+    st = Storage(spark, tempfile.mkdtemp(prefix="live-", dir="/tmp"))
+    base = sales_frame(spark, BASE + [
+        ("O0", 9, "2017-02-10", "First", "Cy", "Oslo", "North", "Desk", "Furn", 5, 1, 1)])
+    live = LiveLayouts(spark, st)
+    live.write_nested(nested_ops.build_nested(base, st, "seed_nested"))
+    before = live._meta("nested")["months"]
+    events = ingest.normalize_events(sales_frame(spark, [
+        ("O2", 1, "2017-03-05", "Second", "Bob", "Bergen", "West", "Desk", "Furn", 40, 2, 4),
+        ("O0", 9, "2017-01-20", "First", "Cy", "Oslo", "North", "Desk", "Furn", 6, 1, 1)]))
+    live.apply_nested(events, 0)
+    after = live._meta("nested")["months"]
+    # Feb lost its only record (the sale moved to Jan): rewritten and now empty
+    assert set(after) == {"2017-1", "2017-3"}
+    assert after["2017-1"] != before["2017-1"]
+    got = {r.sales_fact_id: (r.date.month, float(r.sales_amount)) for r in live.nested().collect()}
+    assert got == {"O1-0": (1, 100.0), "O0-9": (1, 6.0), "O2-1": (3, 40.0)}
+
+
+def test_untouched_month_is_carried_over(spark):
+    st = Storage(spark, tempfile.mkdtemp(prefix="live-", dir="/tmp"))
+    base = sales_frame(spark, BASE)
+    live = LiveLayouts(spark, st)
+    live.write_nested(nested_ops.build_nested(base, st, "seed_nested"))
+    before = live._meta("nested")["months"]
+    events = ingest.normalize_events(sales_frame(spark, [
+        ("O2", 1, "2017-03-05", "Second", "Bob", "Bergen", "West", "Desk", "Furn", 40, 2, 4)]))
+    live.apply_nested(events, 0)
+    after = live._meta("nested")["months"]
+    assert after["2017-1"] == before["2017-1"]  # same folder: not rewritten
+    assert live.nested().count() == 2
