@@ -21,7 +21,8 @@ def distinct_sets(df: DataFrame, sets: dict[str, list[str]], storage: Storage, s
                   order: str = "line_no") -> dict[str, DataFrame]:
     """``sets``: table -> grouping columns. ``firsts``: table -> {output
     column: input column} taken from the first row in ``order``
-    (``min_by``). Returns table -> frame of its columns."""
+    (``min_by``). Returns table -> frame of its columns; the exact row
+    count of each table is in ``distinct_sets.counts`` of the result."""
     firsts = firsts or {}
     columns: list[str] = []
     for cols in sets.values():
@@ -35,10 +36,21 @@ def distinct_sets(df: DataFrame, sets: dict[str, list[str]], storage: Storage, s
     grouped = df.groupingSets([list(cols) for cols in sets.values()], *columns).agg(*aggs)
     staged = storage.write(grouped, "stage", stage)
     width = len(columns)
-    out = {}
+    per_gid = {int(r["_gid"]): int(r["n"])  # one row per set: bounded
+               for r in staged.groupBy("_gid").agg(F.count(F.lit(1)).alias("n")).collect()}
+    out = Tables()
     for table, cols in sets.items():
         gid = sum(1 << (width - 1 - i) for i, c in enumerate(columns) if c not in cols)
         picked = [F.col(c) for c in cols]
         picked += [F.col(f"_{table}__{o}").alias(o) for o in firsts.get(table, {})]
         out[table] = staged.where(F.col("_gid") == gid).select(*picked)
+        out.counts[table] = per_gid.get(gid, 0)
     return out
+
+
+class Tables(dict):
+    """table -> frame, with ``counts``: table -> exact row count."""
+
+    def __init__(self):
+        super().__init__()
+        self.counts: dict[str, int] = {}

@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.storage import Storage
@@ -74,8 +74,20 @@ def numbered_view(staged: DataFrame, name: str, start: int = 0) -> tuple[DataFra
     return numbered, total
 
 
+# A set whose exact row count is at most this is numbered in one task with a
+# plain window: cheaper than three jobs, and its size is proven, not assumed.
+SINGLE_TASK_MAX_ROWS = 1_000_000
+
+
 def dense_keys(df: DataFrame, order_cols: list[str], key: str, storage: Storage, stage: str,
-               start: int = 1) -> tuple[DataFrame, int]:
-    """Surrogate keys 1..n for distinct natural keys, in natural-key order."""
+               start: int = 1, known_rows: int | None = None) -> tuple[DataFrame, int]:
+    """Surrogate keys 1..n for distinct natural keys, in natural-key order.
+
+    ``known_rows``: the exact row count when the caller has it; a small set
+    is then numbered in one task, anything else by ``number_rows``."""
+    if known_rows is not None and known_rows <= SINGLE_TASK_MAX_ROWS:
+        w = Window.orderBy(*order_cols)
+        numbered = df.withColumn(key, F.row_number().over(w) + F.lit(start - 1))
+        return numbered.select(key, *[c for c in df.columns]), known_rows
     numbered, total = number_rows(df, order_cols, key, storage, stage, start=start)
     return numbered.select(key, *[c for c in numbered.columns if c != key]), total

@@ -20,11 +20,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import money, ratio
-from ..functions.distinct_sets import distinct_sets
 from ..functions.joins import broadcast_if_files_small, file_bytes
 from ..plans.storage import Storage
 
@@ -70,17 +70,36 @@ def _first(col: str, order: str = "line_no"):
     return F.min_by(F.col(col), F.col(order))
 
 
+def sale_nodes(sales: DataFrame, unique_sales: bool = False) -> DataFrame:
+    """Sale nodes; the first measures per sale id win (MERGE .. ON CREATE).
+    ``unique_sales`` skips the dedup when the input has one row per id."""
+    if unique_sales:
+        return sales.select("sales_fact_id", *SALE_MEASURES)
+    first = F.min_by(F.struct(*SALE_MEASURES), F.col("line_no"))
+    return (sales.groupBy("sales_fact_id").agg(first.alias("m"))
+            .select("sales_fact_id", *[F.col(f"m.{c}").alias(c) for c in SALE_MEASURES]))
+
+
+# edge type leaving a sale -> the order-line column of its far end
+SALE_EDGE_DST = {"OF_PRODUCT": "product_name", "BY_CUSTOMER": "customer_name",
+                 "SHIPPED_TO": "state", "ON_DATE": "order_date",
+                 "USES_SHIP_MODE": "ship_mode"}
+
+
+def sale_edges(sales: DataFrame, unique_sales: bool = False) -> dict[str, DataFrame]:
+    """The five edge types leaving a sale, as (src, dst), no duplicates."""
+    out = {}
+    for etype, dst in SALE_EDGE_DST.items():
+        e = sales.select(F.col("sales_fact_id").alias("src"), F.col(dst).alias("dst"))
+        out[etype] = e if unique_sales else e.distinct()
+    return out
+
+
 def graph_nodes(sales: DataFrame, unique_sales: bool = False) -> dict[str, DataFrame]:
     """One frame per label. ``unique_sales`` skips the Sale dedup when
     the input already has one row per sale id (the numbered staging)."""
-    if unique_sales:
-        sale = sales.select("sales_fact_id", *SALE_MEASURES)
-    else:
-        first = F.min_by(F.struct(*SALE_MEASURES), F.col("line_no"))
-        sale = (sales.groupBy("sales_fact_id").agg(first.alias("m"))
-                .select("sales_fact_id", *[F.col(f"m.{c}").alias(c) for c in SALE_MEASURES]))
     return {
-        "Sale": sale,
+        "Sale": sale_nodes(sales, unique_sales),
         "Product": sales.select("product_name").distinct(),
         "Category": sales.select(F.col("category").alias("category_name")).distinct(),
         "Customer": sales.select("customer_name").distinct(),
@@ -94,16 +113,8 @@ def graph_nodes(sales: DataFrame, unique_sales: bool = False) -> dict[str, DataF
 
 def graph_edges(sales: DataFrame, unique_sales: bool = False) -> dict[str, DataFrame]:
     """One (src, dst) frame per type, no duplicate edges."""
-    def sale_edge(dst: str) -> DataFrame:
-        e = sales.select(F.col("sales_fact_id").alias("src"), F.col(dst).alias("dst"))
-        return e if unique_sales else e.distinct()
-
     return {
-        "OF_PRODUCT": sale_edge("product_name"),
-        "BY_CUSTOMER": sale_edge("customer_name"),
-        "SHIPPED_TO": sale_edge("state"),
-        "ON_DATE": sale_edge("order_date"),
-        "USES_SHIP_MODE": sale_edge("ship_mode"),
+        **sale_edges(sales, unique_sales),
         "IN_CATEGORY": sales.select(F.col("product_name").alias("src"),
                                     F.col("category").alias("dst")).distinct(),
         "IN_MONTH": sales.select(F.col("order_date").alias("src"),
@@ -127,26 +138,31 @@ def _bucket_key(label_or_type: str) -> str | None:
 
 
 def write_graph(nodes: dict[str, DataFrame], edges: dict[str, DataFrame], storage: Storage,
-                name: str = "graph") -> Graph:
+                name: str = "graph", buckets: int | None = None,
+                partitioned: bool = False) -> Graph:
     """K6: node and edge parquet, one folder per label / type.
 
     The Sale nodes and the five edge types leaving a sale are bucketed on
     the sale id with one bucket count, so every hop Sale -> edge is a
     sort-merge join with no exchange on either side. The on-disk size of
-    each small node table is kept as its broadcast bound."""
-    buckets = sale_buckets(storage.spark)
+    each small node table is kept as its broadcast bound. ``partitioned``:
+    the sale-keyed frames already come hash-partitioned on the sale id into
+    ``buckets`` partitions (one shared shuffle instead of one per table)."""
+    buckets = buckets or sale_buckets(storage.spark)
     out_nodes, out_edges, sizes = {}, {}, {"_buckets": buckets}
     for label, df in nodes.items():
         key = _bucket_key(label)
         if key:
-            out_nodes[label] = storage.write_bucketed(df, key, buckets, name, "nodes", label)
+            out_nodes[label] = storage.write_bucketed(df, key, buckets, name, "nodes", label,
+                                                      partitioned=partitioned)
         else:
             out_nodes[label] = storage.write(df, name, "nodes", label)
             sizes[label] = file_bytes(storage.spark, storage.path(name, "nodes", label))
     for etype, df in edges.items():
         key = _bucket_key(etype)
         if key:
-            out_edges[etype] = storage.write_bucketed(df, key, buckets, name, "edges", etype)
+            out_edges[etype] = storage.write_bucketed(df, key, buckets, name, "edges", etype,
+                                                      partitioned=partitioned)
         else:
             out_edges[etype] = storage.write(df, name, "edges", etype)
     return Graph(out_nodes, out_edges, sizes)
@@ -169,35 +185,25 @@ def open_graph(storage: Storage, name: str, sizes: dict[str, int]) -> Graph:
 
 def build_graph(sales: DataFrame, storage: Storage, name: str = "graph",
                 unique_sales: bool = False) -> Graph:
-    """Nodes and edges from order lines. The small tables (seven labels,
-    two edge types) come from one grouping-sets scan of the lines."""
-    small = distinct_sets(
-        sales,
-        {"Product": ["product_name"], "Category": ["category"],
-         "Customer": ["customer_name"], "State": ["state"], "ShipMode": ["ship_mode"],
-         "Date": ["order_date"], "Month": ["year", "month"],
-         "IN_CATEGORY": ["product_name", "category"],
-         "IN_MONTH": ["order_date", "year", "month"]},
-        storage, f"{name}-sets",
-        firsts={"State": {"region": "region"}, "Month": {"month_name": "month_name"}})
-    lazy_nodes = graph_nodes(sales, unique_sales)
-    lazy_edges = graph_edges(sales, unique_sales)
-    nodes = {
-        "Sale": lazy_nodes["Sale"],
-        "Product": small["Product"],
-        "Category": small["Category"].withColumnRenamed("category", "category_name"),
-        "Customer": small["Customer"],
-        "State": small["State"].withColumnRenamed("state", "state_name"),
-        "ShipMode": small["ShipMode"].withColumnRenamed("ship_mode", "ship_mode_name"),
-        "Date": small["Date"].withColumnRenamed("order_date", "date"),
-        "Month": small["Month"],
-    }
-    edges = {e: lazy_edges[e] for e in EDGE_ENDS if EDGE_ENDS[e][0] == "Sale"}
-    edges["IN_CATEGORY"] = small["IN_CATEGORY"].select(F.col("product_name").alias("src"),
-                                                        F.col("category").alias("dst"))
-    edges["IN_MONTH"] = small["IN_MONTH"].select(F.col("order_date").alias("src"),
-                                                  F.struct("year", "month").alias("dst"))
-    return write_graph(nodes, edges, storage, name)
+    """Nodes and edges from order lines.
+
+    The small tables (seven labels, two edge types) are separate distinct
+    aggregations: each reads only its one or two columns of the columnar
+    staging, with map-side partial aggregation. The Sale nodes and the five
+    edge types leaving a sale share one hash partitioning on the sale id,
+    which every bucketed write of those six tables reuses."""
+    buckets = sale_buckets(storage.spark)
+    by_sale = (sales.select("sales_fact_id", *SALE_MEASURES, *SALE_EDGE_DST.values(),
+                            "line_no")
+               .repartition(buckets, "sales_fact_id")
+               .persist(StorageLevel.MEMORY_AND_DISK))
+    nodes = {**graph_nodes(sales, unique_sales), "Sale": sale_nodes(by_sale, unique_sales)}
+    edges = {**graph_edges(sales, unique_sales), **sale_edges(by_sale, unique_sales)}
+    try:
+        return write_graph(nodes, edges, storage, name, buckets=buckets,
+                           partitioned=unique_sales)
+    finally:
+        by_sale.unpersist()
 
 
 # ---------------------------------------------------------------------------

@@ -70,8 +70,7 @@ def star_source(sales: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def star_sources_one_scan(sales: DataFrame, storage: Storage, prefix: str
-                          ) -> dict[str, DataFrame]:
+def star_sources_one_scan(sales: DataFrame, storage: Storage, prefix: str):
     """``star_source`` computed with one grouping-sets scan of the staging."""
     s = sales.withColumns({"category_name": F.col("category"),
                            "ship_mode_name": F.col("ship_mode")})
@@ -104,7 +103,8 @@ def build_star(sales: DataFrame, storage: Storage, prefix: str = "star") -> Star
     dims, rows = {}, {}
     sources = star_sources_one_scan(sales, storage, prefix)
     for name, (key, natural, attrs) in DIMENSIONS.items():
-        keyed, n = dense_keys(sources[name], natural, key, storage, f"{prefix}-{name}")
+        keyed, n = dense_keys(sources[name], natural, key, storage, f"{prefix}-{name}",
+                              known_rows=sources.counts[name])
         dims[name] = storage.write(keyed.select(key, *natural, *attrs), prefix, name)
         rows[name] = n
     sales = sales.withColumn("sales_fact_id", F.col("line_no") + 1)

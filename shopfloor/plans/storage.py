@@ -75,14 +75,17 @@ class Storage:
         digest = hashlib.sha1(self.path(*parts).encode()).hexdigest()[:16]
         return f"shopfloor_{parts[-1].lower()}_{digest}"
 
-    def write_bucketed(self, df: DataFrame, key: str, buckets: int, *parts: str) -> DataFrame:
+    def write_bucketed(self, df: DataFrame, key: str, buckets: int, *parts: str,
+                       partitioned: bool = False) -> DataFrame:
         """Parquet in ``buckets`` files hashed and sorted on ``key``, registered
         as a catalogue table so joins on ``key`` between tables of the same
         bucket count need no exchange. One file per bucket: the rows are
-        hash-partitioned on ``key`` first (the same hash bucketing uses)."""
+        hash-partitioned on ``key`` first (the same hash bucketing uses),
+        unless the caller passes rows already partitioned that way."""
         name = self.table_name(*parts)
         self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-        (df.repartition(buckets, key).write.mode("overwrite")
+        rows = df if partitioned else df.repartition(buckets, key)
+        (rows.write.mode("overwrite")
          .bucketBy(buckets, key).sortBy(key).option("path", self.path(*parts))
          .saveAsTable(name))
         return self.spark.table(name)

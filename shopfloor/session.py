@@ -15,6 +15,11 @@ SESSION_DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.localShuffleReader.enabled": "true",
+    # Bucketed tables here hold one sorted file per bucket, so a bucketed scan
+    # may report its sort order and a sort-merge join on the bucket key needs
+    # neither an exchange nor a sort. (Spark reports it only for one file per
+    # bucket, so the setting cannot claim an order that does not exist.)
+    "spark.sql.legacy.bucketedTableScan.outputOrdering": "true",
 }
 
 
