@@ -87,7 +87,7 @@ def dense_keys(df: DataFrame, order_cols: list[str], key: str, storage: Storage,
     is then numbered in one task, anything else by ``number_rows``."""
     if known_rows is not None and known_rows <= SINGLE_TASK_MAX_ROWS:
         w = Window.orderBy(*order_cols)
-        numbered = df.withColumn(key, F.row_number().over(w) + F.lit(start - 1))
+        numbered = df.withColumn(key, (F.row_number().over(w) + F.lit(start - 1)).cast("long"))
         return numbered.select(key, *[c for c in df.columns]), known_rows
     numbered, total = number_rows(df, order_cols, key, storage, stage, start=start)
     return numbered.select(key, *[c for c in numbered.columns if c != key]), total

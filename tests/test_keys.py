@@ -42,3 +42,11 @@ def test_number_rows_then_keeps_every_row(spark, storage):
                              then=lambda d: d.withColumn("twice", F.col("a") * 2))
     assert total == 100
     assert got.where(F.col("n") != F.col("a")).count() == 0
+
+
+def test_dense_keys_type_does_not_depend_on_size(spark, storage):
+    df = spark.createDataFrame([("a",), ("b",)], "n string")
+    small, _ = dense_keys(df, ["n"], "k", storage, "t6", known_rows=2)
+    large, _ = dense_keys(df, ["n"], "k", storage, "t7")
+    assert small.schema["k"].dataType == large.schema["k"].dataType
+    assert sorted(small.collect()) == sorted(large.collect())
