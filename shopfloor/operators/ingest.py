@@ -35,13 +35,6 @@ from . import graph as graph_ops
 from .nested import nested_records
 from .star import DIMENSIONS, FACT_COLUMNS, Star
 
-EVENT_FIELDS = ["sales_fact_id", "order_id", "line_no", "order_date", "year", "month",
-                "month_name", "day", "ship_mode", "customer_id", "customer_name", "segment",
-                "country", "city", "state", "postal_code", "region", "product_id", "category",
-                "sub_category", "product_name", "sales_amount", "quantity", "discount",
-                "profit_amount"]
-
-
 def normalize_events(events: DataFrame) -> DataFrame:
     """Typed events: exact amounts, a date, calendar parts, ``seq``.
 

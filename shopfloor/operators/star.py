@@ -18,7 +18,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import money, month_name, ratio
+from ..functions.columns import money, ratio
 from ..functions.distinct_sets import distinct_sets
 from ..functions.joins import maybe_broadcast
 from ..functions.keys import dense_keys
@@ -56,22 +56,9 @@ class Star:
         return maybe_broadcast(getattr(self, name), self.rows.get(name))
 
 
-def star_source(sales: DataFrame) -> dict[str, DataFrame]:
-    """Distinct natural keys of each dimension, as the staging load selects them."""
-    return {
-        "dim_date": sales.select(F.year("order_date").alias("year"),
-                                 F.month("order_date").alias("month"),
-                                 month_name("order_date").alias("month_name")).distinct(),
-        "dim_product": sales.select("product_name",
-                                    F.col("category").alias("category_name")).distinct(),
-        "dim_customer": sales.select("customer_name").distinct(),
-        "dim_location": sales.select("state", "region").distinct(),
-        "dim_ship_mode": sales.select(F.col("ship_mode").alias("ship_mode_name")).distinct(),
-    }
-
-
 def star_sources_one_scan(sales: DataFrame, storage: Storage, prefix: str):
-    """``star_source`` computed with one grouping-sets scan of the staging."""
+    """Distinct natural keys of each dimension (as the staging load selects
+    them), from one grouping-sets scan of the staging, with exact counts."""
     s = sales.withColumns({"category_name": F.col("category"),
                            "ship_mode_name": F.col("ship_mode")})
     sets = {"dim_date": ["year", "month", "month_name"],

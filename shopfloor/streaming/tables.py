@@ -52,21 +52,16 @@ def failed_queries(events: DataFrame) -> DataFrame:
                     "executed_at"))
 
 
-def _sale_sum(col: str = "sale"):
-    """Sum of the sale amounts; exact when they are decimals (driver tables)."""
-    return F.sum(col)
-
-
 def sales_by_product_location(tx: DataFrame) -> DataFrame:
     """Running order count and total per (product, location)."""
     return (_keys_present(tx, "product", "location").groupBy("product", "location")
-            .agg(F.count(F.lit(1)).alias("order_count"), _sale_sum().alias("total_sale")))
+            .agg(F.count(F.lit(1)).alias("order_count"), F.sum("sale").alias("total_sale")))
 
 
 def sales_by_customer(tx: DataFrame) -> DataFrame:
     """Running order count and total per customer."""
     return (_keys_present(tx, "cust_id").groupBy("cust_id")
-            .agg(F.count(F.lit(1)).alias("order_count"), _sale_sum().alias("total_spent")))
+            .agg(F.count(F.lit(1)).alias("order_count"), F.sum("sale").alias("total_spent")))
 
 
 def sales_windowed(tx: DataFrame, size: str = "1 minute",
@@ -74,7 +69,7 @@ def sales_windowed(tx: DataFrame, size: str = "1 minute",
     """Per tumbling window and product: order count and total."""
     src = _keys_present(_watermarked(tx, grace), "product")
     g = (src.groupBy(F.window("event_time", size).alias("w"), "product")
-         .agg(F.count(F.lit(1)).alias("order_count"), _sale_sum().alias("total_sale")))
+         .agg(F.count(F.lit(1)).alias("order_count"), F.sum("sale").alias("total_sale")))
     return g.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
                     "product", "order_count", "total_sale")
 

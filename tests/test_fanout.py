@@ -2,7 +2,6 @@
 import os
 import tempfile
 
-import pytest
 from pyspark.sql import functions as F
 
 from conftest import sales_frame

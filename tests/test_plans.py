@@ -1,6 +1,5 @@
 """Physical-plan properties the design relies on at scale, checked on the
 small tables (each test states the plan it expects)."""
-import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
