@@ -1,4 +1,5 @@
-"""Join helpers: broadcast only behind a size check."""
+"""Join and partition sizing helpers: broadcast only behind a size check,
+partition counts from input bytes."""
 
 from __future__ import annotations
 
@@ -40,3 +41,14 @@ def broadcast_if_files_small(df: DataFrame, on_disk_bytes: int) -> DataFrame:
     if on_disk_bytes * PARQUET_EXPANSION <= BROADCAST_MAX_BYTES:
         return F.broadcast(df)
     return df
+
+
+# Target on-disk input bytes per task when a job sizes its own partitions.
+TARGET_PARTITION_BYTES = 128 * 1024 * 1024
+
+
+def partitions_for(spark: SparkSession, on_disk_bytes: int) -> int:
+    """Partition count for data of ``on_disk_bytes``: about 128 MB of input
+    per task, never fewer than the session's shuffle partitions."""
+    floor = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(floor, -(-on_disk_bytes // TARGET_PARTITION_BYTES))

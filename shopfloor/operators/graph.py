@@ -184,15 +184,17 @@ def open_graph(storage: Storage, name: str, sizes: dict[str, int]) -> Graph:
 
 
 def build_graph(sales: DataFrame, storage: Storage, name: str = "graph",
-                unique_sales: bool = False) -> Graph:
+                unique_sales: bool = False, buckets: int | None = None) -> Graph:
     """Nodes and edges from order lines.
 
     The small tables (seven labels, two edge types) are separate distinct
     aggregations: each reads only its one or two columns of the columnar
     staging, with map-side partial aggregation. The Sale nodes and the five
     edge types leaving a sale share one hash partitioning on the sale id,
-    which every bucketed write of those six tables reuses."""
-    buckets = sale_buckets(storage.spark)
+    which every bucketed write of those six tables reuses. ``buckets``:
+    their bucket count (the caller sizes it from the data; default: the
+    session's shuffle partitions)."""
+    buckets = buckets or sale_buckets(storage.spark)
     by_sale = (sales.select("sales_fact_id", *SALE_MEASURES, *SALE_EDGE_DST.values(),
                             "line_no")
                .repartition(buckets, "sales_fact_id")

@@ -114,17 +114,24 @@ def key_lookup(dim: DataFrame, name: str) -> DataFrame:
     return dim.groupBy(*match).agg(F.min(key).alias(key))
 
 
-def append_fact(star: Star, events: DataFrame, storage: Storage) -> DataFrame:
-    """One new fact per event, ids ``max + 1 ...`` in arrival order."""
+MAX_FACT_ID = "max_fact_id"
+
+
+def append_fact(star: Star, events: DataFrame, storage: Storage) -> tuple[DataFrame, int]:
+    """One new fact per event, ids ``max + 1 ...`` in arrival order.
+    Returns the facts and the new largest id. The current largest id comes
+    from ``star.rows`` when the caller keeps it (no fact scan), else from a
+    ``max`` over the fact's id column."""
     f = events.withColumn("ship_mode_name", F.col("ship_mode"))
     for name, (match, _m) in STAR_LOOKUP.items():
         lookup = maybe_broadcast(key_lookup(getattr(star, name), name), star.rows.get(name))
         f = f.join(lookup, match, "inner")
-    start = max_key(star.fact_sales, "sales_fact_id") + 1
-    numbered, _ = number_rows(f.drop("sales_fact_id"), ["seq"], "sales_fact_id", storage,
-                              _stage("append-fact"), start=start)
+    top = star.rows.get(MAX_FACT_ID)
+    top = max_key(star.fact_sales, "sales_fact_id") if top is None else top
+    numbered, added = number_rows(f.drop("sales_fact_id"), ["seq"], "sales_fact_id", storage,
+                                  _stage("append-fact"), start=top + 1)
     new_facts = numbered.select(*FACT_COLUMNS)
-    return star.fact_sales.unionByName(new_facts)
+    return star.fact_sales.unionByName(new_facts), top + added
 
 
 def upsert_star(star: Star, events: DataFrame, storage: Storage) -> Star:
@@ -134,7 +141,8 @@ def upsert_star(star: Star, events: DataFrame, storage: Storage) -> Star:
         dims[name], rows[name] = upsert_dim(getattr(star, name), events, name, storage,
                                             star.rows.get(name))
     with_dims = replace(star, **dims, rows=rows)
-    return replace(with_dims, fact_sales=append_fact(with_dims, events, storage))
+    facts, top = append_fact(with_dims, events, storage)
+    return replace(with_dims, fact_sales=facts, rows={**rows, MAX_FACT_ID: top})
 
 
 # ---------------------------------------------------------------------------

@@ -17,6 +17,7 @@ import pathlib
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.columns import calendar_cols, sale_id
+from ..functions.joins import file_bytes, partitions_for
 from ..functions.keys import number_rows, numbered_view
 from ..operators import graph as graph_ops
 from ..operators import nested as nested_ops
@@ -94,6 +95,14 @@ class Warehouse:
                                            parent=self, condition=condition)
         return self._slices[name]
 
+    def _staging_bytes(self) -> int:
+        """On-disk size of the staged order lines (a slice uses its parent's)."""
+        root = self
+        while root.parent is not None:
+            root = root.parent
+        root.sales()
+        return file_bytes(self.spark, root.storage.path("stage", "sales"))
+
     def sales(self) -> DataFrame:
         """Typed order lines with a global 0-based ``line_no``."""
         if self._sales is None and self.parent is not None:
@@ -104,8 +113,10 @@ class Warehouse:
                 numbered, _ = numbered_view(st.read("stage", "sales"), "line_no")
             else:
                 lines = lineitem_lines(self.spark, self.sf_dir)
+                size = file_bytes(self.spark, table_path(self.sf_dir, "lineitem"))
                 numbered, _ = number_rows(
                     lines, LINE_ORDER, "line_no", st, "sales",
+                    num_partitions=partitions_for(self.spark, size),
                     then=lambda df: attach_orders(df, self.spark, self.sf_dir))
                 st.mark_done("stage", "sales")
             self._sales = sales_view(numbered)
@@ -142,7 +153,10 @@ class Warehouse:
                 rows = json.loads(st.read_text("graph", "_ROWS"))
                 self._graph = graph_ops.open_graph(st, "graph", rows)
             else:
-                self._graph = graph_ops.build_graph(self.sales(), st, "graph", unique_sales=True)
+                sales = self.sales()
+                self._graph = graph_ops.build_graph(
+                    sales, st, "graph", unique_sales=True,
+                    buckets=partitions_for(self.spark, self._staging_bytes()))
                 st.write_text(json.dumps(self._graph.rows), "graph", "_ROWS")
                 st.mark_done("graph")
         return self._graph

@@ -16,6 +16,7 @@ rewritten per batch (see README).
 from __future__ import annotations
 
 import json
+from dataclasses import replace
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -89,7 +90,8 @@ class LiveLayouts:
 
     def seed(self, star: Star, nested: DataFrame, graph: graph_ops.Graph) -> None:
         """Version 0 from layouts built by the batch load."""
-        self.write_star(star, epoch=-1)
+        top = ingest.max_key(star.fact_sales, "sales_fact_id")  # once, at seeding
+        self.write_star(replace(star, rows={**star.rows, ingest.MAX_FACT_ID: top}), epoch=-1)
         self.write_nested(nested)
         self.write_graph(graph)
 
@@ -128,8 +130,8 @@ class LiveLayouts:
     # -- one micro-batch ---------------------------------------------------------
     def apply_star(self, events: DataFrame, epoch: int) -> None:
         star = self.star()
+        top = star.rows[ingest.MAX_FACT_ID]
         new = ingest.upsert_star(star, events, self.storage)
-        top = ingest.max_key(star.fact_sales, "sales_fact_id")
         self.write_star(new, epoch, new.fact_sales.where(F.col("sales_fact_id") > top))
 
     def apply_nested(self, events: DataFrame, epoch: int) -> None:
