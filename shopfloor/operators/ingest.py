@@ -191,10 +191,24 @@ def merge_graph(g: graph_ops.Graph, events: DataFrame, on_match: bool = True
                             .unionByName(last))
         else:
             nodes[label] = _first_wins(old, new, keys)
-    edges = {e: g.edges[e].unionByName(incoming_edges[e]).distinct() for e in g.edges}
+    edges = {e: add_edges(g.edges[e], incoming_edges[e], sale_keyed=e in graph_ops.SALE_EDGE_DST)
+             for e in g.edges}
     return graph_ops.Graph(nodes, edges, {})
 
 
+def add_edges(existing: DataFrame, incoming: DataFrame, sale_keyed: bool) -> DataFrame:
+    """MERGE (a)-[:T]->(b) for a batch: edges not yet present are added.
+
+    Only existing edges that start at a sale of the batch can already be
+    present, so for sale-keyed edge types those are picked with a semi-join
+    on the batch's sale ids (the small side is the build side: the edge
+    table is scanned, not shuffled) before the anti-join."""
+    fresh = incoming.distinct()
+    near = (existing.join(fresh.select("src").distinct(), "src", "left_semi")
+            if sale_keyed else existing)
+    return existing.unionByName(fresh.join(near, ["src", "dst"], "left_anti"))
+
+
 # ---------------------------------------------------------------------------
 # Fan-out with per-sink outcomes
 # ---------------------------------------------------------------------------
