@@ -80,6 +80,7 @@ def clean_columns(df: DataFrame, line_col: str = "line_no",
 
     order_id = text("Order ID")
     out = df.select(
+        *([F.col("file")] if "file" in cols else []),
         F.col(line_col).alias("line_no"),
         sale_id(order_id, F.col(line_col)).alias("sales_fact_id"),
         order_id.alias("order_id"),
@@ -111,13 +112,15 @@ def clean_rows(df: DataFrame, line_col: str = "line_no",
     """C4: (accepted rows, skipped rows with their reason)."""
     checked = clean_columns(df, line_col, corrupt_col)
     good = checked.where(F.col("reject_reason").isNull()).drop("reject_reason")
-    bad = checked.where(F.col("reject_reason").isNotNull()).select("line_no", "reject_reason")
+    keep = [c for c in ("file", "line_no") if c in checked.columns]
+    bad = checked.where(F.col("reject_reason").isNotNull()).select(*keep, "reject_reason")
     return good, bad
 
 
 def skipped_report(skipped: DataFrame) -> DataFrame:
     """The reference reports a skipped row as (file line = index + 2, reason)."""
-    return skipped.select((F.col("line_no") + 2).alias("line"),
+    where = [F.col("file")] if "file" in skipped.columns else []
+    return skipped.select(*where, (F.col("line_no") + 2).alias("line"),
                           F.col("reject_reason").alias("reason"))
 
 

@@ -94,7 +94,10 @@ def build_star(sales: DataFrame, storage: Storage, prefix: str = "star") -> Star
                               known_rows=sources.counts[name])
         dims[name] = storage.write(keyed.select(key, *natural, *attrs), prefix, name)
         rows[name] = n
-    sales = sales.withColumn("sales_fact_id", F.col("line_no") + 1)
+    # Facts are inserted in line order: id = line_no + 1 when line numbers are
+    # global (driver tables), else the load-order number (CSV files).
+    fact_id = F.col("fact_seq") if "fact_seq" in sales.columns else F.col("line_no") + 1
+    sales = sales.withColumn("sales_fact_id", fact_id)
     fact = storage.write(fact_rows(sales, dims, rows), prefix, "fact_sales")
     return Star(**dims, fact_sales=fact, rows=rows)
 

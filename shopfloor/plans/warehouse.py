@@ -15,7 +15,9 @@ import json
 import pathlib
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions.cleaning import clean_columns, skipped_report
 from ..functions.columns import calendar_cols, sale_id
 from ..functions.joins import file_bytes, partitions_for
 from ..functions.keys import number_rows, numbered_view
@@ -23,6 +25,7 @@ from ..operators import graph as graph_ops
 from ..operators import nested as nested_ops
 from ..operators import star as star_ops
 from ..session import apply_defaults, shared_dir
+from ..sources.csv_orders import read_order_lines_any_encoding
 from ..sources.tables import (LINE_ORDER, SALES_COLUMNS, attach_orders, lineitem_lines,
                               table_path)
 from .storage import Storage
@@ -95,6 +98,13 @@ class Warehouse:
                                            parent=self, condition=condition)
         return self._slices[name]
 
+    # Staging from the driver tables numbers every line once, so sale ids are
+    # unique; the graph load can skip its first-wins dedup of Sale nodes.
+    unique_sale_ids = True
+
+    def _graph_input(self) -> DataFrame:
+        return self.sales()
+
     def _staging_bytes(self) -> int:
         """On-disk size of the staged order lines (a slice uses its parent's)."""
         root = self
@@ -153,9 +163,8 @@ class Warehouse:
                 rows = json.loads(st.read_text("graph", "_ROWS"))
                 self._graph = graph_ops.open_graph(st, "graph", rows)
             else:
-                sales = self.sales()
                 self._graph = graph_ops.build_graph(
-                    sales, st, "graph", unique_sales=True,
+                    self._graph_input(), st, "graph", unique_sales=self.unique_sale_ids,
                     buckets=partitions_for(self.spark, self._staging_bytes()))
                 st.write_text(json.dumps(self._graph.rows), "graph", "_ROWS")
                 st.mark_done("graph")
@@ -166,4 +175,68 @@ def open_warehouse(spark: SparkSession, sf_dir: str) -> Warehouse:
     return Warehouse.open(spark, sf_dir)
 
 
+class CsvWarehouse(Warehouse):
+    """The same layouts loaded from order-line CSV files, as the reference's
+    loaders do: rows cleaned by its rules, rejected rows kept in a report,
+    ``line_no`` counted per file (so the sale id is ``order-line`` of that
+    file), and the star's integer fact ids numbered over (file, line)."""
+
+    unique_sale_ids = False  # the same order-line id may occur in two files
+
+    def __init__(self, spark: SparkSession, paths: list[str], storage: Storage,
+                 multiline: bool = True):
+        super().__init__(spark, None, storage)
+        self.paths = paths
+        self.multiline = multiline
+
+    @classmethod
+    def open_csv(cls, spark: SparkSession, paths: list[str], root: str | None = None,
+                 multiline: bool = True) -> "CsvWarehouse":
+        apply_defaults(spark)
+        base = root or f"{shared_dir(spark)}/shopfloor-warehouse"
+        h = hashlib.sha1(_code_hash().encode())
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        for path in paths:
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            fs = p.getFileSystem(conf)
+            summary = fs.getContentSummary(p)
+            h.update(f"{fs.makeQualified(p).toString()}|{summary.getLength()}|"
+                     f"{summary.getFileCount()}|{fs.getFileStatus(p).getModificationTime()}"
+                     .encode())
+        return cls(spark, list(paths), Storage(spark, f"{base}/csv-{h.hexdigest()[:16]}"),
+                   multiline)
+
+    def sales(self) -> DataFrame:
+        if self._sales is None:
+            st = self.storage
+            if st.is_done("stage", "sales"):
+                numbered, _ = numbered_view(st.read("stage", "sales"), "fact_seq", start=1)
+            else:
+                raw = read_order_lines_any_encoding(self.spark, self.paths, self.multiline)
+                checked = clean_columns(raw)
+                st.write(checked.where(F.col("reject_reason").isNotNull())
+                         .select("file", "line_no", "reject_reason"), "stage", "skipped")
+                good = (checked.where(F.col("reject_reason").isNull())
+                        .withColumns({"sales_amount": F.col("sales_amount").cast("decimal(18,2)"),
+                                      "profit_amount":
+                                          F.col("profit_amount").cast("decimal(18,4)"),
+                                      "line_no": F.col("line_no").cast("long")})
+                        .select("file", *SALES_COLUMNS))
+                numbered, _ = number_rows(good, ["file", "line_no"], "fact_seq", st, "sales",
+                                          start=1)
+                st.mark_done("stage", "sales")
+            view = numbered.withColumn("sales_fact_id", sale_id("order_id", "line_no"))
+            self._sales = calendar_cols(view, "order_date")
+        return self._sales
+
+    def skipped(self) -> DataFrame:
+        """Rejected rows as (file, line = index + 2, reason)."""
+        self.sales()
+        return skipped_report(self.storage.read("stage", "skipped"))
+
+    def _graph_input(self) -> DataFrame:
+        # first-wins across files follows load order: file, then line
+        return self.sales().withColumn("line_no", F.col("fact_seq"))
+
+
 __all__ = ["Warehouse", "open_warehouse", "sales_view"]
