@@ -63,6 +63,9 @@ def sales_view(numbered: DataFrame) -> DataFrame:
 
 class Warehouse:
     _open: dict[tuple[int, str], "Warehouse"] = {}
+    # Folder for warehouses opened without an explicit root (None: a
+    # ``shopfloor-warehouse`` folder in the shared checkpoint dir).
+    default_root: str | None = None
 
     def __init__(self, spark: SparkSession, sf_dir: str, storage: Storage,
                  parent: "Warehouse | None" = None, condition=None):
@@ -81,7 +84,7 @@ class Warehouse:
     @classmethod
     def open(cls, spark: SparkSession, sf_dir: str, root: str | None = None) -> "Warehouse":
         apply_defaults(spark)
-        base = root or f"{shared_dir(spark)}/shopfloor-warehouse"
+        base = root or cls.default_root or f"{shared_dir(spark)}/shopfloor-warehouse"
         folder = f"{base}/{_fingerprint(spark, sf_dir)}"
         key = (id(spark), folder)
         if key not in cls._open:
