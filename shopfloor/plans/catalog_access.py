@@ -249,7 +249,7 @@ _GRAPH_NODE_SQL = {
     "Customer": "SELECT DISTINCT customer_name FROM sales",
     "State": "SELECT state_name, region FROM state_node",
     "ShipMode": "SELECT DISTINCT ship_mode AS ship_mode_name FROM sales",
-    "Date": "SELECT DISTINCT order_date AS date FROM sales",
+    "Date": "SELECT DISTINCT strftime(order_date, '%Y-%m-%d') AS date FROM sales",
     "Month": "SELECT year, month, month_name FROM month_node",
 }
 _GRAPH_EDGE_SQL = {
@@ -263,8 +263,9 @@ def _register_graph_tables() -> None:
         register(f"graph_nodes_{label.lower()}", oracle.with_ctes(sql, "graph"))(
             lambda spark, d, label=label: plain(_wh(spark, d).graph().nodes[label]))
     for etype, cte in _GRAPH_EDGE_SQL.items():
+        dst = "strftime(dst, '%Y-%m-%d') AS dst" if etype == "ON_DATE" else "dst"
         register(f"graph_edges_{etype.lower()}",
-                 oracle.with_ctes(f"SELECT src, dst FROM {cte}", "graph"))(
+                 oracle.with_ctes(f"SELECT src, {dst} FROM {cte}", "graph"))(
             lambda spark, d, etype=etype: plain(_wh(spark, d).graph().edges[etype]))
     register("graph_edges_in_month", oracle.with_ctes(
         "SELECT strftime(src, '%Y-%m-%d') AS src, dst_year, dst_month FROM in_month", "graph"))(
@@ -277,7 +278,8 @@ _register_graph_tables()
 
 
 @register("check_star_keys", oracle.with_ctes("""
-SELECT t.table_name, t.key_columns, t.row_count, 0 AS duplicate_keys, 0 AS null_key_rows
+SELECT t.table_name, t.key_columns, t.row_count, CAST(0 AS BIGINT) AS duplicate_keys,
+       CAST(0 AS BIGINT) AS null_key_rows
 FROM (
   SELECT 'dim_date' AS table_name, 'date_key' AS key_columns, COUNT(*) AS row_count
     FROM dim_date
@@ -297,7 +299,8 @@ def check_star_keys(spark: SparkSession, d: str) -> DataFrame:
 
 
 @register("check_graph_keys", oracle.with_ctes("""
-SELECT label AS table_name, key_columns, row_count, 0 AS duplicate_keys, 0 AS null_key_rows
+SELECT label AS table_name, key_columns, row_count, CAST(0 AS BIGINT) AS duplicate_keys,
+       CAST(0 AS BIGINT) AS null_key_rows
 FROM (
   SELECT 'Sale' AS label, 'sales_fact_id' AS key_columns, COUNT(*) AS row_count FROM sale_node
   UNION ALL SELECT 'Product', 'product_name', COUNT(DISTINCT product_name) FROM sales

@@ -62,6 +62,22 @@ def table_hash(columns: list[str], rows: list[tuple], exact: bool = True) -> str
     return hashlib.sha1("\n".join(keyed).encode()).hexdigest()
 
 
+_SPARK_KIND = {"int": "int32", "integer": "int32", "bigint": "int64", "long": "int64",
+               "double": "float64", "string": "string", "boolean": "bool", "date": "date"}
+_DUCK_KIND = {"INTEGER": "int32", "BIGINT": "int64", "DOUBLE": "float64", "VARCHAR": "string",
+              "BOOLEAN": "bool", "DATE": "date"}
+
+
+def type_mismatches(spark_df, con, sql: str) -> list:
+    """Columns whose Spark type and DuckDB type differ in kind."""
+    spark_types = {f.name: _SPARK_KIND.get(f.dataType.simpleString(), f.dataType.simpleString())
+                   for f in spark_df.schema.fields}
+    rel = con.sql(sql)
+    duck_types = {n: _DUCK_KIND.get(str(t), str(t)) for n, t in zip(rel.columns, rel.types)}
+    return [(c, spark_types[c], duck_types.get(c)) for c in spark_types
+            if spark_types[c] != duck_types.get(c)]
+
+
 def compare(spark_df, con, sql: str) -> dict:
     s_cols = spark_df.columns
     s_rows = [tuple(r) for r in spark_df.collect()]
@@ -72,6 +88,7 @@ def compare(spark_df, con, sql: str) -> dict:
         "rows_spark": len(s_rows), "rows_oracle": len(d_rows),
         "schema_match": sorted(s_cols) == sorted(d_cols),
         "hash_match": False, "approx_match": False,
+        "type_mismatches": type_mismatches(spark_df, con, sql),
     }
     if out["schema_match"]:
         d_rows = [tuple(r[d_cols.index(c)] for c in s_cols) for r in d_rows]
@@ -101,7 +118,8 @@ def main(argv: list[str]) -> int:
             df = fn(spark, sf_dir)
             if name in sqls:
                 r = compare(df, con, sqls[name])
-                ok = r["hash_match"] and r["rows_spark"] == r["rows_oracle"]
+                ok = (r["hash_match"] and r["rows_spark"] == r["rows_oracle"]
+                      and not r["type_mismatches"])
             else:
                 n = df.count()
                 r, ok = {"rows_spark": n, "oracle": "none"}, True

@@ -26,6 +26,7 @@ def test_query_matches_oracle(spark, duck, name):
     assert result["schema_match"], result
     assert result["rows_spark"] == result["rows_oracle"], result
     assert result["hash_match"], result
+    assert not result["type_mismatches"], result
 
 
 def test_entry_runs(spark):
