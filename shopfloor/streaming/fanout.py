@@ -8,9 +8,10 @@ it published, and a replayed batch skips the layouts that already have it. Each
 ``live/<layout>`` behind a pointer: a batch reads the current version,
 writes the next one and moves the pointer. New facts are written as their
 own part (``facts/epoch=<id>``, replaced on retry), so the star's fact
-table is never rewritten. The nested set is kept one folder per order
-month and a batch rewrites only the months it touches. The graph is
-rewritten per batch (see README).
+table is never rewritten. The nested set, and the graph's Sale nodes and
+sale edges, are kept one folder per order month behind a version manifest;
+a batch rewrites only the months it touches. The graph's small node and
+edge tables are rewritten whole.
 """
 
 from __future__ import annotations
@@ -74,8 +75,21 @@ class LiveLayouts:
         meta = self._meta("graph")
         if meta is None:
             return None
-        return graph_ops.open_graph(self.storage, f"graph/{meta['version']}",
-                                    meta.get("sizes", {}))
+        nodes, edges = {}, {}
+        for name in (*graph_ops.NODE_KEYS, *graph_ops.EDGE_ENDS):
+            df = (self._read_sale_table(meta, name) if name in meta["sale_parts"]
+                  else self.storage.spark.read.parquet(meta["small"][name]))
+            (nodes if name in graph_ops.NODE_KEYS else edges)[name] = df.drop(MONTH)
+        return graph_ops.Graph(nodes, edges, meta.get("sizes", {}))
+
+    def _read_sale_table(self, meta: dict, name: str, months=None) -> DataFrame:
+        """A sale-keyed graph table (with its ``_month``), all months or some."""
+        parts = meta["sale_parts"][name]
+        dirs = [d for m, d in parts.items() if months is None or m in months]
+        schema = T.StructType.fromJson(json.loads(meta["schemas"][name]))
+        if not dirs:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*dirs)
 
     # -- writing the next state -------------------------------------------
     def applied(self, name: str, epoch: int) -> bool:
@@ -122,10 +136,41 @@ class LiveLayouts:
         self._publish("nested", version, {"last_epoch": epoch, "months": months,
                                           "schema_json": nested.schema.json()})
 
-    def write_graph(self, g: graph_ops.Graph, epoch: int = -1) -> None:
+    def write_graph(self, g: graph_ops.Graph, epoch: int = -1,
+                    sale_tables: dict[str, DataFrame] | None = None,
+                    keep: dict[str, dict[str, str]] | None = None) -> None:
+        """Publish a graph version. Small tables are written whole. The Sale
+        nodes and sale edges are kept one folder per order month (``_month``
+        is the month of the sale's first date): ``sale_tables`` are the rows of
+        the months being rewritten, ``keep`` the month folders carried over.
+        Without ``sale_tables`` (seeding) every month is written."""
         version = self.storage.new_version("graph")
-        out = graph_ops.write_graph(g.nodes, g.edges, self.storage, f"graph/{version}")
-        self._publish("graph", version, {"sizes": out.rows, "last_epoch": epoch})
+        if sale_tables is None:
+            sale_tables = _with_sale_month(g)
+        small, sizes = {}, {}
+        for name in (*graph_ops.NODE_KEYS, *graph_ops.EDGE_ENDS):
+            if name in SALE_TABLES:
+                continue
+            df = g.nodes[name] if name in graph_ops.NODE_KEYS else g.edges[name]
+            path = self.storage.path("graph_small", version, name)
+            df.write.mode("overwrite").parquet(path)
+            small[name] = path
+            if name in graph_ops.NODE_KEYS:
+                sizes[name] = graph_ops.file_bytes(self.spark, path)
+        parts, schemas = {}, {}
+        for name, df in sale_tables.items():
+            root = self.storage.path("graph_sales", version, name)
+            (df.withColumn("_pm", F.col(MONTH)).write.mode("overwrite")
+             .partitionBy("_pm").parquet(root))
+            written = {r["_pm"] for r in
+                       self.spark.read.parquet(root).select("_pm").distinct().collect()}
+            months = dict((keep or {}).get(name, {}))
+            months.update({m: f"{root}/_pm={m}" for m in written})
+            parts[name] = months
+            schemas[name] = df.schema.json()
+        self._publish("graph", version, {"small": small, "sale_parts": parts,
+                                         "schemas": schemas, "sizes": sizes,
+                                         "last_epoch": epoch})
 
     # -- one micro-batch ---------------------------------------------------------
     def apply_star(self, events: DataFrame, epoch: int) -> None:
@@ -154,7 +199,53 @@ class LiveLayouts:
         self.write_nested(rewritten, epoch, keep=untouched)
 
     def apply_graph(self, events: DataFrame, epoch: int) -> None:
-        self.write_graph(ingest.merge_graph(self.graph(), events, on_match=True), epoch)
+        """MERGE a batch into the graph, rewriting only the order months its
+        sales are stored in (a new sale goes to the month of its event)."""
+        meta = self._meta("graph")
+        merged = ingest.merge_graph(self.graph(), events, on_match=True)
+        latest = ingest.last_per_id(events)
+        stored = (self._read_sale_table(meta, "Sale").select("sales_fact_id", MONTH)
+                  .join(latest.select("sales_fact_id"), "sales_fact_id", "left_semi"))
+        assign = (latest.select("sales_fact_id",
+                                F.date_format("order_date", "yyyy-MM").alias("_new"))
+                  .join(stored, "sales_fact_id", "left")
+                  .select("sales_fact_id", F.coalesce(MONTH, "_new").alias(MONTH)))
+        touched = {r[0] for r in assign.select(MONTH).distinct().collect()}  # bounded
+        ids = assign.select("sales_fact_id")
+        # every edge of a sale is stored in the sale's month, so the touched
+        # months hold all edges a batch can repeat: no whole-table scan
+        incoming = graph_ops.sale_edges(events)
+        tables = {}
+        for name in SALE_TABLES:
+            before = self._read_sale_table(meta, name, touched)
+            if name == "Sale":
+                key = "sales_fact_id"
+                kept = before.join(ids, key, "left_anti")
+                fresh = latest.select(key, *graph_ops.SALE_MEASURES)
+            else:
+                key = "src"
+                kept = before
+                fresh = incoming[name].join(before, ["src", "dst"], "left_anti")
+            fresh = fresh.join(assign.withColumnRenamed("sales_fact_id", key), key)
+            tables[name] = kept.unionByName(fresh.select(*kept.columns))
+        keep = {name: {m: d for m, d in meta["sale_parts"][name].items() if m not in touched}
+                for name in SALE_TABLES}
+        self.write_graph(merged, epoch, sale_tables=tables, keep=keep)
+
+
+MONTH = "_month"
+SALE_TABLES = ("Sale", *graph_ops.SALE_EDGE_DST)
+
+
+def _with_sale_month(g: graph_ops.Graph) -> dict[str, DataFrame]:
+    """Sale nodes and sale edges tagged with the month of the sale's first date."""
+    month = (g.edges["ON_DATE"].groupBy("src")
+             .agg(F.date_format(F.min("dst"), "yyyy-MM").alias(MONTH)))
+    out = {"Sale": g.nodes["Sale"].join(month.withColumnRenamed("src", "sales_fact_id"),
+                                        "sales_fact_id")}
+    for name in graph_ops.SALE_EDGE_DST:
+        out[name] = g.edges[name].join(month, "src")
+    return out
 
 
 def fan_out(live: LiveLayouts, fail: dict[str, Exception] | None = None):

@@ -123,3 +123,27 @@ def test_untouched_month_is_carried_over(spark):
     after = live._meta("nested")["months"]
     assert after["2017-1"] == before["2017-1"]  # same folder: not rewritten
     assert live.nested().count() == 2
+
+
+def test_graph_upsert_rewrites_only_touched_months(spark):
+    live = _live(spark)
+    before = live._meta("graph")["sale_parts"]
+    events = ingest.normalize_events(sales_frame(spark, [
+        ("O2", 1, "2017-03-05", "Second", "Bob", "Bergen", "West", "Desk", "Furn", 40, 2, 4),
+        ("O1", 0, "2017-01-02", "First", "Dee", "Oslo", "North", "Phone", "Tech", 95, 1, 9)]))
+    live.apply_graph(events, 0)
+    after = live._meta("graph")["sale_parts"]
+    assert set(after["Sale"]) == {"2017-01", "2017-03"}
+    g = live.graph()
+    assert {r.sales_fact_id: float(r.sales_amount) for r in g.nodes["Sale"].collect()} == \
+        {"O1-0": 95.0, "O2-1": 40.0}
+    assert {r.dst for r in g.edges["BY_CUSTOMER"].where("src = 'O1-0'").collect()} == \
+        {"Ann", "Dee"}  # the old edge stays, the new one is added
+    assert g.edges["OF_PRODUCT"].count() == 2
+    events2 = ingest.normalize_events(sales_frame(spark, [
+        ("O3", 2, "2017-03-09", "Second", "Bob", "Bergen", "West", "Desk", "Furn", 1, 1, 1)]))
+    live.apply_graph(events2, 1)
+    again = live._meta("graph")["sale_parts"]
+    assert again["Sale"]["2017-01"] == after["Sale"]["2017-01"]  # untouched: same folder
+    assert again["Sale"]["2017-03"] != after["Sale"]["2017-03"]
+    assert live.graph().nodes["Sale"].count() == 3
