@@ -1,7 +1,7 @@
 """Ad-hoc access (A1-A4): SQL over the star, and the document-store calls
 ``find`` and ``aggregate`` as plain DataFrame functions.
 
-The reference parses a JSON pipeline text; here a pipeline is a list of
+The reference parses a JSON stage list; here an aggregation is a list of
 stage functions, each ``DataFrame -> DataFrame``, so every stage is an
 ordinary Catalyst operator (filter, aggregate, sort, limit, project).
 """
@@ -46,7 +46,7 @@ def find(df: DataFrame, where: Column | str | None = None, cols: list[str] | Non
     return out
 
 
-# -- A3: aggregate pipelines ----------------------------------------------------
+# -- A3: aggregate with stage functions --------------------------------------
 
 def aggregate(df: DataFrame, *stages: Stage) -> DataFrame:
     for stage in stages:

@@ -6,7 +6,7 @@ date{day, month, month_name, year}, location{state, region}, ship_mode.
 Amounts stay exact decimals (the reference stores floats); sums are cast
 to double at the end, so results do not depend on summation order.
 
-The pipeline questions group on struct fields; where the reference accepts
+The questions group on struct fields; where the reference accepts
 older record shapes with ``$ifNull`` chains, ``first_field`` coalesces
 whichever of those fields the schema has.
 """

@@ -136,10 +136,10 @@ def adhoc_find_large_sales(spark: SparkSession, d: str) -> DataFrame:
     return plain(found)
 
 
-@register("adhoc_pipeline_ship_mode", oracle.with_ctes(oracle.NESTED_SQL[
+@register("adhoc_stages_ship_mode", oracle.with_ctes(oracle.NESTED_SQL[
     "q8_profit_ratio_by_ship_mode"]))
-def adhoc_pipeline_ship_mode(spark: SparkSession, d: str) -> DataFrame:
-    """A3: the ship-mode pipeline written as stages."""
+def adhoc_stages_ship_mode(spark: SparkSession, d: str) -> DataFrame:
+    """A3: the ship-mode aggregation written as stage functions."""
     nested = _wh(spark, d).nested()
     mode = nested_ops.first_field(nested, "ship_mode.ship_mode_name", "ship_mode_name",
                                   "ship_mode")
