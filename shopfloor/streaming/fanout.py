@@ -172,6 +172,24 @@ class LiveLayouts:
                                          "schemas": schemas, "sizes": sizes,
                                          "last_epoch": epoch})
 
+    def compact_star(self, target_bytes: int | None = None) -> int:
+        """Rewrite the published fact parts as one part and publish a version
+        that lists only it (readers switch at the pointer move). The old
+        parts stay on disk for a retention job. Returns the new part id."""
+        from ..functions.joins import TARGET_PARTITION_BYTES, file_bytes
+        meta = self._meta("star")
+        part = -2 - meta.get("compactions", 0)  # negative ids never meet a batch id
+        facts = self.star().fact_sales
+        parts = [self.storage.path("star_facts", f"epoch={e}") for e in meta["fact_parts"]]
+        size = file_bytes(self.spark, *parts)
+        files = max(1, -(-size // (target_bytes or TARGET_PARTITION_BYTES)))
+        (facts.repartitionByRange(files, "sales_fact_id").write.mode("overwrite")
+         .parquet(self.storage.path("star_facts", f"epoch={part}")))
+        self._publish("star", meta["version"],
+                      {**{k: v for k, v in meta.items() if k != "version"},
+                       "fact_parts": [part], "compactions": meta.get("compactions", 0) + 1})
+        return part
+
     # -- one micro-batch ---------------------------------------------------------
     def apply_star(self, events: DataFrame, epoch: int) -> None:
         star = self.star()

@@ -147,3 +147,17 @@ def test_graph_upsert_rewrites_only_touched_months(spark):
     assert again["Sale"]["2017-01"] == after["Sale"]["2017-01"]  # untouched: same folder
     assert again["Sale"]["2017-03"] != after["Sale"]["2017-03"]
     assert live.graph().nodes["Sale"].count() == 3
+
+
+def test_compact_star_keeps_facts_and_shrinks_the_manifest(spark):
+    live = _live(spark)
+    batch = read_sale_events(spark, _event_files(spark), stream=False)
+    fan_out(live)(batch, 0)
+    fan_out(live)(batch, 1)
+    before = sorted(tuple(r) for r in live.star().fact_sales.collect())
+    assert len(live._meta("star")["fact_parts"]) == 3
+    live.compact_star()
+    assert live._meta("star")["fact_parts"] == [-2]
+    assert sorted(tuple(r) for r in live.star().fact_sales.collect()) == before
+    fan_out(live)(batch, 2)  # batches keep appending after a compaction
+    assert live.star().fact_sales.count() == len(before) + 2
