@@ -68,6 +68,11 @@ _BASE_DIM_SOURCE = {
 _EVENT_COL = {"ship_mode_name": "ship_mode"}
 
 
+def nulls_first(order: str) -> str:
+    """Spark's ascending order puts nulls first; say so to the oracle."""
+    return ", ".join(f"{c.strip()} NULLS FIRST" for c in order.split(","))
+
+
 def _ingest_ctes() -> str:
     parts = [f"""
 base AS (SELECT * FROM sales WHERE order_date < DATE '{INITIAL_END}'),
@@ -75,7 +80,7 @@ feed AS (SELECT * FROM sales WHERE order_date >= DATE '{FEED_START}')"""]
     for name, (key, match, attrs) in _DIMS.items():
         order, cols, src = _BASE_DIM_SOURCE[name]
         parts.append(f"""
-b_{name} AS (SELECT row_number() OVER (ORDER BY {order}) AS {key}, {cols}
+b_{name} AS (SELECT row_number() OVER (ORDER BY {nulls_first(order)}) AS {key}, {cols}
   FROM (SELECT DISTINCT {src} FROM base))""")
         ev = [f"{_EVENT_COL.get(m, m)} AS {m}" for m in match]
         ev_attrs = [f"arg_min({e}, line_no) AS {c}" for c, e in attrs]
