@@ -10,6 +10,7 @@ redone from the start.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import pathlib
@@ -34,7 +35,9 @@ _PACKAGE = pathlib.Path(__file__).resolve().parents[1]
 _SALES_INPUTS = ("region", "nation", "customer", "orders", "part", "lineitem")
 
 
+@functools.lru_cache(maxsize=1)
 def _code_hash() -> str:
+    """Hash of this package's source, once per process."""
     h = hashlib.sha1()
     for path in sorted(_PACKAGE.rglob("*.py")):
         h.update(path.read_bytes())
