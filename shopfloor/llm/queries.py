@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import shared_dir
-from . import jaccard_join, packing, token_counts, token_files
+from . import decontaminate, jaccard_join, packing, quality, token_counts, token_files
 from .ship import ship
 from .tokens import tokenizer_path
 
@@ -22,6 +22,17 @@ def op1_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack(docs, tokenizer_path("byte_bpe_50k.json"), end_id=1))
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    scored = quality.score(docs, quality.train(docs, _table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", F.expr("crc32(cast(doc_id AS string)) % 3 = 1").alias("held_out"), "score",
+                         F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
@@ -36,5 +47,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(_table(spark, sf_dir, "documents"), k=3, percent=90)
 
 
-QUERIES = {f.__name__: f for f in (op1_pack_sequences, op5_token_counts, op9_token_files, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (
+    op1_pack_sequences, op2_quality_classifier, op4_decontamination, op5_token_counts, op9_token_files,
+    op10_jaccard_join)}
 ORACLE_SQL: dict[str, str] = {}
