@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
@@ -150,14 +151,14 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 2048,
         raise ValueError("limits must be positive")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer).encode
+        encode = encoder(tokenizer).encode_array
         end = int(end_id).to_bytes(4, "little")
         packer = Packer(TaskContext.get().partitionId() << 33, capacity, max_segments,
                         capacity if max_loss is None else max_loss, window)
         for batch in batches:
             for part in text_chunks(batch):
-                ids = encode(part.column("text").to_pylist())
-                heads = encode([p or "" for p in part.column("prompt").to_pylist()])
+                ids = encode(part.column("text"))
+                heads = encode(pc.fill_null(part.column("prompt").cast(pa.large_string()), ""))
                 for doc_id, head, body in zip(part.column("doc_id").to_pylist(), heads, ids, strict=True):
                     packer.add(Example(doc_id, head + body + end, len(head) // 4))
                 if packer.rows:

@@ -1,10 +1,11 @@
 """Quality score of whole texts by a byte-level convolutional network.
 
 A text is cut into chunks of ``CHUNK`` bytes that overlap by ``CHUNK - HOP`` and
-cover it from end to end. Each byte has a learned vector, and learned filters
-``2 * STEP`` bytes wide move over a chunk in steps of ``STEP`` bytes; the
-largest answer of each filter is the chunk's description. The maximum and the
-mean over all chunks go through one hidden layer into one probability.
+cover it from end to end (the last one ends with the text). Each byte has a
+learned vector, and learned filters ``2 * STEP`` bytes wide move over a chunk in
+steps of ``STEP`` bytes; the largest answer of each filter is the chunk's
+description. Its maximum, mean and minimum over all chunks go through one hidden
+layer into one probability.
 
 The network is trained in numpy from a bounded sample of labelled rows: at most
 ``per_class`` rows of each label, taken by the hash of their id, among those of
@@ -28,9 +29,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from .arrow import text_chunks, utf8
 
-CHUNK, HOP, STEP = 1024, 768, 4
+CHUNK, HOP, STEP = 256, 192, 4
 BYTE_DIM, FILTERS, HIDDEN = 8, 32, 16
-BLOCK = 128
+BLOCK = 512
 
 
 def chunk_rows(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -39,7 +40,7 @@ def chunk_rows(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     count = np.maximum(1, -(-np.maximum(0, length - CHUNK) // HOP) + 1)
     first = np.concatenate([[0], np.cumsum(count)])
     text = np.repeat(np.arange(len(length)), count)
-    start = offsets[text] + HOP * (np.arange(first[-1]) - first[text])
+    start = offsets[text] + np.minimum(HOP * (np.arange(first[-1]) - first[text]), np.maximum(0, length - CHUNK)[text])
     return np.stack([start, np.minimum(start + CHUNK, offsets[text + 1])], axis=1), first
 
 
@@ -51,7 +52,7 @@ class Network:
         width = 2 * STEP * BYTE_DIM
         self.w = weights or {
             "bytes": rng.normal(0, 0.5, (256, BYTE_DIM)), "filters": rng.normal(0, width ** -0.5, (width, FILTERS)),
-            "filter_bias": np.zeros(FILTERS), "hidden": rng.normal(0, (2 * FILTERS) ** -0.5, (2 * FILTERS, HIDDEN)),
+            "filter_bias": np.zeros(FILTERS), "hidden": rng.normal(0, (3 * FILTERS) ** -0.5, (3 * FILTERS, HIDDEN)),
             "hidden_bias": np.zeros(HIDDEN), "out": rng.normal(0, HIDDEN ** -0.5, HIDDEN), "out_bias": np.zeros(1)}
         self.w = {k: np.asarray(v, np.float32) for k, v in self.w.items()}
 
@@ -87,14 +88,15 @@ class Network:
     def _combine(self, described: np.ndarray, first: np.ndarray):
         top = np.maximum.reduceat(described, first[:-1])
         mean = np.add.reduceat(described, first[:-1]) / np.diff(first)[:, None]
-        features = np.concatenate([top, mean], axis=1).astype(np.float32)
+        low = np.minimum.reduceat(described, first[:-1])
+        features = np.concatenate([top, mean, low], axis=1).astype(np.float32)
         hidden = np.tanh(features @ self.w["hidden"] + self.w["hidden_bias"])
-        return hidden @ self.w["out"] + self.w["out_bias"][0], hidden, features, top
+        return hidden @ self.w["out"] + self.w["out_bias"][0], hidden, features
 
     def gradients(self, raw: np.ndarray, offsets: np.ndarray, labels: np.ndarray) -> dict[str, np.ndarray]:
         spans, first = chunk_rows(raw, offsets)
         described, where, data = self.chunks(raw, spans)
-        logit, hidden, features, top = self._combine(described, first)
+        logit, hidden, features = self._combine(described, first)
         error = ((1 / (1 + np.exp(-np.clip(logit, -30, 30))) - labels) / len(labels)).astype(np.float32)
         g = {"out": hidden.T @ error, "out_bias": error.sum(keepdims=True)}
         at_hidden = error[:, None] * self.w["out"] * (1 - hidden ** 2)
@@ -102,10 +104,11 @@ class Network:
         at_features = at_hidden @ self.w["hidden"].T
         counts = np.diff(first)
         text = np.repeat(np.arange(len(counts)), counts)
-        at_chunk = (at_features[:, FILTERS:] / counts[:, None])[text]
-        is_top = described == top[text]
-        at_chunk = at_chunk + at_features[:, :FILTERS][text] * is_top / np.maximum(
-            1, np.add.reduceat(is_top, first[:-1], dtype=np.int64))[text]
+        at_chunk = (at_features[:, FILTERS:2 * FILTERS] / counts[:, None])[text]
+        for part in (slice(0, FILTERS), slice(2 * FILTERS, None)):
+            is_best = described == features[:, part][text]
+            shared = np.add.reduceat(is_best, first[:-1], dtype=np.int64)
+            at_chunk = at_chunk + (at_features[:, part] / np.maximum(1, shared))[text] * is_best
         at_chunk = (at_chunk * (described > 0)).astype(np.float32)
         g["filter_bias"] = at_chunk.sum(axis=0)
         window = data[np.arange(len(data))[:, None, None], where[:, :, None] * STEP + np.arange(2 * STEP)]
@@ -121,7 +124,7 @@ def _joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
 
 
-def fit(texts: list[bytes], labels: list[int], rates: tuple[int, int], epochs: int = 6, batch: int = 16,
+def fit(texts: list[bytes], labels: list[int], rates: tuple[int, int], epochs: int = 8, batch: int = 16,
         speed: float = 0.004, seed: int = 3) -> Network:
     """Adam on whole texts; ``rates`` are the numbers of rows of label 0 and 1 that the sample stands for."""
     net = Network(seed=seed)

@@ -22,14 +22,14 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 @lru_cache(maxsize=1)
-def _tables() -> tuple[np.ndarray, np.ndarray]:
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     rng = np.random.default_rng(20)
     value = rng.integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
     folded = value.copy()
     folded[65:91] = value[97:123]  # A-Z read as a-z
     separator = np.zeros(256, bool)
     separator[[9, 10, 11, 12, 13, 32]] = True
-    return folded, separator
+    return folded, separator, value
 
 
 _POWERS: dict[str, np.ndarray] = {}
@@ -45,12 +45,19 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"], _POWERS["down"]
 
 
+def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, value: np.ndarray | None = None) -> np.ndarray:
+    """Polynomial hash of the bytes of each span; ``value`` gives the number of each byte."""
+    up, down = _powers(len(raw))
+    total = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum((_tables()[2] if value is None else value)[raw] * up[:len(raw)], out=total[1:])
+    return (total[ends] - total[starts]) * down[starts]
+
+
 def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every word of every text, and the number of words before each text (one longer)."""
-    value, separator = _tables()
+    value, separator, _ = _tables()
     if not len(raw):
         return np.empty(0, np.uint64), np.zeros(len(offsets), np.int64)
-    up, down = _powers(len(raw))
     inside = ~separator[raw]
     edge = np.zeros(len(raw) + 1, bool)
     edge[offsets] = True
@@ -58,9 +65,7 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     starts = np.flatnonzero(inside & (~before | edge[:-1]))
     after = np.concatenate([inside[1:], [False]])
     ends = np.flatnonzero(inside & (~after | edge[1:])) + 1
-    total = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(value[raw] * up[:len(raw)], out=total[1:])
-    hashes = mix((total[ends] - total[starts]) * down[starts])
+    hashes = mix(span_hashes(raw, starts, ends, value))
     return hashes, np.searchsorted(starts, offsets)
 
 

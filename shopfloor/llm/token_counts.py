@@ -4,8 +4,8 @@ The symbols of many pre-tokens lie in one flat array. In every round each
 pre-token finds the lowest-ranked pair of neighbours it holds and all
 pre-tokens merge theirs at once; those without a pair left are done, and the
 symbols that remain are their tokens. Each task keeps the counts of pre-tokens
-it has met (``max_cached`` at most, then it starts afresh) and merges the new
-ones of a batch together.
+it has met (about ``max_cached`` words, then it starts afresh) and merges the
+new ones of a batch together.
 
 Null and empty texts have no tokens. Repeated rows are counted each, an empty
 table gives no rows, other columns are not read, and a null id is kept.
@@ -91,8 +91,34 @@ class MergeTable:
         return done
 
 
+class UnitCache:
+    """Values of units (words with their marks), computed in batches for those not met before."""
+
+    def __init__(self, compute, max_cached: int):
+        self.compute, self.max_cached = compute, max_cached
+        self.known: dict = {}
+
+    def values(self, texts: list[list[str]]) -> list[list]:
+        if len(self.known) > self.max_cached:
+            self.known.clear()
+        known = self.known.get
+        out = [list(map(known, units)) for units in texts]
+        missing = []
+        for units, values in zip(texts, out, strict=True):
+            at = -1
+            for _ in range(values.count(None)):
+                at = values.index(None, at + 1)
+                missing.append((values, at, units[at]))
+        new = list({unit for _, _, unit in missing})
+        if new:
+            self.known.update(zip(new, self.compute(new), strict=True))
+        for values, at, unit in missing:
+            values[at] = self.known[unit]
+        return out
+
+
 class Counter:
-    def __init__(self, path: str, max_cached: int = 1_500_000):
+    def __init__(self, path: str, max_cached: int = 1_000_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         if spec["model"]["type"] != "BPE" or not spec["model"]["end_of_word_suffix"]:
@@ -101,26 +127,28 @@ class Counter:
         self.library = load_tokenizer(path)
         self.special = re.compile("|".join(re.escape(t["content"]) for t in spec["added_tokens"]) or r"(?!)")
         self.bytes_of = {s: b for b, s in enumerate(byte_symbols())}
-        self.max_cached = max_cached
-        self.cache: dict[str, int] = {}
+        self.words = UnitCache(self._merged, max_cached)
+        self.cache = UnitCache(self._units, max_cached)
+
+    def _units(self, units: list[str]) -> list[int]:
+        """Tokens of blank-separated units; the new pre-tokens of all are merged together."""
+        words = [[u] if OTHER_SCRIPTS.search(u) else WORDS.findall(u) for u in units]
+        return [sum(counts) for counts in self.words.values(words)]
+
+    def _merged(self, words: list[str]) -> list[int]:
+        return self.table.count([w.encode("utf-8", "surrogateescape") for w in words]).tolist()
 
-    def _words(self, text: str) -> list[str]:
+    def _split(self, text: str) -> list[str]:
         if OTHER_SCRIPTS.search(text):
             # The library's own rules for scripts whose classes are not written out here.
             split = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
             return [bytes(self.bytes_of[c] for c in piece).decode("utf-8", "surrogateescape") for piece, _ in split]
-        return WORDS.findall((text if text.isascii() else unicodedata.normalize("NFC", text)).lower())
+        return (text if text.isascii() else unicodedata.normalize("NFC", text)).lower().split()
 
     def count(self, texts: list[str]) -> list[int]:
         parts = [self.special.split(t) for t in texts]
-        words = [[w for p in part for w in self._words(p)] for part in parts]
-        if len(self.cache) > self.max_cached:
-            self.cache.clear()
-        if new := list(set().union(*words) - self.cache.keys()):
-            counts = self.table.count([w.encode("utf-8", "surrogateescape") for w in new])
-            self.cache.update(zip(new, counts.tolist(), strict=True))
-        tokens = self.cache.__getitem__
-        return [len(part) - 1 + sum(map(tokens, w)) for part, w in zip(parts, words, strict=True)]
+        units = [[w for p in part for w in self._split(p)] if len(part) > 1 else self._split(part[0]) for part in parts]
+        return [len(part) - 1 + sum(tokens) for part, tokens in zip(parts, self.cache.values(units), strict=True)]
 
 
 @lru_cache(maxsize=2)

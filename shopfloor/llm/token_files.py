@@ -125,7 +125,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2) -> None
                 if writer is None:
                     store.create_dir(root, recursive=True)
                     writer = FrameWriter(store.open_output_stream(own))
-                ids = encoder(tokenizer).encode(chunk.column("text").to_pylist())
+                ids = encoder(tokenizer).encode_array(chunk.column("text"))
                 for doc_id, body in zip(chunk.column("doc_id").to_pylist(), ids, strict=True):
                     writer.add(doc_id, body + end)
         if writer is not None:
