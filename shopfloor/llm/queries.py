@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import shared_dir
-from . import decontaminate, html_blocks, jaccard_join, packing, quality, token_counts, token_files
+from . import decontaminate, grid_join, html_blocks, jaccard_join, packing, quality, token_counts, token_files
 from .ship import ship
 from .tokens import tokenizer_path
 
@@ -37,6 +37,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid_join.similarity_classes(_table(spark, sf_dir, "embeddings"), similarity=0.9)
+
+
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_blocks.extract(_table(spark, sf_dir, "pages"))
 
@@ -52,6 +56,6 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_pack_sequences, op2_quality_classifier, op4_decontamination, op5_token_counts, op8_html_extraction,
-    op9_token_files, op10_jaccard_join)}
+    op1_pack_sequences, op2_quality_classifier, op4_decontamination, op5_token_counts, op7_embedding_dedup,
+    op8_html_extraction, op9_token_files, op10_jaccard_join)}
 ORACLE_SQL: dict[str, str] = {}
