@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import shared_dir
-from . import decontaminate, grid_join, html_blocks, jaccard_join, packing, quality, token_counts, token_files
+from . import decontaminate, grid_join, html_blocks, jaccard_join, packing, preferences, quality, token_counts, token_files
 from .ship import ship
 from .tokens import tokenizer_path
 
@@ -29,6 +29,11 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
+def op3_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chosen, rejected = preferences.echo_pairs(_table(spark, sf_dir, "conversations"))
+    return preferences.digest(preferences.format_pairs(chosen, rejected))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -56,6 +61,6 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_pack_sequences, op2_quality_classifier, op4_decontamination, op5_token_counts, op7_embedding_dedup,
-    op8_html_extraction, op9_token_files, op10_jaccard_join)}
-ORACLE_SQL: dict[str, str] = {}
+    op1_pack_sequences, op2_quality_classifier, op3_preference_pairs, op4_decontamination, op5_token_counts,
+    op7_embedding_dedup, op8_html_extraction, op9_token_files, op10_jaccard_join)}
+ORACLE_SQL: dict[str, str] = {"op3_preference_pairs": preferences.ECHO_SQL}
