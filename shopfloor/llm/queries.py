@@ -7,7 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import shared_dir
-from . import decontaminate, grid_join, html_blocks, jaccard_join, packing, preferences, quality, token_counts, token_files
+from . import (decontaminate, grid_join, html_blocks, jaccard_join, licenses, packing, preferences, quality,
+               token_counts, token_files)
 from .ship import ship
 from .tokens import tokenizer_path
 
@@ -42,6 +43,11 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return licenses.scan(docs, licenses.train(docs))
+
+
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid_join.similarity_classes(_table(spark, sf_dir, "embeddings"), similarity=0.9)
 
@@ -62,5 +68,5 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_pack_sequences, op2_quality_classifier, op3_preference_pairs, op4_decontamination, op5_token_counts,
-    op7_embedding_dedup, op8_html_extraction, op9_token_files, op10_jaccard_join)}
+    op6_license_scan, op7_embedding_dedup, op8_html_extraction, op9_token_files, op10_jaccard_join)}
 ORACLE_SQL: dict[str, str] = {"op3_preference_pairs": preferences.ECHO_SQL}
