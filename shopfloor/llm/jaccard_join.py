@@ -167,8 +167,9 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     prefix = shared.mapInPandas(_adaptive(percent), "cls long, n long, matches long, token long").checkpoint()
 
     alike = f"100 * least(n, pn) >= {percent} * greatest(n, pn)"
-    sets = (_sets(docs, k).join(prefix.select(F.col("cls").alias("doc_id")).distinct(), "doc_id", "left_semi")
-            .dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "cls").checkpoint())
+    # Texts are moved rather than their sets, which are larger and don't compress.
+    needed = _rows(docs).join(prefix.select(F.col("cls").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    sets = (_sets(needed, k).dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "cls").checkpoint())
     links = None
     state = prefix.withColumn("comp", F.col("cls"))
     for _ in range(ROUNDS):
