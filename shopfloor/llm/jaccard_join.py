@@ -4,11 +4,12 @@ Two documents link when ``100 * intersection >= percent * union`` of their
 sets of distinct k-word shingles. Texts with equal sets form one class; classes
 are joined as follows.
 
-1. All shingles follow one order: those whose hash lies in the lowest
-   ``counted`` share come first, by the number of classes that hold them
-   (counted over all classes), then the others by hash. Sets of size n that
-   link share t = ceil(percent * n / 100) shingles, so for every l their first
-   n - t + l shingles share at least l.
+1. All shingles follow one order: by how often those of the same hash cell occur
+   in all documents (``2 ** CELL_BITS`` cells, so the table's size is fixed), then by
+   hash. Frequent shingles come last. Any one order gives right results; this one
+   keeps frequent shingles out of prefixes. Sets of size n that link share
+   t = ceil(percent * n / 100) shingles, so for every l their first n - t + l
+   shingles share at least l.
 2. Each class picks its own l: a longer prefix meets more shared shingles but
    demands more matches, and the class takes the l with the least expected
    cost (shingle partners met + verifications left). A pair is a candidate when
@@ -32,19 +33,20 @@ not read.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..session import shared_dir
 from .arrow import text_chunks, utf8
 from .components import components
 from .shingles import mix, shingle_sets
 
-COUNTED = 0.25
+CELL_BITS = 18
 MAX_MATCHES = 8
 ROUNDS = 2
 
@@ -83,22 +85,42 @@ def _listed(sets: list[np.ndarray]) -> pa.Array:
                                     pa.array(flat))
 
 
+def _cells(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+
+
+def _frequencies(docs: DataFrame, k: int) -> np.ndarray:
+    """Number of shingles of each hash cell, over the sets of all documents."""
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << CELL_BITS, np.int64)
+        for batch in batches:
+            for part in text_chunks(batch):
+                for s in shingle_sets(*utf8(part.column("text")), k):
+                    np.add.at(total, _cells(s), 1)
+        held = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(total[held])], names=["cell", "n"])
+
+    found = _rows(docs).mapInArrow(task, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    total = np.zeros(1 << CELL_BITS, np.int64)
+    total[found.cell.to_numpy(np.int64)] = found.n.to_numpy(np.int64)
+    return total
+
+
 def _heads(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """doc_id, n, counted (how many counted shingles) and the shingles that a prefix may hold."""
-    bound = np.uint64(int(COUNTED * (1 << 64)))
+    """doc_id, n and the longest prefix that a document may choose."""
+    often = docs.sparkSession.sparkContext.broadcast(_frequencies(docs, k))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_chunks(batch):
                 sets = shingle_sets(*utf8(part.column("text")), k)
-                counted = [int(np.searchsorted(s, bound)) for s in sets]
-                heads = [s[:max(c, len(s) - _needed(len(s), percent) + _matches(len(s), percent))] if len(s) else s
-                         for s, c in zip(sets, counted, strict=True)]
+                heads = [s[np.argsort(often.value[_cells(s)], kind="stable")[
+                    :len(s) - _needed(len(s), percent) + _matches(len(s), percent)]] for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
-                     pa.array(counted, pa.int64()), _listed(heads)], names=["doc_id", "n", "counted", "head"])
+                    [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), _listed(heads)],
+                    names=["doc_id", "n", "head"])
 
-    return _rows(docs).mapInArrow(task, "doc_id long, n long, counted long, head array<long>")
+    return _rows(docs).mapInArrow(task, "doc_id long, n long, head array<long>")
 
 
 def _sets(docs: DataFrame, k: int) -> DataFrame:
@@ -117,16 +139,11 @@ def _adaptive(percent: int):
     def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out: list[tuple] = []
-            for cls, n, counted, shared in zip(frame.cls, frame.n, frame.counted, frame.shared, strict=True):
+            for cls, n, shared in zip(frame.cls, frame.n, frame.shared, strict=True):
+                shared = sorted(shared, key=lambda s: s["pos"])
                 token = np.array([s["token"] for s in shared], np.int64)
-                pos = np.array([s["pos"] for s in shared], np.int64)
+                place = np.array([s["pos"] for s in shared], np.int64)
                 count = np.array([s["classes"] for s in shared], np.int64)
-                late = pos >= counted
-                order = np.lexsort((pos, np.where(late, 0, count), late))
-                token, pos, count, late = token[order], pos[order], count[order], late[order]
-                early = int((~late).sum())
-                # Counted shingles of this class alone come first, then its shared ones by count.
-                place = np.where(late, pos, counted - early + np.arange(len(pos)))
                 best = None
                 for matches in range(1, _matches(n, percent) + 1):
                     length = int(np.searchsorted(place, n - _needed(n, percent) + matches))
@@ -143,11 +160,23 @@ def _adaptive(percent: int):
     return task
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    left = sets.select(F.col("cls").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("cls").alias("b"), F.col("shingles").alias("sb"))
+def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int, folder: str) -> DataFrame:
+    """The pairs (a, b) that link, by the whole sets of just the documents in a pair.
+
+    Pairs, ids and sets are written first, so that Spark knows their sizes and needn't shuffle all texts where they
+    lie under its broadcast threshold.
+    """
+    read = docs.sparkSession.read
+    pairs.write.parquet(f"{folder}/pairs")
+    pairs = read.parquet(f"{folder}/pairs")
+    pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "doc_id").write.parquet(f"{folder}/ids")
+    needed = _rows(docs).join(read.parquet(f"{folder}/ids"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    _sets(needed, k).write.parquet(f"{folder}/sets")
+    sets = read.parquet(f"{folder}/sets")
+    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")).join(pairs, "a")
+    right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")).join(pairs, "b")
     common = F.size(F.array_intersect("sa", "sb"))
-    return (pairs.join(left, "a").join(right, "b")
+    return (left.join(right, ["a", "b"])
             .where(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b"))
 
 
@@ -158,21 +187,21 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     key = ["n", "f1", "f2"]
     classes = signed.where("n > 0").groupBy(*key).agg(F.min("doc_id").alias("cls"))
 
-    rows = (_heads(docs, k, percent).where("n > 0")
-            .join(classes.select(F.col("cls").alias("doc_id")), "doc_id", "left_semi")
-            .select(F.col("doc_id").alias("cls"), "n", "counted", F.posexplode("head").alias("pos", "token")))
-    counted = rows.withColumn("classes", F.count("*").over(Window.partitionBy("token"))).where("classes > 1")
-    shared = counted.groupBy("cls", "n", "counted").agg(
+    heads = (_heads(docs, k, percent).where("n > 0")
+             .join(classes.select(F.col("cls").alias("doc_id")), "doc_id", "left_semi")
+             .dropDuplicates(["doc_id"]).checkpoint())
+    rows = heads.select(F.col("doc_id").alias("cls"), "n", F.posexplode("head").alias("pos", "token"))
+    # Counts are summed before the shuffle, and the join back may be split where one shingle is in very many classes.
+    often = rows.groupBy("token").agg(F.count("*").alias("classes")).where("classes > 1")
+    shared = rows.join(often, "token").groupBy("cls", "n").agg(
         F.collect_list(F.struct("token", "pos", "classes")).alias("shared"))
     prefix = shared.mapInPandas(_adaptive(percent), "cls long, n long, matches long, token long").checkpoint()
 
     alike = f"100 * least(n, pn) >= {percent} * greatest(n, pn)"
-    # Texts are moved rather than their sets, which are larger and don't compress.
-    needed = _rows(docs).join(prefix.select(F.col("cls").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    sets = (_sets(needed, k).dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "cls").checkpoint())
+    folder = f"{shared_dir(docs.sparkSession)}/jaccard-join-{uuid.uuid4().hex}"
     links = None
     state = prefix.withColumn("comp", F.col("cls"))
-    for _ in range(ROUNDS):
+    for step in range(ROUNDS):
         # A pivot is the smallest class; a class of the pivot's own component takes none there.
         pivots = state.groupBy("token").agg(
             F.min(F.struct("comp", "cls", "n", "matches")).alias("p"), F.max("comp").alias("last")).where("p.comp < last")
@@ -183,7 +212,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
                  .agg(F.count("*").alias("met")).where("met >= least"))
         # One pivot for each class: the one it shares most with.
         chosen = pairs.groupBy("b").agg(F.max_by("a", F.struct("met", -F.col("a"))).alias("a"))
-        found = _verified(chosen, sets, percent).checkpoint()
+        found = _verified(chosen, docs, k, percent, f"{folder}/round-{step}").checkpoint()
         links = found if links is None else links.union(found)
         comps = components(links).select(F.col("id").alias("cls"), F.col("component").alias("root"))
         state = (prefix.join(comps, "cls", "left").withColumn("comp", F.coalesce("root", "cls")).drop("root")
@@ -198,7 +227,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     pairs = (left.join(right, "token").where("a < b").where("ca <> cb").where(alike)
              .groupBy("a", "b", F.least("ma", "mb").alias("least")).agg(F.count("*").alias("met"))
              .where("met >= least").select("a", "b"))
-    links = links.union(_verified(pairs, sets, percent)).checkpoint()
+    links = links.union(_verified(pairs, docs, k, percent, f"{folder}/last")).checkpoint()
     roots = components(links)
     named = classes.join(roots, F.col("cls") == F.col("id"), "left").select(
         *key, F.coalesce("component", "cls").alias("root"))
