@@ -282,7 +282,7 @@ def fan_out(live: LiveLayouts, fail: dict[str, Exception] | None = None):
                         getattr(live, f"apply_{sink}")(events, epoch_id)
                     outcomes[sink] = "ok"
                 except Exception as exc:  # one sink's failure is its own outcome
-                    outcomes[sink] = f"ERR: {type(exc).__name__}: {str(exc)[:300]}"
+                    outcomes[sink] = f"ERR: {type(exc).__name__}: {str(exc)}"
             rows = ingest.outcome_rows(events, outcomes).withColumn("epoch", F.lit(epoch_id))
             rows.write.mode("overwrite").parquet(
                 live.storage.path("outcomes", f"epoch={epoch_id}"))
