@@ -254,11 +254,11 @@ def keep_clean(docs: DataFrame, items: DataFrame, similarity: float = 0.8, per_b
         def task(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             searched = _prepared(block, similarity)
             for batch in batches:
-                at = batch.schema.get_field_index("text")
+                clean: list[bool] = []
                 for part in text_chunks(batch):
                     dirty = {t for t, _ in searched.search(part.column("text").to_pylist())}
-                    clean = pa.array([i not in dirty for i in range(part.num_rows)])
-                    yield part.set_column(at, "text", part.column(at).cast(batch.schema.field(at).type)).filter(clean)
+                    clean += [i not in dirty for i in range(part.num_rows)]
+                yield batch.filter(pa.array(clean, pa.bool_()))
 
         docs = docs.mapInArrow(task, docs.schema)
     return docs

@@ -208,9 +208,7 @@ def keep_good(docs: DataFrame, model: Network | float, threshold: float = 0.5) -
         net = Network(weights)
         limit = np.log(threshold / (1 - threshold))
         for batch in batches:
-            at = batch.schema.get_field_index("text")
-            for part in text_chunks(batch, limit=1 << 20):
-                good = net.logits(*utf8(part.column("text"))) >= limit
-                yield part.set_column(at, "text", part.column(at).cast(batch.schema.field(at).type)).filter(pa.array(good))
+            good = [net.logits(*utf8(part.column("text"))) >= limit for part in text_chunks(batch, limit=1 << 20)]
+            yield batch.filter(pa.array(np.concatenate([np.empty(0, bool), *good])))
 
     return docs.mapInArrow(task, docs.schema)
