@@ -163,7 +163,8 @@ def read(spark: SparkSession, folder: str, wanted: list[int] | None = None) -> D
     files = spark.read.parquet(f"{folder}/_manifest")
     before = F.sum("n_tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     listed = files.withColumn("before", F.coalesce(before, F.lit(0)))
-    return (listed.repartition(F.col("part")).mapInArrow(
+    # A stated number of partitions: the listing is small, and would else be read by one task.
+    return (listed.repartitionByRange(max(1, files.count()), "part").mapInArrow(
         task, "doc_id long, start long, n_tokens long, input_ids binary"))
 
 
