@@ -151,13 +151,14 @@ SALE_ID_PATTERN = r"^(.+)-([0-9]+)$"
 
 def parse_sale_ids(ids: DataFrame, col: str = "sales_fact_id") -> DataFrame:
     """Split each id at its last dash into (order_id, line_no); ids
-    without a dash, an empty side or a non-numeric tail get ``parsed=false``."""
+    without a dash, an empty side, or a tail that is no 64-bit number get ``parsed=false``."""
     c = F.col(col)
-    ok = c.rlike(SALE_ID_PATTERN)
+    line_no = F.regexp_extract(c, SALE_ID_PATTERN, 2).try_cast("long")
+    ok = c.rlike(SALE_ID_PATTERN) & line_no.isNotNull()
     return ids.select(
         c.alias("sales_fact_id"),
         F.when(ok, F.regexp_extract(c, SALE_ID_PATTERN, 1)).alias("order_id"),
-        F.when(ok, F.regexp_extract(c, SALE_ID_PATTERN, 2).cast("long")).alias("line_no"),
+        F.when(ok, line_no).alias("line_no"),
         ok.alias("parsed"),
     )
 

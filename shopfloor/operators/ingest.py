@@ -40,18 +40,20 @@ def normalize_events(events: DataFrame) -> DataFrame:
 
     Accepts events as JSON gives them (ISO date text, double amounts) or as
     the staging has them. ``seq`` is the arrival order; ``line_no`` when the
-    source gives none."""
+    source gives none. An event whose date is absent or no date, or whose numbers
+    don't parse, keeps its reason in ``error`` (null for a good event)."""
     cols = set(events.columns)
     e = events
     if "seq" not in cols:
         e = e.withColumn("seq", F.col("line_no").cast("long"))
-    e = e.withColumns({
-        "order_date": F.col("order_date").cast("date"),
-        "sales_amount": F.col("sales_amount").cast("decimal(18,2)"),
-        "profit_amount": F.col("profit_amount").cast("decimal(18,4)"),
-        "quantity": F.col("quantity").cast("int"),
-        "line_no": F.col("line_no").cast("long"),
-    })
+    typed = {"order_date": "date", "sales_amount": "decimal(18,2)", "profit_amount": "decimal(18,4)",
+             "quantity": "int", "line_no": "long"}
+    reasons = [F.when(F.col(c).isNotNull() & F.col(c).try_cast(t).isNull(),
+                      F.concat(F.lit(f"{c} is no {t.split('(')[0]}: "), F.col(c).cast("string")))
+               for c, t in typed.items()]
+    reasons.append(F.when(F.col("order_date").isNull(), F.lit("order_date is missing")))
+    e = e.withColumn("error", F.coalesce(*reasons))
+    e = e.withColumns({c: F.col(c).try_cast(t) for c, t in typed.items()})
     derived = {"year": F.year("order_date"), "month": F.month("order_date"),
                "day": F.dayofmonth("order_date"), "month_name": month_name("order_date")}
     for name, expr in derived.items():
@@ -214,9 +216,12 @@ def add_edges(existing: DataFrame, incoming: DataFrame, sale_keyed: bool) -> Dat
 # ---------------------------------------------------------------------------
 
 def outcome_rows(events: DataFrame, outcomes: dict[str, str]) -> DataFrame:
-    """One row per event and sink: (sales_fact_id, sink, outcome)."""
-    ids = events.select("sales_fact_id")
-    parts = [ids.select("sales_fact_id", F.lit(sink).alias("sink"), F.lit(res).alias("outcome"))
+    """One row per event and sink: (sales_fact_id, sink, outcome). A bad event's own
+    error is its outcome, whatever the sink's."""
+    own = (F.concat(F.lit("ERR: "), F.col("error")) if "error" in events.columns
+           else F.lit(None).cast("string"))
+    parts = [events.select("sales_fact_id", F.lit(sink).alias("sink"),
+                           F.coalesce(own, F.lit(res)).alias("outcome"))
              for sink, res in outcomes.items()]
     out = parts[0]
     for p in parts[1:]:

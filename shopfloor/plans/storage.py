@@ -31,16 +31,20 @@ class Storage:
         return bool(fs.exists(p))
 
     def write_text(self, text: str, *parts: str) -> None:
-        """Write a small file atomically: temp file, then rename."""
+        """Write a small file atomically: temp file, then a rename over the old one."""
         target = self.path(*parts)
         fs, p = self._fs_path(target)
+        fs.mkdirs(p.getParent())
         tmp = self._fs_path(target + f".{uuid.uuid4().hex}.tmp")[1]
         out = fs.create(tmp, True)
         out.write(bytearray(text.encode("utf-8")))
         out.close()
-        if fs.exists(p):
-            fs.delete(p, False)
-        fs.rename(tmp, p)
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        rename = getattr(hadoop, "Options$Rename")
+        options = self.spark.sparkContext._gateway.new_array(rename, 1)
+        options[0] = rename.OVERWRITE
+        context = hadoop.FileContext.getFileContext(fs.getUri(), self.spark._jsc.hadoopConfiguration())
+        context.rename(fs.makeQualified(tmp), fs.makeQualified(p), options)
 
     def read_text(self, *parts: str) -> str | None:
         fs, p = self._fs_path(self.path(*parts))
@@ -53,6 +57,17 @@ class Storage:
         finally:
             stream.close()
 
+    def folders(self, *parts: str) -> list[str]:
+        """Names of the folders under a path (none where it is absent)."""
+        fs, p = self._fs_path(self.path(*parts))
+        if not fs.exists(p):
+            return []
+        return sorted(f.getPath().getName() for f in fs.listStatus(p) if f.isDirectory())
+
+    def delete(self, *parts: str) -> None:
+        fs, p = self._fs_path(self.path(*parts))
+        fs.delete(p, True)
+
     # -- tables -------------------------------------------------------------
     def write(self, df: DataFrame, *parts: str, partition_by: list[str] | None = None) -> DataFrame:
         """Write ``df`` as parquet (replacing what is there) and read it back.

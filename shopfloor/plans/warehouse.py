@@ -51,9 +51,12 @@ def _fingerprint(spark: SparkSession, sf_dir: str) -> str:
     for name in _SALES_INPUTS:
         p = jvm.org.apache.hadoop.fs.Path(table_path(sf_dir, name))
         fs = p.getFileSystem(conf)
-        st = fs.getFileStatus(p)
-        h.update(f"{fs.makeQualified(p).toString()}|{st.getLen()}|{st.getModificationTime()}"
-                 .encode())
+        # Every file below, so that one added in a nested folder shows.
+        files, found = fs.listFiles(p, True), []
+        while files.hasNext():
+            st = files.next()
+            found.append(f"{st.getPath().toString()}|{st.getLen()}|{st.getModificationTime()}")
+        h.update("\n".join(sorted(found)).encode())
     return h.hexdigest()[:16]
 
 

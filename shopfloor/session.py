@@ -49,8 +49,8 @@ def shared_dir(spark: SparkSession) -> str:
     """Folder shared by all executors for written tables and checkpoints.
 
     The cluster names it in ``spark.checkpoint.dir``; it is read from the
-    session. Only when nothing is set (local tests) a fresh temporary folder
-    is made and registered as the checkpoint dir.
+    session. Only when nothing is set and the master is local (tests) a fresh
+    temporary folder is made and registered as the checkpoint dir.
     """
     sc = spark.sparkContext
     configured = sc.getConf().get("spark.checkpoint.dir", None)
@@ -59,6 +59,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = sc.getCheckpointDir()
     if current:
         return current.rstrip("/")
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     local = tempfile.mkdtemp(prefix="shopfloor-")
     sc.setCheckpointDir(local)
     return sc.getCheckpointDir().rstrip("/")

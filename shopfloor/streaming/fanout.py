@@ -2,9 +2,12 @@
 three layouts, with one outcome per event and sink.
 
 A sink that fails does not stop the others (as in the reference) and its
-error is recorded; unlike the reference the query checkpoints its offsets,
-so a batch is retried after a crash. Each layout records the last batch id
-it published, and a replayed batch skips the layouts that already have it. Each layout lives as versions under
+error is recorded; unlike the reference its batch is not lost. It is kept
+under ``pending/<sink>`` and applied before any newer one, so a layout gets
+its batches in order and each once. Each layout records the last batch id
+it published, and a replayed batch skips the layouts that already have it.
+A bad event (no date, a number that does not parse) is its own error outcome;
+the rest of its batch goes on. Each layout lives as versions under
 ``live/<layout>`` behind a pointer: a batch reads the current version,
 writes the next one and moves the pointer. New facts are written as their
 own part (``facts/epoch=<id>``, replaced on retry), so the star's fact
@@ -132,7 +135,7 @@ class LiveLayouts:
         written = (self.spark.read.parquet(root).select("_y", "_m").distinct().collect())
         months = dict(keep or {})
         for r in written:
-            months[f"{r['_y']}-{r['_m']}"] = f"{root}/_y={r['_y']}/_m={r['_m']}"
+            months[f"{r['_y']}-{r['_m']}"] = f"{root}/_y={_folder(r['_y'])}/_m={_folder(r['_m'])}"
         self._publish("nested", version, {"last_epoch": epoch, "months": months,
                                           "schema_json": nested.schema.json()})
 
@@ -165,7 +168,7 @@ class LiveLayouts:
             written = {r["_pm"] for r in
                        self.spark.read.parquet(root).select("_pm").distinct().collect()}
             months = dict((keep or {}).get(name, {}))
-            months.update({m: f"{root}/_pm={m}" for m in written})
+            months.update({str(m): f"{root}/_pm={_folder(m)}" for m in written})
             parts[name] = months
             schemas[name] = df.schema.json()
         self._publish("graph", version, {"small": small, "sale_parts": parts,
@@ -204,7 +207,8 @@ class LiveLayouts:
         meta = self._meta("nested")
         current = self.nested()
         latest = ingest.nested_records(ingest.last_per_id(events))
-        month = F.concat_ws("-", F.col("date.year"), F.col("date.month"))
+        month = F.concat_ws("-", *[F.coalesce(F.col(c).cast("string"), F.lit("None"))
+                                   for c in ("date.year", "date.month")])
         ids = latest.select("sales_fact_id")
         old_months = current.join(ids, "sales_fact_id", "left_semi").select(month.alias("k"))
         touched = {r.k for r in latest.select(month.alias("k")).union(old_months)
@@ -228,7 +232,7 @@ class LiveLayouts:
                                 F.date_format("order_date", "yyyy-MM").alias("_new"))
                   .join(stored, "sales_fact_id", "left")
                   .select("sales_fact_id", F.coalesce(MONTH, "_new").alias(MONTH)))
-        touched = {r[0] for r in assign.select(MONTH).distinct().collect()}  # bounded
+        touched = {str(r[0]) for r in assign.select(MONTH).distinct().collect()}  # bounded
         ids = assign.select("sales_fact_id")
         # every edge of a sale is stored in the sale's month, so the touched
         # months hold all edges a batch can repeat: no whole-table scan
@@ -255,6 +259,11 @@ MONTH = "_month"
 SALE_TABLES = ("Sale", *graph_ops.SALE_EDGE_DST)
 
 
+def _folder(value) -> str:
+    """A partition column's value as its folder is named."""
+    return "__HIVE_DEFAULT_PARTITION__" if value is None else str(value)
+
+
 def _with_sale_month(g: graph_ops.Graph) -> dict[str, DataFrame]:
     """Sale nodes and sale edges tagged with the month of the sale's first date."""
     month = (g.edges["ON_DATE"].groupBy("src")
@@ -266,6 +275,30 @@ def _with_sale_month(g: graph_ops.Graph) -> dict[str, DataFrame]:
     return out
 
 
+def _apply(live: LiveLayouts, sink: str, events: DataFrame, epoch: int, fail) -> str:
+    """Apply one batch to one layout unless it has it; the outcome."""
+    try:
+        if fail and sink in fail:
+            raise fail[sink]
+        if not live.applied(sink, epoch):  # a replayed batch
+            getattr(live, f"apply_{sink}")(events.where("error IS NULL").drop("error"), epoch)
+        return "ok"
+    except Exception as exc:  # one sink's failure is its own outcome
+        return f"ERR: {type(exc).__name__}: {exc}"
+
+
+def _record(live: LiveLayouts, sink: str, events: DataFrame, epoch: int, outcome: str) -> None:
+    (ingest.outcome_rows(events, {sink: outcome}).drop("sink").write.mode("overwrite")
+     .parquet(live.storage.path("outcomes", f"epoch={epoch}", f"sink={sink}")))
+
+
+def pending_epochs(live: LiveLayouts, sink: str) -> list[int]:
+    """Batches a sink has yet to take, oldest first."""
+    names = live.storage.folders("pending", sink)
+    return sorted(int(n.split("=")[1]) for n in names
+                  if live.storage.exists("pending", sink, n, "_SUCCESS"))
+
+
 def fan_out(live: LiveLayouts, fail: dict[str, Exception] | None = None):
     """foreachBatch function: apply a batch to each layout, record outcomes.
 
@@ -273,19 +306,23 @@ def fan_out(live: LiveLayouts, fail: dict[str, Exception] | None = None):
     def run(batch: DataFrame, epoch_id: int) -> None:
         events = ingest.normalize_events(batch).persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            outcomes = {}
             for sink in SINKS:
-                try:
-                    if fail and sink in fail:
-                        raise fail[sink]
-                    if not live.applied(sink, epoch_id):  # a replayed batch
-                        getattr(live, f"apply_{sink}")(events, epoch_id)
-                    outcomes[sink] = "ok"
-                except Exception as exc:  # one sink's failure is its own outcome
-                    outcomes[sink] = f"ERR: {type(exc).__name__}: {str(exc)}"
-            rows = ingest.outcome_rows(events, outcomes).withColumn("epoch", F.lit(epoch_id))
-            rows.write.mode("overwrite").parquet(
-                live.storage.path("outcomes", f"epoch={epoch_id}"))
+                outcome = "ok"
+                for epoch in [e for e in pending_epochs(live, sink) if e < epoch_id]:
+                    kept = live.storage.read("pending", sink, f"epoch={epoch}")
+                    outcome = _apply(live, sink, kept, epoch, fail)
+                    if outcome != "ok":
+                        break
+                    _record(live, sink, kept, epoch, outcome)
+                    live.storage.delete("pending", sink, f"epoch={epoch}")
+                if outcome == "ok":
+                    outcome = _apply(live, sink, events, epoch_id, fail)
+                here = ("pending", sink, f"epoch={epoch_id}")
+                if outcome != "ok":
+                    events.write.mode("overwrite").parquet(live.storage.path(*here))
+                _record(live, sink, events, epoch_id, outcome)
+                if outcome == "ok" and live.storage.exists(*here):
+                    live.storage.delete(*here)
         finally:
             events.unpersist()
     return run

@@ -54,6 +54,7 @@ def kafka_values(spark: SparkSession, topic: str, servers: str) -> DataFrame:
             .option("subscribe", topic).option("startingOffsets", "earliest").load()
             .select(F.col("key").cast("string").alias("key"),
                     F.col("value").cast("string").alias("value"),
+                    F.col("partition"), F.col("offset").alias("seq"),
                     F.col("timestamp").alias("event_time")))
 
 
@@ -96,11 +97,15 @@ def read_sales_transactions(spark: SparkSession, path: str, stream: bool = True,
 
 def read_sale_events(spark: SparkSession, path: str, stream: bool = True,
                      max_files_per_trigger: int | None = None) -> DataFrame:
-    """JSON sale events (the 25 fields)."""
+    """JSON sale events (the 25 fields) and ``seq``, their arrival order: the file's
+    modification time, then the place in the file. (A topic's events of one sale have one key,
+    so its partition's offset is their order: ``kafka_values`` gives that as ``seq``.)"""
     r = _reader(spark, stream).schema(SALE_EVENT_SCHEMA)
     if stream and max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-    return r.json(path)
+    arrived = F.unix_millis("_metadata.file_modification_time").cast("decimal(38,0)")
+    place = F.monotonically_increasing_id().cast("decimal(38,0)")
+    return r.json(path).withColumn("seq", (arrived * F.lit(1 << 62) + place).cast("decimal(38,0)"))
 
 
 # ---------------------------------------------------------------------------

@@ -12,7 +12,7 @@ from shopfloor.operators import nested as nested_ops
 from shopfloor.operators import star as star_ops
 from shopfloor.plans.storage import Storage
 from shopfloor.sources.sinks import write_documents, write_events, write_lines
-from shopfloor.streaming.fanout import LiveLayouts, fan_out, outcomes, start_fan_out
+from shopfloor.streaming.fanout import LiveLayouts, fan_out, outcomes, pending_epochs, start_fan_out
 from shopfloor.streaming.sources import read_sale_events
 
 BASE = [("O1", 0, "2017-01-02", "First", "Ann", "Oslo", "North", "Phone", "Tech", 100, 1, 10)]
@@ -161,3 +161,77 @@ def test_compact_star_keeps_facts_and_shrinks_the_manifest(spark):
     assert sorted(tuple(r) for r in live.star().fact_sales.collect()) == before
     fan_out(live)(batch, 2)  # batches keep appending after a compaction
     assert live.star().fact_sales.count() == len(before) + 2
+
+
+def _events(spark, rows):
+    cols = ("sales_fact_id string, line_no long, order_date string, ship_mode string, customer_name string, "
+            "state string, region string, product_name string, category string, sales_amount double, "
+            "quantity int, profit_amount double, order_id string, seq long")
+    return spark.createDataFrame(rows, cols)
+
+
+def _event(sale, amount, seq, date="2017-03-05"):
+    order, line = sale.split("-")
+    return (sale, int(line), date, "First", "Ann", "Oslo", "North", "Phone", "Tech", float(amount), 1, 1.0, order, seq)
+
+
+def test_failed_sink_takes_its_batches_later_and_in_order(spark, tmp_path):
+    live = _live(spark)
+    schema = _events(spark, []).schema
+    folder = str(tmp_path / "in")
+
+    def step(rows, fail):
+        _events(spark, rows).coalesce(1).write.mode("append").json(folder)
+        q = start_fan_out(spark.readStream.schema(schema).json(folder), live, fail=fail)
+        q.processAllAvailable()
+        q.stop()
+
+    down = {"nested": RuntimeError("store down")}
+    step([_event("O2-1", 10, 0)], down)
+    step([_event("O2-1", 20, 1), _event("O3-1", 5, 2)], down)
+    assert pending_epochs(live, "nested") == [0, 1] and live.nested().count() == 1
+    step([_event("O4-1", 7, 3)], None)
+    assert pending_epochs(live, "nested") == []
+    want = {"O1-0": 100.0, "O2-1": 20.0, "O3-1": 5.0, "O4-1": 7.0}
+    assert {r.sales_fact_id: float(r.sales_amount) for r in live.nested().collect()} == want
+    assert {r.sales_fact_id: float(r.sales_amount) for r in live.graph().nodes["Sale"].collect()} == want
+    assert live.star().fact_sales.count() == 5
+    assert {r.outcome for r in outcomes(live).collect()} == {"ok"}
+
+
+def test_bad_event_is_its_own_outcome(spark):
+    live = _live(spark)
+    fan_out(live)(_events(spark, [_event("O2-1", 1, 0), _event("O3-1", 1, 1, "not a date"), _event("O4-1", 1, 2, None)]), 0)
+    assert {r.sales_fact_id for r in live.nested().collect()} == {"O1-0", "O2-1"}
+    assert live.star().fact_sales.count() == 2
+    got = {(r.sales_fact_id, r.outcome) for r in outcomes(live).collect()}
+    assert got == {("O2-1", "ok"), ("O3-1", "ERR: order_date is no date: not a date"),
+                   ("O4-1", "ERR: order_date is missing")}
+
+
+def test_last_of_several_events_wins_however_dealt(spark):
+    rows = [_event("O2-1", amount, seq) for seq, amount in enumerate([30, 90, 10])]
+    for parts in (1, 2, 5):
+        last = ingest.last_per_id(ingest.normalize_events(_events(spark, rows).repartition(parts))).collect()
+        assert [float(r.sales_amount) for r in last] == [10.0]
+
+
+def test_file_events_come_in_order_of_their_places(spark, tmp_path):
+    _events(spark, [_event("O2-1", a, 0) for a in (30, 90, 10)]).drop("seq").coalesce(1).write.json(str(tmp_path / "e"))
+    last = ingest.last_per_id(ingest.normalize_events(read_sale_events(spark, str(tmp_path / "e"), stream=False)))
+    assert [float(r.sales_amount) for r in last.collect()] == [10.0]
+
+
+def test_nested_layout_with_a_sale_without_date(spark):
+    st = Storage(spark, tempfile.mkdtemp(prefix="live-", dir="/tmp"))
+    live = LiveLayouts(spark, st)
+    undated = (BASE[0][0], 5, None, *BASE[0][3:])
+    live.write_nested(nested_ops.nested_records(sales_frame(spark, [*BASE, undated])))
+    assert live.nested().count() == 2
+
+
+def test_long_tails_of_sale_ids_do_not_parse(spark):
+    from shopfloor.operators.customers import parse_sale_ids
+    ids = spark.createDataFrame([("O1-99999999999999999999",), ("O1-7",), (None,)], "sales_fact_id string")
+    got = {r.sales_fact_id: (r.line_no, r.parsed) for r in parse_sale_ids(ids).collect()}
+    assert got == {"O1-99999999999999999999": (None, False), "O1-7": (7, True), None: (None, False)}
