@@ -5,11 +5,14 @@ block-level tags. The first pass decides the clear ones: blocks of menus,
 headers, footers, sidebars, notices, adverts, forms and reader comments (by
 element, class, id or role), blocks outside the article of a page that marks
 one, and blocks that are mostly links are bad; blocks with enough words and
-enough stop words among them are good. The second pass gives the rest, mostly
-short ones, the label of the nearest decided blocks of their section, then of
-the page; between a good and a bad one, a heading follows the one after it, and
-other blocks are good inside an article. Blocks of an article without any
-decided block are good.
+enough stop words among them are good; where most of the long text lacks the
+stop words (other languages, code), enough words suffice. The second pass gives
+the rest, mostly short ones, the label of the nearest decided blocks of their
+section, then of the page, where menus, footers and the like say nothing about
+the blocks around them; between a good and a bad one, a heading follows the one
+after it, and other blocks are good inside an article. Blocks of an article
+without any decided block are good, and so are, on a page where the first pass
+finds no good block, all that it leaves, if they have three words together.
 
 Null and empty html gives an empty text, as does a page without a good block.
 Unclosed and stray tags are accepted, an unclosed comment or script runs to the
@@ -61,7 +64,9 @@ SECTIONS = frozenset(["article", "main", "section", "body"])
 TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
 NAMED = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-WORD = re.compile(r"[^\W\d_]+")
+# Scripts written without blanks (Thai to Khmer, kana, Han): each letter counts as a word.
+WORD = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]"
+                  "|(?:(?![\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff])[^\\W\\d_])+")
 RAW_END = {name: re.compile(rf"</{name}\b[^>]*>?", re.I) for name in RAW}
 
 
@@ -227,6 +232,7 @@ def read_blocks(html: str) -> list[Block]:
 def decide(blocks: list[Block], min_words: int = 10, stop_density: float = 0.15, link_density: float = 0.5) -> None:
     """First pass: labels the clear blocks."""
     marked = any(b.article and not b.bad for b in blocks)
+    known, other = 0, []
     for b in blocks:
         if b.bad or (marked and not b.article) or (not marked and b.linked >= link_density):
             b.label = False
@@ -237,6 +243,13 @@ def decide(blocks: list[Block], min_words: int = 10, stop_density: float = 0.15,
         elif b.linked < link_density and len(words) >= min_words:
             if sum(w in STOP_WORDS for w in words) >= stop_density * len(words):
                 b.label = True
+                known += len(words)
+            else:
+                other.append((b, len(words)))
+    # The stop words tell nothing about a page that is mostly in another language, or code.
+    if sum(n for _, n in other) > known:
+        for b, _ in other:
+            b.label = True
 
 
 def _nearest(decided: list[bool | None], forward: bool) -> list[tuple[int, bool] | None]:
@@ -269,18 +282,22 @@ def _inherit(blocks: list[Block]) -> None:
 
 def resolve(blocks: list[Block]) -> None:
     """Second pass: the others take the label of their nearest decided neighbours."""
-    sections: dict[int, list[Block]] = {}
-    for b in blocks:
-        sections.setdefault(b.section, []).append(b)
-    for inside in sections.values():
-        _inherit(inside)
+    if any(b.label for b in blocks):
+        sections: dict[int, list[Block]] = {}
+        for b in blocks:
+            sections.setdefault(b.section, []).append(b)
+        for inside in sections.values():
+            _inherit(inside)
     for b in blocks:
         if b.label is None and b.article:
             b.label = True
-    _inherit(blocks)
-    for b in blocks:
-        if b.label is None:
-            b.label = b.article or len(WORD.findall(b.text)) >= 3
+    if any(b.label for b in blocks):
+        # Boilerplate by its place or name is not asked for the blocks beside it.
+        _inherit([b for b in blocks if not b.bad])
+    left = [b for b in blocks if b.label is None]
+    enough = sum(len(WORD.findall(b.text)) for b in left) >= 3
+    for b in left:
+        b.label = enough
 
 
 def main_text(html: str | None) -> str:

@@ -77,3 +77,22 @@ def test_licences_found_and_clean_texts_left_alone(spark):
     assert licenses.scan(docs.limit(0), model).collect() == []
     found = {r.doc_id for r in licenses.scan(docs, model).where("confirmed AND family = 'mit'").collect()}
     assert found >= {r.doc_id for r in docs.collect() if re.search("under the MIT License", r.text or "")}
+
+
+def test_pages_without_article_in_other_languages_and_of_short_blocks():
+    page = "<nav><a href=a>Home</a> <a href=b>News</a></nav>{}<footer>About this site and all of the people in it</footer>"
+    russian = ("Вчера вечером жители города собрались на главной площади, чтобы вместе встретить первый снег и "
+               "послушать музыку.")
+    bodies = [
+        ["Первый снег", russian, "Конец", russian], ["Titolo", "Ieri sera molti cittadini hanno visto cadere neve fresca "
+         "sopra tetti, strade, giardini, ponti antichi, barche."], ["初雪", "昨天晚上，城里的居民聚集在广场上，一起迎接第一场雪。"],
+        ["Roses", "Roses bloom red", "Violets glow", "Honey"], ["milk and eggs", "bread", "tea"], ["x = f(y)", "return x + z"]]
+    for body in bodies:
+        inner = f"<h1>{body[0]}</h1>" + "".join(f"<p>{t}</p>" for t in body[1:])
+        for whole in (f"<div>{inner}</div>", f"<section>{inner}</section>", inner,
+                      f"<div><a href=c>Start page</a></div><div>{inner}</div><div>© 2024 us</div>"):
+            assert html_blocks.main_text(page.format(whole)) == "\n".join(body)
+    english = "It was the first snow of the year and all of us went out to see it."
+    assert html_blocks.main_text(page.format(f"<section><h2>Snow</h2><p>Brief.</p></section><section><p>{english}</p>"
+                                             "</section>")) == f"Snow\nBrief.\n{english}"
+    assert html_blocks.main_text(page.format("")) == ""
