@@ -14,6 +14,14 @@ after it, and other blocks are good inside an article. Blocks of an article
 without any decided block are good, and so are, on a page where the first pass
 finds no good block, all that it leaves, if they have three words together.
 
+Names are whole ones: a class token or id counts where it, or every part of it
+together with words of place ("site-footer"), is such a name, not by one part
+("has-sidebar"); ids of headings and sections, which documentation tools make
+from titles, count only as a whole or not at all. Forms and what is called bad
+only by class or id are judged by the rules of their own blocks where they hold
+the greater part of the page's text, or in an article ``HELD`` words of good
+text; reader comments, and elements and roles of menus and the like, are not.
+
 Null and empty html gives an empty text, as does a page without a good block.
 Unclosed and stray tags are accepted, an unclosed comment or script runs to the
 end of the page, and reading time is linear in the page. Each row is taken by
@@ -49,7 +57,7 @@ figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr h
 option p pre section summary table tbody td tfoot th thead tr ul
 """.split())
 EMPTY = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-BAD_ELEMENTS = frozenset("nav footer aside form menu dialog head button".split())
+BAD_ELEMENTS = frozenset("nav footer aside menu dialog head button".split())
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search alert dialog form menu menubar".split())
 BAD_NAMES = frozenset("""
 ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie
@@ -57,12 +65,17 @@ cookies copyright disclaimer disqus footer gdpr login menu modal nav navbar navi
 promo promotion recommended related replies reply respond share sharing sidebar signup social sponsor sponsored
 subscribe subscription toolbar widget
 """.split())
+PLACE_NAMES = frozenset("""
+area bar block bottom box button buttons container form global header icons inner item items left link links list main
+outer page panel post posts primary right secondary section site slot text title top unit wrap wrapper
+""".split())
+HELD = 50
 COMMENT_NAMES = frozenset("comment comments disqus replies reply respond".split())
 HEADINGS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
 SECTIONS = frozenset(["article", "main", "section", "body"])
 
 TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
-NAMED = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]++)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>"']++))?""")
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 # Scripts written without blanks (Thai to Khmer, kana, Han): each letter counts as a word.
 WORD = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]"
@@ -78,6 +91,7 @@ class Block:
     article: bool
     section: int
     linked: float
+    holder: int = 0
     label: bool | None = None
 
 
@@ -88,20 +102,43 @@ class _Open:
     comments: bool
     article: bool
     section: int
+    holder: int = 0
 
 
-def _names(attributes: str) -> tuple[bool, bool]:
-    """Whether class, id or role tell of something beside the article, and of reader comments."""
-    bad = comments = False
-    for key, value in NAMED.findall(attributes):
-        value = value.strip("\"'")
-        if key.lower() == "role":
-            bad |= value.lower() in BAD_ROLES
-        else:
-            parts = {p.lower() for p in NAME_PART.findall(value)}
-            bad |= not parts.isdisjoint(BAD_NAMES)
-            comments |= not parts.isdisjoint(COMMENT_NAMES)
-    return bad, comments
+@dataclass
+class Holder:
+    """A form, or an element that is bad by its class or id alone, and the one around it (0: none)."""
+
+    above: int
+    form: bool = False
+    article: bool = False
+    words: int = 0
+    good: int = 0
+    freed: bool = False
+
+
+def _bad_name(name: str, whole: bool) -> frozenset[str]:
+    """The bad names that a class token or id is made of; none if it has other parts."""
+    if name.lower() in BAD_NAMES:
+        return frozenset([name.lower()])
+    parts = frozenset(p.lower() for p in NAME_PART.findall(name))
+    found = parts & BAD_NAMES
+    return found if not whole and parts <= BAD_NAMES | PLACE_NAMES else frozenset()
+
+
+def _names(element: str, attributes: str) -> tuple[bool, bool, bool]:
+    """Whether the role, then class or id, tell of something beside the article, and whether of reader comments."""
+    role = named = comments = False
+    for key, value in ATTRIBUTE.findall(attributes):
+        key, value = key.lower(), value.strip("\"'")
+        if key == "role":
+            role |= value.strip().lower() in BAD_ROLES
+        elif key == "class" or (key == "id" and element not in HEADINGS):
+            for name in value.split():
+                if found := _bad_name(name, key == "id" and element in SECTIONS):
+                    named = True
+                    comments |= not found.isdisjoint(COMMENT_NAMES)
+    return role, named, comments
 
 
 class _Reader:
@@ -109,6 +146,7 @@ class _Reader:
 
     def __init__(self) -> None:
         self.blocks: list[Block] = []
+        self.holders = [Holder(0)]
         self.stack = [_Open("", False, False, False, 0)]
         self.open: Counter[str] = Counter()
         self.sections = 0
@@ -130,7 +168,7 @@ class _Reader:
         if text:
             top = self.stack[-1]
             self.blocks.append(Block(text, self.tag, top.bad, top.article, top.section,
-                                     self.link_chars / max(1, self.chars)))
+                                     self.link_chars / max(1, self.chars), top.holder))
         self.parts, self.chars, self.link_chars = [], 0, 0
 
     def pop_to(self, name: str) -> None:
@@ -149,7 +187,7 @@ class _Reader:
             self.link_depth = len(self.stack)
         if name in EMPTY and name != "hr":
             return
-        named_bad, comments = _names(attributes) if "=" in attributes else (False, False)
+        role, named, comments = _names(name, attributes) if "=" in attributes else (False, False, False)
         block = name in BLOCKS
         if block:
             self.flush()
@@ -160,25 +198,28 @@ class _Reader:
                 self.pop_to("li")
             if name in HEADINGS or name in ("p", "article", "main"):
                 self.link_depth = 0
-        if name == "hr" or not (block or named_bad or self.open[name]):
+        if name == "hr" or not (block or role or named or self.open[name]):
             return
         top = self.stack[-1]
-        section, article, bad, in_comments = top.section, top.article, top.bad, top.comments
+        section, article, bad, in_comments, holder = top.section, top.article, top.bad, top.comments, top.holder
         if name in SECTIONS:
             self.sections += 1
             section = self.sections
         if name in ("article", "main"):
             in_comments |= comments
-            bad, article = in_comments, True
+            bad, article, holder = in_comments, True, 0
         elif name not in ("html", "body"):
             in_comments |= comments
-            bad |= named_bad or name in BAD_ELEMENTS or (name == "header" and not article)
-        if bad and not top.bad:
+            bad |= role or comments or name in BAD_ELEMENTS or (name == "header" and not article)
+            if not bad and (named or name == "form"):
+                self.holders.append(Holder(holder, name == "form" and not named, article))
+                holder = len(self.holders) - 1
+        if (bad and not top.bad) or holder > top.holder:
             # What lies beside the article says nothing about the blocks around it.
             self.sections += 1
             section = self.sections
             self.flush()
-        self.stack.append(_Open(name, bad, in_comments, article, section))
+        self.stack.append(_Open(name, bad, in_comments, article, section, holder))
         self.open[name] += 1
 
     def end(self, name: str) -> None:
@@ -192,7 +233,7 @@ class _Reader:
 
 
 def read_blocks(html: str) -> list[Block]:
-    """The blocks of a page in page order, still without labels."""
+    """The blocks of a page in page order, still without labels; those of bad holders are bad."""
     reader, at, size = _Reader(), 0, len(html)
     while at < size:
         mark = html.find("<", at)
@@ -226,9 +267,35 @@ def read_blocks(html: str) -> list[Block]:
             reader.text("<")
             at = mark + 1
     reader.flush()
+    if len(reader.holders) > 1:
+        _judge_holders(reader.blocks, reader.holders)
     return reader.blocks
 
 
+def _known(words: list[str], stop_density: float = 0.15) -> bool:
+    return sum(w in STOP_WORDS for w in words) >= stop_density * len(words)
+
+
+def _judge_holders(blocks: list[Block], holders: list[Holder], min_words: int = 10, link_density: float = 0.5) -> None:
+    """Marks the blocks of holders as bad, but for those that hold the page's text or a good part of an article."""
+    held = [(b, WORD.findall(b.text.lower())) for b in blocks if not b.bad and b.linked < link_density]
+    dense = [(b, len(w), _known(w)) for b, w in held if len(w) >= min_words]
+    any_language = sum(n for _, n, known in dense if not known) > sum(n for _, n, known in dense if known)
+    for b, words in held:
+        holders[b.holder].words += len(words)
+    for b, n, known in dense:
+        holders[b.holder].good += n if known or any_language else 0
+    total = sum(h.words for h in holders)
+    holders[0].freed = True
+    for h in reversed(holders[1:]):
+        most = h.words if h.form else h.good
+        h.freed |= (most >= min_words and 2 * most >= total) or (h.article and h.good >= HELD)
+        # What holds a freed one holds the text, too.
+        holders[h.above].freed |= h.freed
+    for b in blocks:
+        b.bad |= not holders[b.holder].freed
+
+
 def decide(blocks: list[Block], min_words: int = 10, stop_density: float = 0.15, link_density: float = 0.5) -> None:
     """First pass: labels the clear blocks."""
     marked = any(b.article and not b.bad for b in blocks)
@@ -241,7 +308,7 @@ def decide(blocks: list[Block], min_words: int = 10, stop_density: float = 0.15,
         if not marked and len(words) < min_words and ("©" in b.text or "(c)" in b.text):
             b.label = False
         elif b.linked < link_density and len(words) >= min_words:
-            if sum(w in STOP_WORDS for w in words) >= stop_density * len(words):
+            if _known(words, stop_density):
                 b.label = True
                 known += len(words)
             else:

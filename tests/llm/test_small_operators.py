@@ -96,3 +96,30 @@ def test_pages_without_article_in_other_languages_and_of_short_blocks():
     assert html_blocks.main_text(page.format(f"<section><h2>Snow</h2><p>Brief.</p></section><section><p>{english}</p>"
                                              "</section>")) == f"Snow\nBrief.\n{english}"
     assert html_blocks.main_text(page.format("")) == ""
+
+
+def test_pages_whose_names_only_hold_a_bad_part_and_pages_in_a_form():
+    text = "It was the first snow of the year and all of us went out to see it."
+    more = "We were on the hill for an hour and then it was time to go to the village."
+    body = f"<h1>Snow</h1><p>{text}</p><p>{more}</p>"
+    want = f"Snow\n{text}\n{more}"
+    page = "<nav><a href=a>Home</a></nav>{}<footer>About us and all of the people who are in this</footer>"
+    for start in ("<div class='content has-sidebar'>", "<div class='layout with-navbar'>", "<section id='related-work'>",
+                  "<section id=copyright-notice>", "<div data-id='nav' data-class=\"footer\">", "<form action='/a'>",
+                  "<div title='class=ad'>", "<form class=page><div class='widget'>", "<div class='page sidebar'>"):
+        for whole in (page, page.format("<article><p>One of the parts is in here and it is on top.</p>{}</article>")):
+            got = html_blocks.main_text(whole.format(start + body + "</div>" * ("<div class='w" in start)))
+            if whole is page or "form" not in start and "page" not in start:
+                assert got.endswith(want), start
+    long = " ".join([text] * 4)
+    for start in ("<section id='sharing'>", "<form>"):
+        assert html_blocks.main_text(f"<article><p>{more}</p>{start}<p>{long}</p></article>") == f"{more}\n{long}"
+    assert html_blocks.main_text(f"<article><h2 id='comments-on-method'>On it</h2><p>{text}</p><h2 id='notice'>N</h2>"
+                                 f"</article>") == f"On it\n{text}\nN"
+    assert html_blocks.main_text("<form><h1>Roses bloom red</h1><p>Violets glow at night</p><p>Honey so very sweet</p></form>"
+                                 ) == "Roses bloom red\nViolets glow at night\nHoney so very sweet"
+    for part in ("<div class='site-footer'>", "<div id='cookie-banner'>", "<div class='comments-area'>", "<div role=alert>",
+                 "<div class='sidebar left'>", "<form>", "<div class=ad>", "<nav>"):
+        for whole in ("<div>{}</div>", "<article>{}</article>"):
+            inner = f"{body}<p>{more}</p>{part}This is all of the text that we have in here for you.</div></form></nav>"
+            assert html_blocks.main_text(whole.format(inner)) == f"{want}\n{more}", part
