@@ -25,10 +25,13 @@ are joined as follows.
    no link is lost: the components are those of the full join.
 
 Null and empty texts, and texts without words, have an empty set and link with
-nothing (their own component). Null doc_ids are refused by a filter: a row
-without an id cannot be named in a result. Repeated rows of one id are one
-document each in the result; an empty table gives no rows. Other columns are
-not read.
+nothing (their own component). Rows are told apart by id and text together, and
+classes have numbers of their own, so rows that share an id may differ in text and
+lie in different components (which bear the same name where that id is the smallest
+of both). Rows with a null doc_id link like others, but aren't in the result of
+``jaccard_components``, as nothing could name them there; a component of such rows
+alone has no name. ``keep_one`` keeps them. Repeated rows of one id are one document
+each in the result; an empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -48,6 +51,7 @@ from .shingles import mix, shingle_sets
 
 CELL_BITS = 18
 MAX_MATCHES = 8
+ROW, SET = ["row_id", "row_hash"], ["n", "f1", "f2"]
 ROUNDS = 2
 
 
@@ -60,23 +64,29 @@ def _matches(n: int, percent: int) -> int:
     return int(max(1, min(MAX_MATCHES, 1 + n // 20, _needed(n, percent))))
 
 
+def _row_key(docs: DataFrame) -> DataFrame:
+    """Adds what tells a row by its id and text: the id (0 for null) and a hash of both."""
+    return docs.withColumn("row_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(0))).withColumn(
+        "row_hash", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+
+
 def _rows(docs: DataFrame) -> DataFrame:
-    return docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"),
-                                                   F.col("text").cast("string").alias("text"))
+    return _row_key(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
 
 
 def _signatures(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n (set size) and a 128-bit fingerprint of the set."""
+    """Key and doc_id of every row, n (set size) and a 128-bit fingerprint of the set."""
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_chunks(batch):
                 sets = shingle_sets(*utf8(part.column("text")), k)
                 prints = [np.array([mix(s ^ np.uint64(salt)).sum() for s in sets], np.uint64).view(np.int64)
                           for salt in (0x5851F42D4C957F2D, 0x14057B7EF767814F)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
-                                                  *map(pa.array, prints)], names=["doc_id", "n", "f1", "f2"])
+                yield pa.RecordBatch.from_arrays(
+                    [*map(part.column, [*ROW, "doc_id"]), pa.array([len(s) for s in sets], pa.int64()),
+                     *map(pa.array, prints)], names=[*ROW, "doc_id", "n", "f1", "f2"])
 
-    return _rows(docs).mapInArrow(task, "doc_id long, n long, f1 long, f2 long")
+    return _rows(docs).mapInArrow(task, "row_id long, row_hash long, doc_id long, n long, f1 long, f2 long")
 
 
 def _listed(sets: list[np.ndarray]) -> pa.Array:
@@ -107,7 +117,7 @@ def _frequencies(docs: DataFrame, k: int) -> np.ndarray:
 
 
 def _heads(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """doc_id, n and the longest prefix that a document may choose."""
+    """Key, n and the longest prefix that a document may choose, of every row."""
     often = docs.sparkSession.sparkContext.broadcast(_frequencies(docs, k))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,21 +127,21 @@ def _heads(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 heads = [s[np.argsort(often.value[_cells(s)], kind="stable")[
                     :len(s) - _needed(len(s), percent) + _matches(len(s), percent)]] for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), _listed(heads)],
-                    names=["doc_id", "n", "head"])
+                    [*map(part.column, ROW), pa.array([len(s) for s in sets], pa.int64()), _listed(heads)],
+                    names=[*ROW, "n", "head"])
 
-    return _rows(docs).mapInArrow(task, "doc_id long, n long, head array<long>")
+    return _rows(docs).mapInArrow(task, "row_id long, row_hash long, n long, head array<long>")
 
 
-def _sets(docs: DataFrame, k: int) -> DataFrame:
+def _sets(rows: DataFrame, k: int) -> DataFrame:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_chunks(batch):
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), _listed(shingle_sets(*utf8(part.column("text")), k))],
-                    names=["doc_id", "shingles"])
+                    [part.column("cls"), _listed(shingle_sets(*utf8(part.column("text")), k))],
+                    names=["cls", "shingles"])
 
-    return _rows(docs).mapInArrow(task, "doc_id long, shingles array<long>")
+    return rows.select("cls", "text").mapInArrow(task, "cls long, shingles array<long>")
 
 
 def _adaptive(percent: int):
@@ -160,8 +170,8 @@ def _adaptive(percent: int):
     return task
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int, folder: str) -> DataFrame:
-    """The pairs (a, b) that link, by the whole sets of just the documents in a pair.
+def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int, folder: str) -> DataFrame:
+    """The pairs (a, b) that link, by the whole sets of one row of each class in a pair.
 
     Pairs, ids and sets are written first, so that Spark knows their sizes and needn't shuffle all texts where they
     lie under its broadcast threshold.
@@ -169,28 +179,30 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int, folder: s
     read = docs.sparkSession.read
     pairs.write.parquet(f"{folder}/pairs")
     pairs = read.parquet(f"{folder}/pairs")
-    pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "doc_id").write.parquet(f"{folder}/ids")
-    needed = _rows(docs).join(read.parquet(f"{folder}/ids"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    (pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "cls")
+     .join(classes.select("cls", *ROW), "cls").write.parquet(f"{folder}/ids"))
+    needed = _rows(docs).join(read.parquet(f"{folder}/ids"), ROW).dropDuplicates(ROW)
     _sets(needed, k).write.parquet(f"{folder}/sets")
     sets = read.parquet(f"{folder}/sets")
-    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")).join(pairs, "a")
-    right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")).join(pairs, "b")
+    left = sets.select(F.col("cls").alias("a"), F.col("shingles").alias("sa")).join(pairs, "a")
+    right = sets.select(F.col("cls").alias("b"), F.col("shingles").alias("sb")).join(pairs, "b")
     common = F.size(F.array_intersect("sa", "sb"))
     return (left.join(right, ["a", "b"])
             .where(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b"))
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles and component_id (smallest doc_id reachable by links) of every row."""
+def _joined_classes(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """All rows with their set's size and fingerprint, and the classes with their first row and component (a class)."""
     shared_dir(docs.sparkSession)
     signed = _signatures(docs, k).checkpoint()
-    key = ["n", "f1", "f2"]
-    classes = signed.where("n > 0").groupBy(*key).agg(F.min("doc_id").alias("cls"))
-
-    heads = (_heads(docs, k, percent).where("n > 0")
-             .join(classes.select(F.col("cls").alias("doc_id")), "doc_id", "left_semi")
-             .dropDuplicates(["doc_id"]).checkpoint())
-    rows = heads.select(F.col("doc_id").alias("cls"), "n", F.posexplode("head").alias("pos", "token"))
+    # Rows with an id come before those without.
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", *ROW)).alias("first")
+    classes = (signed.where("n > 0").groupBy(*SET).agg(first).select(*SET, "first.*")
+               .withColumn("cls", F.monotonically_increasing_id()).checkpoint())
+
+    heads = (_heads(docs, k, percent).where("n > 0").join(classes.select(*ROW, "cls"), ROW)
+             .dropDuplicates(ROW).checkpoint())
+    rows = heads.select("cls", "n", F.posexplode("head").alias("pos", "token"))
     # Counts are summed before the shuffle, and the join back may be split where one shingle is in very many classes.
     often = rows.groupBy("token").agg(F.count("*").alias("classes")).where("classes > 1")
     shared = rows.join(often, "token").groupBy("cls", "n").agg(
@@ -212,7 +224,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
                  .agg(F.count("*").alias("met")).where("met >= least"))
         # One pivot for each class: the one it shares most with.
         chosen = pairs.groupBy("b").agg(F.max_by("a", F.struct("met", -F.col("a"))).alias("a"))
-        found = _verified(chosen, docs, k, percent, f"{folder}/round-{step}").checkpoint()
+        found = _verified(chosen, docs, classes, k, percent, f"{folder}/round-{step}").checkpoint()
         links = found if links is None else links.union(found)
         comps = components(links).select(F.col("id").alias("cls"), F.col("component").alias("root"))
         state = (prefix.join(comps, "cls", "left").withColumn("comp", F.coalesce("root", "cls")).drop("root")
@@ -227,15 +239,25 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     pairs = (left.join(right, "token").where("a < b").where("ca <> cb").where(alike)
              .groupBy("a", "b", F.least("ma", "mb").alias("least")).agg(F.count("*").alias("met"))
              .where("met >= least").select("a", "b"))
-    links = links.union(_verified(pairs, docs, k, percent, f"{folder}/last")).checkpoint()
+    links = links.union(_verified(pairs, docs, classes, k, percent, f"{folder}/last")).checkpoint()
     roots = components(links)
-    named = classes.join(roots, F.col("cls") == F.col("id"), "left").select(
-        *key, F.coalesce("component", "cls").alias("root"))
-    return signed.join(named, key, "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"))
+    return signed, classes.join(roots, F.col("cls") == F.col("id"), "left").select(
+        *classes.columns, F.coalesce("component", "cls").alias("root"))
+
+
+def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles and component_id (smallest doc_id reachable by links) of every row with an id."""
+    signed, classes = _joined_classes(docs, k, percent)
+    names = classes.groupBy("root").agg(F.min("doc_id").alias("name"))
+    named = classes.join(names, "root").select(*SET, "name")
+    return signed.where("doc_id IS NOT NULL").join(named, SET, "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("name", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its component; of repeated ids one row stays."""
-    kept = jaccard_components(docs, k, percent).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """One row of each component of ``docs``, the one of the smallest id (null ids last); all without words."""
+    _, classes = _joined_classes(docs, k, percent)
+    kept = classes.groupBy("root").agg(F.min(F.struct("unnamed", "doc_id", *ROW)).alias("first")).select("first.*")
+    has_words = F.coalesce(F.col("text").cast("string").rlike(r"[^\t\n\x0B\f\r ]"), F.lit(False))
+    first = _row_key(docs.where(has_words)).join(kept.select(*ROW), ROW, "left_semi").dropDuplicates(ROW)
+    return first.select(*docs.columns).union(docs.where(~has_words))

@@ -67,3 +67,29 @@ def test_keep_one_keeps_the_smallest_of_each_group(spark):
     assert kept.columns == docs.columns
     smallest = {r[2] for r in brute(ROWS, 5, 80)}
     assert sorted(r.doc_id for r in kept.collect()) == sorted(smallest)
+
+
+MIXED = [(5, BASE, "en", "x"), (5, "other text under the same id", "en", "x"), (3, BASE + " tail", "en", "x"),
+         (7, "other text under the same id", "en", "y"), (None, "a text of its own without an id", "en", "x"),
+         (None, "A text of its own  without an id", "en", "x"), (None, BASE, "en", "x"), (None, "", "en", "x"),
+         (None, None, "en", "x"), (8, "first text of eight here", "en", "x"), (8, "second text of eight is not it", "en", "x"),
+         (0, "zero has an id", "en", "x"), (None, "zero has no id", "en", "x"), (9, "", "en", "x"), (9, "", "en", "x"),
+         (2, BASE.replace("w3 ", "v3 "), "en", "x"), (2, "unlike the first of two", "en", "x")]
+
+
+@pytest.mark.parametrize("percent", [80, 95])
+def test_rows_that_share_an_id_or_have_none(spark, percent):
+    named = [(n, text) for n, (_, text, *_) in enumerate(MIXED)]
+    comp = {n: c for n, _, c in brute(named, 5, percent)}
+    size = {n: s for n, s, _ in brute(named, 5, percent)}
+    groups = {}
+    for n, c in comp.items():
+        groups.setdefault(c, []).append(n)
+    name = {c: min((MIXED[n][0] for n in g if MIXED[n][0] is not None), default=None) for c, g in groups.items()}
+    want = sorted((MIXED[n][0], size[n], name[c]) for n, c in comp.items() if MIXED[n][0] is not None)
+    assert got(spark, MIXED, 5, percent) == want
+    kept = [tuple(r)[:2] for r in jaccard_join.keep_one(spark.createDataFrame(MIXED, SCHEMA), 5, percent).collect()]
+    assert len(kept) == len(groups)
+    for g in groups.values():
+        first = min((MIXED[n][0] is None, MIXED[n][0] or 0) for n in g)
+        assert any(MIXED[n][:2] in kept and first == (MIXED[n][0] is None, MIXED[n][0] or 0) for n in g)
