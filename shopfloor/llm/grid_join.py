@@ -22,8 +22,9 @@ square of the number of intervals less the distant ones: on data without
 structure in the leading directions nothing can be skipped, and work is
 quadratic.
 
-Vectors that are null, zero, of a length other than the most frequent one, or
-hold null or non-finite components, and rows without an id, link with nothing.
+Vectors of another length (another model) are of another space, so the join runs
+once for each length present. Vectors that are null, zero, or hold null or
+non-finite components, and rows without an id, link with nothing.
 Repeated rows are vectors of their own that link with each other, an empty table
 gives no rows, and other columns are not read.
 """
@@ -233,13 +234,19 @@ def similarity_classes(vectors: DataFrame, similarity: float = 0.9) -> DataFrame
     usable(vectors).write.parquet(f"{folder}/vectors")
     rows = spark.read.parquet(f"{folder}/vectors")
     sizes = (rows.where("embedding IS NOT NULL").groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n"))
-             .orderBy(F.desc("n"), "dim").first())
-    if sizes is None:
-        return _alone(rows)
-    dim, parts = sizes.dim, -(-sizes.n // ROWS)
+             .orderBy("dim").collect())
+    out = _alone(rows.where("embedding IS NULL"))
+    for dim, n in sizes:
+        valid = rows.where(F.size("embedding") == dim)
+        # A vector alone in its length has no other to link with.
+        out = out.union(_alone(valid) if n == 1 else _classes_of_length(valid, dim, n, similarity, f"{folder}/{dim}"))
+    return out
+
+
+def _classes_of_length(valid: DataFrame, dim: int, n: int, similarity: float, folder: str) -> DataFrame:
+    """similarity_classes of the ``n`` usable vectors of one length."""
+    spark, parts = valid.sparkSession, -(-n // ROWS)
     epsilon = (2 - 2 * similarity) ** 0.5
-    is_valid = F.coalesce(F.size("embedding") == dim, F.lit(False))
-    valid = rows.where(is_valid)
     axes = directions(valid, dim)
     _sequence_intervals(valid, axes, dim, epsilon, parts).withColumn(
         "seq", F.monotonically_increasing_id()).write.parquet(f"{folder}/intervals")
@@ -288,4 +295,4 @@ def similarity_classes(vectors: DataFrame, similarity: float = 0.9) -> DataFrame
     classes = components(links.where("row IS NULL").select("a", "b"))
     joined = counted.join(classes, counted.vec_id == classes.id, "left").select(
         "vec_id", "n_links", F.coalesce("component", "vec_id").alias("component_id"))
-    return joined.withColumn("kept", F.col("vec_id") == F.col("component_id")).union(_alone(rows.where(~is_valid)))
+    return joined.withColumn("kept", F.col("vec_id") == F.col("component_id"))

@@ -123,3 +123,11 @@ def test_pages_whose_names_only_hold_a_bad_part_and_pages_in_a_form():
         for whole in ("<div>{}</div>", "<article>{}</article>"):
             inner = f"{body}<p>{more}</p>{part}This is all of the text that we have in here for you.</div></form></nav>"
             assert html_blocks.main_text(whole.format(inner)) == f"{want}\n{more}", part
+
+
+def test_vectors_of_two_lengths(spark):
+    rows = [(i, [1.0, 0.1 * (i % 2), 0.0], 1) for i in range(6)] + [(10 + i, [0.0, 1.0 + i, 0.0, 0.1], 1) for i in range(4)]
+    rows += [(20, [1.0, 0.0, 0.0, 0.0], 1), (30, [1.0], 1), (31, None, 1), (32, [0.0, 0.0], 1)]
+    got = grid_join.similarity_classes(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))
+    want = [(i, 5, 0, i == 0) for i in range(6)] + [(10 + i, 3, 10, i == 0) for i in range(4)]
+    assert sorted(map(tuple, got.collect())) == want + [(i, 0, i, True) for i in (20, 30, 31, 32)]
