@@ -130,20 +130,23 @@ class Counter:
         self.words = UnitCache(self._merged, max_cached)
         self.cache = UnitCache(self._units, max_cached)
 
-    def _units(self, units: list[str]) -> list[int]:
-        """Tokens of blank-separated units; the new pre-tokens of all are merged together."""
-        words = [[u] if OTHER_SCRIPTS.search(u) else WORDS.findall(u) for u in units]
+    def _units(self, units: list[str | tuple[str]]) -> list[int]:
+        """Tokens of blank-separated units, and of the library's pieces; the new pre-tokens of all are merged together."""
+        words = [u if isinstance(u, tuple) else WORDS.findall(u) for u in units]
         return [sum(counts) for counts in self.words.values(words)]
 
     def _merged(self, words: list[str]) -> list[int]:
         return self.table.count([w.encode("utf-8", "surrogateescape") for w in words]).tolist()
 
-    def _split(self, text: str) -> list[str]:
-        if OTHER_SCRIPTS.search(text):
+    def _split(self, text: str) -> list[str | tuple[str]]:
+        """The units of a text, or its pre-tokens as tuples of one."""
+        lower = (text if text.isascii() else unicodedata.normalize("NFC", text)).lower()
+        # Lower case may leave the range of the classes written out here, or enter it.
+        if OTHER_SCRIPTS.search(lower) or (not text.isascii() and OTHER_SCRIPTS.search(text)):
             # The library's own rules for scripts whose classes are not written out here.
             split = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
-            return [bytes(self.bytes_of[c] for c in piece).decode("utf-8", "surrogateescape") for piece, _ in split]
-        return (text if text.isascii() else unicodedata.normalize("NFC", text)).lower().split()
+            return [(bytes(self.bytes_of[c] for c in piece).decode("utf-8", "surrogateescape"),) for piece, _ in split]
+        return lower.split()
 
     def count(self, texts: list[str]) -> list[int]:
         parts = [self.special.split(t) for t in texts]

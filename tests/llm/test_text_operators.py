@@ -47,6 +47,16 @@ def test_ids_and_counts_equal_the_library(text):
     assert COUNTER.count([text]) == [len(ids(WORDS, text))]
 
 
+def test_counts_of_capitals_whose_lower_case_is_of_another_range():
+    capitals = [chr(c) for c in range(0x131, 0x250) if chr(c) != chr(c).lower() and not "\u0131" <= chr(c).lower() <= "\u024f"]
+    assert {"\u018f", "\u0181", "\u0190", "\u023a"} <= set(capitals)
+    texts = [t for c in capitals for t in (f"{c}WORD,and 12", f"a{c}LI'S,{c}!3", f"{c}, {c.lower()},x don't {c}")]
+    # Each by itself, and all with one store of units, met after the library's pieces and before them.
+    for order_ in (texts, texts[::-1]):
+        assert token_counts.Counter(WORDS).count(order_) == [len(ids(WORDS, t)) for t in order_]
+    assert [token_counts.Counter.count(COUNTER, [t])[0] for t in texts] == [len(ids(WORDS, t)) for t in texts]
+
+
 def test_token_counts(spark):
     got = token_counts.token_counts(spark.createDataFrame(ROWS, SCHEMA), WORDS).collect()
     want = [(d, len((t or "").encode()), n := len(ids(WORDS, t)), n > 2048) for d, t, *_ in ROWS]
