@@ -9,7 +9,8 @@ licence family and the unknown class a probability.
 
 The classifier is trained from notices made of ``NOTICES`` by dropping,
 doubling and replacing words and putting them among words of the corpus, and for the unknown
-class from at most ``sample`` paragraphs of the documents of lowest id hash. Part
+class from at most ``sample`` of the paragraphs and stretches that are scanned, those
+of lowest hash (of id, text and place), however long their lines are. Part
 of these examples is kept back to calibrate: one temperature for all classes, and for each
 family the lowest probability that lets at most ``false_rate`` of the unknown ones
 through (never below one half).
@@ -109,6 +110,15 @@ def paragraphs(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
             np.concatenate([stop, np.minimum(begin + SPAN, stop[line])]), np.concatenate([text, text[line]]))
 
 
+def word_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last byte (one after it) of each word that ``paragraphs`` counts."""
+    inside = ~np.isin(LETTERS[raw], [9, 10, 11, 12, 13, 32])
+    edge = np.zeros(len(raw) + 1, bool)
+    edge[offsets] = True
+    before, after = np.concatenate([[False], inside[:-1]]), np.concatenate([inside[1:], [False]])
+    return np.flatnonzero(inside & (~before | edge[:-1])), np.flatnonzero(inside & (~after | edge[1:])) + 1
+
+
 def gram_places(words: np.ndarray) -> list[np.ndarray]:
     """Feature number of the 1-, 2- and 3-gram that begins at each word."""
     out, total = [], np.zeros(len(words), np.uint64)
@@ -222,18 +232,47 @@ def fit(unknown: list[str], false_rate: float = 0.001, epochs: int = 12, speed:
     return model
 
 
-def train(docs: DataFrame, sample: int = 4000, max_bytes: int = 4096) -> LicenceModel:
-    """A classifier whose unknown class comes from at most ``sample`` paragraphs (of ``max_bytes`` at most)."""
-    lines = (docs.select("doc_id", F.posexplode(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n")))
-             .where((F.octet_length("col") <= max_bytes) & (F.trim("col") != ""))
-             .orderBy(F.xxhash64("doc_id", "pos"), "doc_id", "pos", "col").limit(sample).select("col").collect())
+def scanned_sample(docs: DataFrame, sample: int) -> list[str]:
+    """The ``sample`` paragraphs and stretches of lowest hash; a task keeps no more than twice as many."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, bytes]] = []
+        limit = np.iinfo(np.int64).max
+        for batch in batches:
+            for part in text_chunks(batch, limit=1 << 20):
+                raw, offsets = utf8(part.column("text"))
+                words, start, stop, text = paragraphs(raw, offsets)
+                first = np.full(part.num_rows, len(words), np.int64)
+                np.minimum.at(first, text, start)
+                row = part.column("row").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+                place = ((start - first[text]) * (1 << 31) + stop - start).astype(np.uint64)
+                key = (mix(row[text] + mix(place)) >> np.uint64(1)).astype(np.int64)
+                low = np.flatnonzero(key < limit)
+                if len(low) > sample:
+                    low = low[np.argpartition(key[low], sample - 1)[:sample]]
+                begin, end = word_spans(raw, offsets)
+                held += [(int(key[i]), raw[begin[start[i]]:end[stop[i] - 1]].tobytes()) for i in low]
+                if len(held) > sample:
+                    held = sorted(held)[:sample]
+                    limit = held[-1][0]
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in held], pa.int64()),
+                                          pa.array([t for _, t in held], pa.binary())], names=["key", "raw"])
+
+    text = F.col("text").cast("string")
+    rows = docs.select(F.xxhash64("doc_id", text).alias("row"), text.alias("text"))
+    found = rows.mapInArrow(task, "key long, raw binary").orderBy("key", "raw").limit(sample).select("raw").collect()
+    return [bytes(r.raw).decode("utf-8", "replace") for r in found]
+
+
+def train(docs: DataFrame, sample: int = 4000) -> LicenceModel:
+    """A classifier whose unknown class comes from at most ``sample`` paragraphs and stretches of the documents."""
     notices = [set(pair_hashes(_words_of(n)).tolist()) for f in FAMILIES for n in NOTICES[f]]
     unknown = []
-    for r in lines:
-        held = set(pair_hashes(_words_of(r.col)).tolist())
+    for paragraph in scanned_sample(docs, sample):
+        held = set(pair_hashes(_words_of(paragraph)).tolist())
         # What holds a good part of a notice is not an example of the unknown.
         if not any(n and 2 * len(n & held) >= len(n) for n in notices):
-            unknown.append(r.col)
+            unknown.append(paragraph)
     return fit(unknown)
 
 

@@ -131,3 +131,18 @@ def test_vectors_of_two_lengths(spark):
     got = grid_join.similarity_classes(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))
     want = [(i, 5, 0, i == 0) for i in range(6)] + [(10 + i, 3, 10, i == 0) for i in range(4)]
     assert sorted(map(tuple, got.collect())) == want + [(i, 0, i, True) for i in (20, 30, 31, 32)]
+
+
+def test_licence_sample_of_one_line_texts(spark):
+    text = " ".join(f"word{'abcdefghij'[i % 10]}{'klmnopq'[i % 7]}" for i in range(3000))
+    docs = spark.createDataFrame([(i, f"{i} {text} end", "x") for i in range(40)] + [(None, None, "x"), (90, "", "x")],
+                                 "doc_id long, text string, family string")
+    found = licenses.scanned_sample(docs, 500)
+    assert len(found) == 500 and found == licenses.scanned_sample(docs.repartition(7), 500)
+    raw = np.frombuffer(text.encode(), np.uint8)
+    words, start, stop, _ = licenses.paragraphs(raw, np.array([0, len(raw)]))
+    assert {len(f.split()) for f in found} <= {int(n) for n in stop - start} | {len(text.split()) + 1} | set(range(1, 49))
+    assert all(" ".join(f.split()) in f"{text} end" for f in found)
+    model = licenses.train(docs)
+    assert licenses.scan(docs, model).collect() == []
+    assert (model.probabilities(words, start, stop).argmax(axis=1) == licenses.UNKNOWN).all()
