@@ -8,19 +8,23 @@ description. Its maximum, mean and minimum over all chunks go through one hidden
 layer into one probability.
 
 The network is trained in numpy from a bounded sample of labelled rows: at most
-``per_class`` rows of each label, taken by the hash of their id, among those of
-at most ``max_bytes`` bytes; the bias is then set back to the labels' own ratio.
+``per_class`` rows of each label, taken by the hash of their id whatever their length,
+until they hold ``class_bytes`` bytes (the last one may pass that); the bias is then
+set back to the labels' own ratio.
 Scoring reads whole texts, batch by batch, in tasks without a shuffle.
 
 Null texts count as empty, and an empty text is one chunk of padding, so it has
 a score too. Rows without a usable label are not trained on. With labels of one
-class only the score is 1 or 0 for all rows, and 0.5 when there are none.
+class only the score is 1 or 0 for all rows, and 0.5 when there are none. Where the
+labels have both classes and the labelled documents one or none, the labels' more
+frequent class is the score of all rows, with a warning.
 Repeated rows are scored each, an empty table gives no rows, other columns are
 not read, and a null id is kept.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -151,7 +155,7 @@ def fit(texts: list[bytes], labels: list[int], rates: tuple[int, int], epochs: i
     return net
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = 1200, max_bytes: int = 16384) -> Network | float:
+def train(docs: DataFrame, labels: DataFrame, per_class: int = 1200, class_bytes: int = 1 << 26) -> Network | float:
     """A network for ``labels.quality``, or the one score of all rows where the labels have no two classes.
 
     Only rows whose crc32(doc_id as text) mod 3 is not 1 are looked at.
@@ -161,22 +165,37 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 1200, max_bytes:
     rates = {r.quality: r.n for r in usable.groupBy("quality").agg(F.count("*").alias("n")).collect()}
     if len(rates) < 2:
         return float(next(iter(rates), 0.5))
-    # The hash threshold leaves about twice the rows needed; the limit bounds them.
-    wanted = None
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
+                        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    sizes = texts.select("doc_id", F.struct(F.octet_length("text").cast("long").alias("bytes"),
+                                            F.xxhash64("text").alias("print")).alias("pick"))
+    chosen = []
     for label, n in sorted(rates.items()):
-        share = min(1.0, 2 * per_class / n)
-        part = (usable.where(f"quality = {label} AND pmod(xxhash64(doc_id), 1000000) < {share * 1e6}")
-                .orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * per_class))
-        wanted = part if wanted is None else wanted.union(part)
-    rows = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-            .where(F.octet_length("text") <= max_bytes).join(F.broadcast(wanted), "doc_id")
-            .groupBy("quality", "doc_id").agg(F.min("text").alias("text")))
-    sample = []
-    for label in sorted(rates):
-        sample += (rows.where(f"quality = {label}").orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
-                   .select("quality", F.encode("text", "utf-8").alias("raw")).collect())
-    if len({r.quality for r in sample}) < 2:
+        # The hash threshold leaves about twice the rows needed, the limit bounds them; all labels are looked at
+        # where too few of those are of documents here.
+        for share in dict.fromkeys((min(1.0, 2 * per_class / n), 1.0)):
+            part = usable.where(f"quality = {label} AND pmod(xxhash64(doc_id), 1000000) < {share * 1e6}").distinct()
+            found = (sizes.join(part, "doc_id").groupBy("quality", "doc_id").agg(F.min("pick").alias("pick"))
+                     .orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
+                     .select("quality", "doc_id", "pick.*").collect())
+            if len(found) == per_class:
+                break
+        total = 0
+        for row in found:
+            if total < class_bytes:
+                chosen.append(tuple(row))
+                total += row.bytes
+    classes = {c[0] for c in chosen}
+    if len(classes) < 2:
+        # No cut of the sample leads here: each class with a document has a row at least.
+        warnings.warn(f"both labels are given, but the documents that are trained on have {len(classes)} of them: "
+                      "all get the score of the more frequent label", stacklevel=2)
         return float(rates.get(1, 0) >= rates.get(0, 0))
+    wanted = docs.sparkSession.createDataFrame(chosen, "quality int, doc_id long, bytes long, print long")
+    sample = (texts.withColumn("bytes", F.octet_length("text").cast("long")).withColumn("print", F.xxhash64("text"))
+              .join(F.broadcast(wanted), ["doc_id", "bytes", "print"]).groupBy("quality", "doc_id")
+              .agg(F.min("text").alias("text")).orderBy("quality", F.xxhash64("doc_id"), "doc_id")
+              .select("quality", F.encode("text", "utf-8").alias("raw")).collect())
     return fit([bytes(r.raw) for r in sample], [r.quality for r in sample], (rates[0], rates[1]))
 
 

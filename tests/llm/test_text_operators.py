@@ -194,6 +194,21 @@ def test_quality_on_held_out_labels(spark):
     assert np.mean([r.quality == r.predicted for r in rows]) >= 0.85
 
 
+def test_quality_learns_from_long_texts_only(spark):
+    good, bad = "the plain words of a good text ", "zq#7 xx@@ 11!! qz~ "
+    rows = [(i, (good if i % 2 else bad) * (800 + i), "x", None) for i in range(40)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    assert min(len(r[1]) for r in rows[::2]) > 15000 and len(rows[1][1]) > 16384
+    longer = docs.withColumn("text", F.concat("text", "text"))
+    model = quality.train(longer, labels)
+    assert {r.doc_id: r.score >= 0.5 for r in quality.score(longer, model).collect()} == {i: i % 2 == 1 for i in range(40)}
+    # A byte limit below one text still leaves one of each class.
+    assert isinstance(quality.train(longer, labels, class_bytes=1), quality.Network)
+    with pytest.warns(UserWarning, match="have 1 of them"):
+        assert quality.train(longer.where("doc_id % 2 = 1"), labels) in (0.0, 1.0)
+
+
 def brute_edits(item, doc):
     """Least word edits between an item and any stretch of a document."""
     row = [0] * (len(doc) + 1)
