@@ -209,6 +209,21 @@ def test_quality_learns_from_long_texts_only(spark):
         assert quality.train(longer.where("doc_id % 2 = 1"), labels) in (0.0, 1.0)
 
 
+def test_quality_auc_and_recall_of_rejected_on_held_out_labels(spark):
+    """A constant answer has an AUC of 0.5 and a recall of 0 for one of the labels."""
+    folder = "/root/testdata/sf0.1"
+    scored = queries.op2_quality_classifier(spark, folder).where("held_out")
+    rows = (scored.join(spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", "quality"), "doc_id")
+            .join(spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", F.octet_length("text").alias("size")),
+                  "doc_id").where("quality IN (0, 1)").select("quality", "predicted", "score", "size").collect())
+    for least in (0, 4096, 16385):
+        good, bad = ([r for r in rows if r.quality == q and r.size >= least] for q in (1, 0))
+        higher = np.subtract.outer([r.score for r in good], [r.score for r in bad])
+        assert ((higher > 0) + (higher == 0) / 2).mean() >= 0.97
+        assert np.mean([r.predicted == 0 for r in bad]) >= 0.9
+        assert np.mean([r.predicted == 1 for r in good]) >= 0.95
+
+
 def brute_edits(item, doc):
     """Least word edits between an item and any stretch of a document."""
     row = [0] * (len(doc) + 1)
