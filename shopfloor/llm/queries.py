@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import shared_dir
-from . import (decontaminate, grid_join, html_blocks, jaccard_join, licenses, packing, preferences, quality,
-               token_counts, token_files)
+from . import (decontaminate, grid_join, html_blocks, jaccard_join, language, licenses, packing, preferences, quality,
+               resample, spelling, token_counts, token_files)
 from .ship import ship
 from .tokens import tokenizer_path
 
@@ -66,7 +66,24 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(_table(spark, sf_dir, "documents"), k=3, percent=90)
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(_table(spark, sf_dir, "documents"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), percent=10,
+                             min_words=20, ngram=1, buckets=10_000, seed=2024)
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return language.predict(docs, language.train(docs)).select(
+        "doc_id", F.expr("crc32(cast(doc_id AS string)) % 3 = 1").alias("held_out"), "lang_pred", "score")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_pack_sequences, op2_quality_classifier, op3_preference_pairs, op4_decontamination, op5_token_counts,
-    op6_license_scan, op7_embedding_dedup, op8_html_extraction, op9_token_files, op10_jaccard_join)}
-ORACLE_SQL: dict[str, str] = {"op3_preference_pairs": preferences.ECHO_SQL}
+    op6_license_scan, op7_embedding_dedup, op8_html_extraction, op9_token_files, op10_jaccard_join,
+    op11_spelling_variants, op12_importance_resampling, op13_language_id)}
+ORACLE_SQL: dict[str, str] = {"op3_preference_pairs": preferences.ECHO_SQL, "op11_spelling_variants": spelling.SPELLING_SQL,
+                              "op12_importance_resampling": resample.RESAMPLE_SQL}

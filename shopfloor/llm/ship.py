@@ -13,12 +13,17 @@ _SHIPPED: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Send the package to the executors (as ``--py-files`` would), unless their path has it already."""
+    """Send the package to the executors (as ``--py-files`` would); a local master's workers are given the path."""
     root = Path(__file__).resolve().parents[2]
-    known = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
-    app = spark.sparkContext.applicationId
-    if app in _SHIPPED or any(p and Path(p).resolve() == root for p in known):
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
         return
+    if sc.master == "local" or sc.master.startswith("local["):
+        # Workers take the PYTHONPATH and working folder of the driver.
+        known = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
+        if any(p and Path(p).resolve() == root for p in known):
+            return
     target = os.path.join(tempfile.mkdtemp(prefix="shopfloor-py-"), "shopfloor")
-    spark.sparkContext.addPyFile(shutil.make_archive(target, "zip", root, "shopfloor"))
+    sc.addPyFile(shutil.make_archive(target, "zip", root, "shopfloor"))
     _SHIPPED.add(app)
