@@ -5,24 +5,30 @@ sets of distinct k-word shingles. Texts with equal sets form one class; classes
 are joined as follows.
 
 1. All shingles follow one order: by how often those of the same hash cell occur
-   in all documents (``2 ** CELL_BITS`` cells, so the table's size is fixed), then by
-   hash. Frequent shingles come last. Any one order gives right results; this one
-   keeps frequent shingles out of prefixes. Sets of size n that link share
-   t = ceil(percent * n / 100) shingles, so for every l their first n - t + l
-   shingles share at least l.
+   in all documents (``2 ** CELL_BITS`` cells of 8-bit codes, so the table's size is
+   fixed), then by hash. Frequent shingles come last. Any one order gives right results;
+   this one keeps shingles out of prefixes that are more frequent than the mean cell.
+   Sets of size n that link share t = ceil(percent * n / 100) shingles, so for every l
+   their first n - t + l shingles share at least l.
 2. Each class picks its own l: a longer prefix meets more shared shingles but
    demands more matches, and the class takes the l with the least expected
    cost (shingle partners met + verifications left). A pair is a candidate when
    it shares at least the smaller of its two l. Shingles that one class alone
    holds only use up places of the prefix; a class with no shared one there has
    no partner and leaves the join.
-3. Within a shingle's group no list of all pairs is made. Twice, each class is
-   compared with one pivot of each of its groups (the smallest class of another
-   component) and the links found are contracted to components. After that only
-   pairs of classes that are still in different components are candidates, and
-   groups inside one component are gone. All candidates are verified on the
-   whole sets, and every pair that could join two components is among them, so
-   no link is lost: the components are those of the full join.
+3. Two classes meet at a shingle only if their places there leave room for a link:
+   what they share up to it is at most the lesser of its ranks among the shared
+   shingles of each prefix, and after it at most the shorter rest. This is part of the
+   join, so classes that a third text made alike, each with changes of its own, don't
+   come out of it as pairs.
+4. Within a shingle's group no list of all pairs is made. ``ROUNDS`` times, each class is
+   compared with one pivot of each of its groups and the links found are contracted to
+   components; the first pivot is the class with the fewest shingles of its own, which
+   is the original where others are its changed copies. After that only pairs of classes
+   that are still in different components are candidates, and groups inside one component
+   are gone. All candidates are verified on the whole texts, and every pair that could
+   join two components is among them, so no link is lost: the components are those of
+   the full join.
 
 Null and empty texts, and texts without words, have an empty set and link with
 nothing (their own component). Rows are told apart by id and text together, and
@@ -42,14 +48,15 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import shared_dir
 from .arrow import text_chunks, utf8
 from .components import components
 from .shingles import mix, shingle_sets
 
-CELL_BITS = 18
+CELL_BITS, BLOCKS, FAN_IN = 22, 64, 64
 MAX_MATCHES = 8
 ROW, SET = ["row_id", "row_hash"], ["n", "f1", "f2"]
 ROUNDS = 2
@@ -64,14 +71,18 @@ def _matches(n: int, percent: int) -> int:
     return int(max(1, min(MAX_MATCHES, 1 + n // 20, _needed(n, percent))))
 
 
-def _row_key(docs: DataFrame) -> DataFrame:
-    """Adds what tells a row by its id and text: the id (0 for null) and a hash of both."""
-    return docs.withColumn("row_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(0))).withColumn(
-        "row_hash", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+def _row_id() -> Column:
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("row_id")
+
+
+def _row_hash() -> Column:
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("row_hash")
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    return _row_key(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
+    """doc_id, text and what tells a row by them: the id (0 for null) and a hash of both."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
+                       _row_id(), _row_hash())
 
 
 def _signatures(docs: DataFrame, k: int) -> DataFrame:
@@ -99,21 +110,48 @@ def _cells(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - CELL_BITS)).astype(np.int64)
 
 
+# What each 8-bit code stands for: counts under 16 as they are, larger ones to three bits after the first.
+_VALUE = np.array([c if c < 16 else (8 + c % 8) << (c // 8 - 1) for c in range(256)], np.int64)
+
+
+def _coded(counts: np.ndarray) -> np.ndarray:
+    return (np.searchsorted(_VALUE, counts, side="right") - 1).astype(np.uint8)
+
+
 def _frequencies(docs: DataFrame, k: int) -> np.ndarray:
-    """Number of shingles of each hash cell, over the sets of all documents."""
+    """Coded number of shingles of each hash cell, over the sets of all documents.
+
+    Each task sends its whole table in 8-bit codes, cut into blocks; the tables are added up ``FAN_IN`` at a time.
+    """
+    size = (1 << CELL_BITS) // BLOCKS
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << CELL_BITS, np.int64)
+        total = np.zeros(1 << CELL_BITS, np.int32)
         for batch in batches:
             for part in text_chunks(batch):
                 for s in shingle_sets(*utf8(part.column("text")), k):
                     np.add.at(total, _cells(s), 1)
-        held = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(total[held])], names=["cell", "n"])
-
-    found = _rows(docs).mapInArrow(task, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    total = np.zeros(1 << CELL_BITS, np.int64)
-    total[found.cell.to_numpy(np.int64)] = found.n.to_numpy(np.int64)
-    return total
+        codes = _coded(total)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.arange(BLOCKS)), pa.array(np.full(BLOCKS, TaskContext.get().partitionId())),
+             pa.array([codes[i * size:(i + 1) * size].tobytes() for i in range(BLOCKS)], pa.binary())],
+            names=["block", "part", "codes"])
+
+    def added(key: tuple, table: pa.Table) -> pa.Table:
+        total = sum(_VALUE[np.frombuffer(c, np.uint8)] for c in table.column("codes").to_pylist())
+        return pa.table({"block": [key[0].as_py()], "part": [key[1].as_py()], "codes": pa.array([_coded(total).tobytes()], pa.binary())})
+
+    schema = "block long, part long, codes binary"
+    parts = (docs.select(F.spark_partition_id().alias("part")).agg(F.max("part")).first()[0] or 0) + 1
+    tables = _rows(docs).select("text").mapInArrow(task, schema)
+    while parts:
+        parts = 0 if parts <= FAN_IN else -(-parts // FAN_IN)
+        tables = (tables.select("block", F.floor(F.col("part") / FAN_IN).alias("part"), "codes")
+                  .groupBy("block", "part").applyInArrow(added, schema))
+    out = np.zeros(1 << CELL_BITS, np.uint8)
+    for row in tables.collect():
+        out[row.block * size:(row.block + 1) * size] = np.frombuffer(row.codes, np.uint8)
+    return out
 
 
 def _heads(docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -133,17 +171,6 @@ def _heads(docs: DataFrame, k: int, percent: int) -> DataFrame:
     return _rows(docs).mapInArrow(task, "row_id long, row_hash long, n long, head array<long>")
 
 
-def _sets(rows: DataFrame, k: int) -> DataFrame:
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in text_chunks(batch):
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("cls"), _listed(shingle_sets(*utf8(part.column("text")), k))],
-                    names=["cls", "shingles"])
-
-    return rows.select("cls", "text").mapInArrow(task, "cls long, shingles array<long>")
-
-
 def _adaptive(percent: int):
     """Chooses l for each class and returns the shared shingles of its prefix."""
     def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -164,85 +191,97 @@ def _adaptive(percent: int):
                     if not met:
                         best = (0, matches, 0)
                         break
-                out += [(cls, n, best[1], t) for t in token[:best[2]].tolist()]
-            yield pd.DataFrame(out, columns=["cls", "n", "matches", "token"]).astype("int64")
+                out += [(cls, n, best[1], t, p, r) for r, (t, p) in enumerate(
+                    zip(token[:best[2]].tolist(), place.tolist()), 1)]
+            yield pd.DataFrame(out, columns=["cls", "n", "matches", "token", "pos", "rank"]).astype("int64")
 
     return task
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int, folder: str) -> DataFrame:
-    """The pairs (a, b) that link, by the whole sets of one row of each class in a pair.
+def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """The written pairs (a, b) that link, by the whole texts of both.
 
-    Pairs, ids and sets are written first, so that Spark knows their sizes and needn't shuffle all texts where they
-    lie under its broadcast threshold.
+    The text of ``a`` travels with the pair to that of ``b``, and sets are made of both there.
     """
-    read = docs.sparkSession.read
-    pairs.write.parquet(f"{folder}/pairs")
-    pairs = read.parquet(f"{folder}/pairs")
-    (pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "cls")
-     .join(classes.select("cls", *ROW), "cls").write.parquet(f"{folder}/ids"))
-    needed = _rows(docs).join(read.parquet(f"{folder}/ids"), ROW).dropDuplicates(ROW)
-    _sets(needed, k).write.parquet(f"{folder}/sets")
-    sets = read.parquet(f"{folder}/sets")
-    left = sets.select(F.col("cls").alias("a"), F.col("shingles").alias("sa")).join(pairs, "a")
-    right = sets.select(F.col("cls").alias("b"), F.col("shingles").alias("sb")).join(pairs, "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    return (left.join(right, ["a", "b"])
-            .where(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b"))
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text_chunks(batch, "ta"):
+                for piece in text_chunks(part, "tb"):
+                    left, right = (shingle_sets(*utf8(piece.column(c)), k) for c in ("ta", "tb"))
+                    common = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(left, right, strict=True)], np.int64)
+                    size = np.array([len(x) + len(y) for x, y in zip(left, right, strict=True)], np.int64)
+                    yield pa.RecordBatch.from_arrays(
+                        [piece.column("a"), piece.column("b"), pa.array(100 * common >= percent * (size - common))],
+                        names=["a", "b", "links"])
+
+    first = texts.select(F.col("cls").alias("a"), F.col("text").alias("ta")).join(pairs, "a")
+    both = first.join(texts.select(F.col("cls").alias("b"), F.col("text").alias("tb")), "b")
+    return both.select("a", "b", "ta", "tb").mapInArrow(task, "a long, b long, links boolean").where("links").select("a", "b")
 
 
 def _joined_classes(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """All rows with their set's size and fingerprint, and the classes with their first row and component (a class)."""
-    shared_dir(docs.sparkSession)
-    signed = _signatures(docs, k).checkpoint()
+    spark = docs.sparkSession
+    folder = f"{shared_dir(spark)}/jaccard-join-{uuid.uuid4().hex}"
+
+    def written(frame: DataFrame, name: str) -> DataFrame:
+        # A written table cuts lineage, and Spark knows its size.
+        frame.write.parquet(f"{folder}/{name}")
+        return spark.read.parquet(f"{folder}/{name}")
+
+    signed = written(_signatures(docs, k), "signed")
     # Rows with an id come before those without.
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", *ROW)).alias("first")
-    classes = (signed.where("n > 0").groupBy(*SET).agg(first).select(*SET, "first.*")
-               .withColumn("cls", F.monotonically_increasing_id()).checkpoint())
+    classes = written(signed.where("n > 0").groupBy(*SET).agg(first).select(*SET, "first.*")
+                      .withColumn("cls", F.monotonically_increasing_id()), "classes")
 
-    heads = (_heads(docs, k, percent).where("n > 0").join(classes.select(*ROW, "cls"), ROW)
-             .dropDuplicates(ROW).checkpoint())
-    rows = heads.select("cls", "n", F.posexplode("head").alias("pos", "token"))
+    heads = (_heads(docs, k, percent).where("n > 0").join(classes.select(*ROW, "cls"), ROW).dropDuplicates(ROW))
+    rows = written(heads.select("cls", "n", F.posexplode("head").alias("pos", "token")), "heads")
     # Counts are summed before the shuffle, and the join back may be split where one shingle is in very many classes.
     often = rows.groupBy("token").agg(F.count("*").alias("classes")).where("classes > 1")
     shared = rows.join(often, "token").groupBy("cls", "n").agg(
         F.collect_list(F.struct("token", "pos", "classes")).alias("shared"))
-    prefix = shared.mapInPandas(_adaptive(percent), "cls long, n long, matches long, token long").checkpoint()
-
-    alike = f"100 * least(n, pn) >= {percent} * greatest(n, pn)"
-    folder = f"{shared_dir(docs.sparkSession)}/jaccard-join-{uuid.uuid4().hex}"
-    links = None
-    state = prefix.withColumn("comp", F.col("cls"))
-    for step in range(ROUNDS):
-        # A pivot is the smallest class; a class of the pivot's own component takes none there.
-        pivots = state.groupBy("token").agg(
-            F.min(F.struct("comp", "cls", "n", "matches")).alias("p"), F.max("comp").alias("last")).where("p.comp < last")
-        pairs = (state.join(pivots, "token").where("comp <> p.comp")
-                 .withColumn("pn", F.col("p.n")).where(alike)
-                 .groupBy(F.col("cls").alias("b"), F.col("p.cls").alias("a"), "comp", F.col("p.comp").alias("pcomp"),
-                          F.least("matches", "p.matches").alias("least"))
+    prefix = written(shared.mapInPandas(
+        _adaptive(percent), "cls long, n long, matches long, token long, pos long, rank long"), "prefix")
+
+    # At a token that both hold, at most the lesser rank of it is common so far, and at most the shorter rest after it.
+    reach = (f"(least(rank, prank) + least(n - pos, pn - ppos) - 1) * {100 + percent} >= {percent} * (n + pn)")
+    partner = ["cls", "n", "matches", "pos", "rank", "comp"]
+    state, links, texts = prefix.withColumn("comp", F.col("cls")), None, None
+    comps = spark.createDataFrame([], "cls long, root long")
+    for step in range(ROUNDS + 1):
+        if step < ROUNDS:
+            # A pivot is first the class with the fewest shingles of its own, then any.
+            order = [F.col("pos") - F.col("rank"), F.col("cls")] if step == 0 else [F.xxhash64("cls", F.lit(step)), F.col("cls")]
+            pivots = state.groupBy("token").agg(
+                F.min_by(F.struct(*partner), F.struct(*order)).alias("p"), F.min("comp").alias("lo"), F.max("comp").alias("hi")
+            ).where("lo < hi").select("token", *(F.col(f"p.{c}").alias(f"p{c}") for c in partner))
+            met = state.join(pivots, "token").where("comp <> pcomp")
+        else:
+            mixed = state.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
+            open_rows = state.join(mixed.select("token"), "token", "left_semi")
+            others = open_rows.select("token", *(F.col(c).alias(f"p{c}") for c in partner))
+            met = open_rows.join(others, "token").where("cls < pcls AND comp <> pcomp")
+        pairs = (met.where(reach).groupBy(F.col("pcls").alias("a"), F.col("cls").alias("b"), F.least("matches", "pmatches").alias("least"))
                  .agg(F.count("*").alias("met")).where("met >= least"))
-        # One pivot for each class: the one it shares most with.
-        chosen = pairs.groupBy("b").agg(F.max_by("a", F.struct("met", -F.col("a"))).alias("a"))
-        found = _verified(chosen, docs, classes, k, percent, f"{folder}/round-{step}").checkpoint()
+        if step < ROUNDS:
+            # One pivot for each class: the one it shares most with.
+            pairs = pairs.groupBy("b").agg(F.max_by("a", F.struct("met", -F.col("a"))).alias("a"))
+        pairs = written(pairs.select("a", "b"), f"pairs-{step}")
+        if pairs.isEmpty():
+            continue
+        if texts is None:
+            able = prefix.select("cls").distinct().join(classes.select("cls", *ROW), "cls")
+            texts = written(_rows(docs).join(able, ROW).dropDuplicates(ROW).select("cls", "text"), "texts")
+        found = written(_verified(pairs, texts, k, percent), f"links-{step}")
+        if found.isEmpty():
+            continue
         links = found if links is None else links.union(found)
         comps = components(links).select(F.col("id").alias("cls"), F.col("component").alias("root"))
-        state = (prefix.join(comps, "cls", "left").withColumn("comp", F.coalesce("root", "cls")).drop("root")
-                 .checkpoint())
-
-    mixed = state.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
-    open_rows = state.join(mixed.select("token"), "token", "left_semi")
-    left = open_rows.select("token", F.col("cls").alias("a"), F.col("n").alias("n"), F.col("matches").alias("ma"),
-                            F.col("comp").alias("ca"))
-    right = open_rows.select("token", F.col("cls").alias("b"), F.col("n").alias("pn"), F.col("matches").alias("mb"),
-                             F.col("comp").alias("cb"))
-    pairs = (left.join(right, "token").where("a < b").where("ca <> cb").where(alike)
-             .groupBy("a", "b", F.least("ma", "mb").alias("least")).agg(F.count("*").alias("met"))
-             .where("met >= least").select("a", "b"))
-    links = links.union(_verified(pairs, docs, classes, k, percent, f"{folder}/last")).checkpoint()
-    roots = components(links)
-    return signed, classes.join(roots, F.col("cls") == F.col("id"), "left").select(
-        *classes.columns, F.coalesce("component", "cls").alias("root"))
+        if step < ROUNDS:
+            state = written(prefix.join(comps, "cls", "left").withColumn("comp", F.coalesce("root", "cls")).drop("root"),
+                            f"state-{step}")
+    return signed, classes.join(comps, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -259,5 +298,8 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     _, classes = _joined_classes(docs, k, percent)
     kept = classes.groupBy("root").agg(F.min(F.struct("unnamed", "doc_id", *ROW)).alias("first")).select("first.*")
     has_words = F.coalesce(F.col("text").cast("string").rlike(r"[^\t\n\x0B\f\r ]"), F.lit(False))
-    first = _row_key(docs.where(has_words)).join(kept.select(*ROW), ROW, "left_semi").dropDuplicates(ROW)
-    return first.select(*docs.columns).union(docs.where(~has_words))
+    # The row travels as one column, so that its own names can't clash with the key's.
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    keyed = docs.where(has_words).select(row, _row_id(), _row_hash())
+    first = keyed.join(kept.select(*ROW), ROW, "left_semi").dropDuplicates(ROW)
+    return first.select("row.*").union(docs.where(~has_words))

@@ -10,10 +10,13 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _SHIPPED: set[str] = set()
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def ship(spark: SparkSession) -> None:
     """Send the package to the executors (as ``--py-files`` would); a local master's workers are given the path."""
+    # Ten thousand long texts in one batch would not fit a worker; a batch ends by its bytes as well.
+    spark.conf.set(BATCH_BYTES, str(4 << 20))
     root = Path(__file__).resolve().parents[2]
     sc = spark.sparkContext
     app = sc.applicationId

@@ -1,9 +1,11 @@
 import re
 
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 
 from shopfloor.llm import jaccard_join
+from shopfloor.llm.shingles import shingle_sets
 
 SCHEMA = "doc_id long, text string, lang string, comp string"
 
@@ -93,3 +95,32 @@ def test_rows_that_share_an_id_or_have_none(spark, percent):
     for g in groups.values():
         first = min((MIXED[n][0] is None, MIXED[n][0] or 0) for n in g)
         assert any(MIXED[n][:2] in kept and first == (MIXED[n][0] is None, MIXED[n][0] or 0) for n in g)
+
+
+def test_keep_one_leaves_clashing_columns_alone(spark):
+    schema = "row_id string, doc_id long, text string, row_hash string, cls int, row string"
+    rows = [("mine-1", 1, BASE, "h1", 5, "r"), ("mine-2", 2, BASE, "h2", 6, "s"), ("mine-3", 3, None, "h3", 7, None)]
+    kept = jaccard_join.keep_one(spark.createDataFrame(rows, schema), 5, 80)
+    assert kept.columns == [c.split()[0] for c in schema.split(", ")]
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([rows[0], rows[2]], key=str)
+
+
+def test_coded_counts_keep_order_and_size():
+    counts = np.array([0, 1, 15, 16, 17, 18, 100, 1000, 10 ** 6, 2 ** 33])
+    codes = jaccard_join._coded(counts)
+    value = jaccard_join._VALUE[codes]
+    assert (np.diff(jaccard_join._VALUE) > 0).all() and (value <= counts).all() and (value >= counts * 0.88).all()
+
+
+def test_frequencies_are_those_of_all_tasks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "CELL_BITS", 10)
+    monkeypatch.setattr(jaccard_join, "FAN_IN", 3)
+    texts = [f"a b c d e{i % 5} f g h{i % 7}" for i in range(200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(11)
+    raw = "".join(texts).encode()
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+    want = np.zeros(1024, np.int64)
+    for s in shingle_sets(np.frombuffer(raw, np.uint8), offsets, 3):
+        np.add.at(want, jaccard_join._cells(s), 1)
+    got = jaccard_join._VALUE[jaccard_join._frequencies(docs, 3)]
+    assert ((got == 0) == (want == 0)).all() and (got <= want).all() and (got >= 0.6 * want).all()
