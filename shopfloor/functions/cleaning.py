@@ -27,6 +27,8 @@ DATE_FORMATS = [("M/d/yyyy", r"^\d{1,2}/\d{1,2}/\d{4}$"),
 
 FLOAT_TEXT = r"^\s*[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?\s*$"
 INT_TEXT = r"^\s*[+-]?\d+\s*$"
+# Amounts as they were written, up to ten decimals; the reference's NUMERIC has no scale of its own.
+AMOUNT = "decimal(28,10)"
 
 
 def text(c: str) -> Column:
@@ -46,6 +48,11 @@ def parse_float(raw: Column) -> Column:
     return F.when(raw.rlike(FLOAT_TEXT), F.trim(raw).try_cast("double"))
 
 
+def parse_amount(raw: Column) -> Column:
+    """C3 for money: the decimal number as written, else null (also beyond 18 digits before the point)."""
+    return F.when(raw.rlike(FLOAT_TEXT), F.trim(raw).try_cast(AMOUNT))
+
+
 def parse_int(raw: Column) -> Column:
     """An integer (``3.0`` is not one), else null."""
     return F.when(raw.rlike(INT_TEXT), F.trim(raw).try_cast("int"))
@@ -53,27 +60,33 @@ def parse_int(raw: Column) -> Column:
 
 def clean_columns(df: DataFrame, line_col: str = "line_no",
                   corrupt_col: str | None = "_corrupt") -> DataFrame:
-    """Typed columns plus ``reject_reason`` (null for a good row)."""
+    """Typed columns plus ``reject_reason`` (null for a good row).
+
+    A required column that the frame lacks, or that ``_missing`` names for the
+    row's file, is the row's reason; such rows have a result like any other."""
     cols = set(df.columns)
-    missing = [c for c in REQUIRED if c not in cols]
-    order_date = parse_order_date(F.coalesce(F.col("`Order Date`"), F.lit("")))
-    sales = parse_float(F.coalesce(F.col("`Sales`"), F.lit("")))
-    quantity = parse_int(F.coalesce(F.col("`Quantity`"), F.lit("")))
-    profit = parse_float(F.coalesce(F.col("`Profit`"), F.lit("")))
+    lacking = [c for c in REQUIRED if c not in cols]
+    for c in lacking:
+        df = df.withColumn(c, F.lit(None).cast("string"))
+    raw = {c: F.coalesce(F.col(f"`{c}`"), F.lit("")) for c in REQUIRED}
+    order_date = parse_order_date(raw["Order Date"])
+    sales = parse_amount(raw["Sales"])
+    quantity = parse_int(raw["Quantity"])
+    profit = parse_amount(raw["Profit"])
     raw_discount = (F.coalesce(F.col("`Discount`"), F.lit("")) if "Discount" in cols
                     else F.lit(""))
+    of_file = F.col("_missing") if "_missing" in cols else F.lit(None).cast("string")
+    missing = F.lit(", ".join(lacking)) if lacking else of_file
     discount = F.when(F.trim(raw_discount) == "", F.lit(0.0)).otherwise(parse_float(raw_discount))
     corrupt = F.col(corrupt_col).isNotNull() if corrupt_col and corrupt_col in cols else F.lit(False)
 
-    reason = (F.when(F.lit(bool(missing)), F.lit("missing column: " + ", ".join(missing)))
+    reason = (F.when(missing.isNotNull(), F.concat(F.lit("missing column: "), missing))
               .when(corrupt, F.lit("short or malformed row"))
               .when(order_date.isNull(), F.lit("bad order date"))
               .when(sales.isNull(), F.lit("bad sales"))
               .when(quantity.isNull(), F.lit("bad quantity"))
               .when(profit.isNull(), F.lit("bad profit"))
               .when(discount.isNull(), F.lit("bad discount")))
-    if missing:
-        return df.select(F.col(line_col), reason.alias("reject_reason"))
 
     def opt(c: str) -> Column:
         return text(c) if c in cols else F.lit("")

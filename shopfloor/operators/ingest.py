@@ -27,6 +27,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.cleaning import AMOUNT
 from ..functions.columns import month_name
 from ..functions.joins import maybe_broadcast
 from ..functions.keys import number_rows
@@ -35,30 +36,60 @@ from . import graph as graph_ops
 from .nested import nested_records
 from .star import DIMENSIONS, FACT_COLUMNS, Star
 
+CORRUPT_EVENT, ARRIVED = "_corrupt", "_arrived"
+# What the reference's tables hold as NOT NULL; year, month and month name follow from the date.
+REQUIRED_FIELDS = ["order_date", "product_name", "category", "customer_name", "state", "region",
+                   "ship_mode", "sales_amount", "quantity", "profit_amount"]
+
+
+def exact(df: DataFrame) -> DataFrame:
+    """Amounts in the one type of the live layouts, whatever layout or event they come from."""
+    return df.withColumns({c: F.col(c).cast(AMOUNT) for c in ("sales_amount", "profit_amount")})
+
+
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str,
+                   rows: int | None = None) -> DataFrame:
+    """Join on ``keys`` where null equals null; the keys come from ``left``. ``rows`` bounds the right side."""
+    there = right.select(*[F.col(c).alias(f"_right_{c}") if c in keys else F.col(c) for c in right.columns])
+    on = [F.col(c).eqNullSafe(F.col(f"_right_{c}")) for c in keys]
+    return left.join(maybe_broadcast(there, rows), on, how).drop(*[f"_right_{c}" for c in keys])
+
+
 def normalize_events(events: DataFrame) -> DataFrame:
     """Typed events: exact amounts, a date, calendar parts, ``seq``.
 
-    Accepts events as JSON gives them (ISO date text, double amounts) or as
-    the staging has them. ``seq`` is the arrival order; ``line_no`` when the
-    source gives none. An event whose date is absent or no date, or whose numbers
-    don't parse, keeps its reason in ``error`` (null for a good event)."""
+    Accepts events as JSON gives them (all fields as text) or as the staging has
+    them. ``seq`` is the arrival order: of files the modification time (``_arrived``), then the
+    place; ``line_no`` when the source gives neither. ``events`` is a batch, not a stream. A
+    record that is no event (``_corrupt``), an event whose date or numbers don't
+    parse and one that lacks a required field keep their reason in ``error`` (null
+    for a good event). An event without a sale id is none (I8); a record that can't
+    be read is kept, since what it was can't be told."""
     cols = set(events.columns)
     e = events
-    if "seq" not in cols:
+    if ARRIVED in cols:
+        place = F.monotonically_increasing_id().cast("decimal(38,0)")
+        e = e.withColumn("seq", (F.col(ARRIVED).cast("decimal(38,0)") * F.lit(1 << 62) + place).cast("decimal(38,0)"))
+        e = e.drop(ARRIVED)
+    elif "seq" not in cols:
         e = e.withColumn("seq", F.col("line_no").cast("long"))
-    typed = {"order_date": "date", "sales_amount": "decimal(18,2)", "profit_amount": "decimal(18,4)",
+    typed = {"order_date": "date", "sales_amount": AMOUNT, "profit_amount": AMOUNT,
              "quantity": "int", "line_no": "long"}
     reasons = [F.when(F.col(c).isNotNull() & F.col(c).try_cast(t).isNull(),
                       F.concat(F.lit(f"{c} is no {t.split('(')[0]}: "), F.col(c).cast("string")))
                for c, t in typed.items()]
-    reasons.append(F.when(F.col("order_date").isNull(), F.lit("order_date is missing")))
-    e = e.withColumn("error", F.coalesce(*reasons))
+    reasons += [F.when(F.col(c).isNull(), F.lit(f"{c} is missing")) for c in REQUIRED_FIELDS if c in cols]
+    reasons += [F.lit(f"{c} is missing") for c in REQUIRED_FIELDS if c not in cols]
+    broken = F.col(CORRUPT_EVENT) if CORRUPT_EVENT in cols else F.lit(None).cast("string")
+    e = e.withColumn("error", F.coalesce(F.concat(F.lit("no JSON event: "), broken), *reasons))
+    e = e.where(F.col("sales_fact_id").isNotNull() | broken.isNotNull()).drop(CORRUPT_EVENT)
     e = e.withColumns({c: F.col(c).try_cast(t) for c, t in typed.items()})
+    e = e.withColumns({c: F.col(c).try_cast("int") for c in ("year", "month", "day") if c in cols})
     derived = {"year": F.year("order_date"), "month": F.month("order_date"),
                "day": F.dayofmonth("order_date"), "month_name": month_name("order_date")}
     for name, expr in derived.items():
         e = e.withColumn(name, F.coalesce(F.col(name), expr) if name in cols else expr)
-    return e.where(F.col("sales_fact_id").isNotNull())  # I8: no id, not an event
+    return e
 
 
 def _stage(prefix: str) -> str:
@@ -99,7 +130,7 @@ def upsert_dim(dim: DataFrame, events: DataFrame, name: str, storage: Storage,
                      F.col("seq"))
     candidates = (events.groupBy(*[F.col(mapping[c]).alias(c) for c in match])
                   .agg(F.min("seq").alias("_first"), first.alias("_attrs")))
-    fresh = candidates.join(maybe_broadcast(dim.select(*match), rows), match, "left_anti")
+    fresh = null_safe_join(candidates, dim.select(*match), match, "left_anti", rows)
     fresh = fresh.select(*match, *[F.col(f"_attrs.{c}").alias(c) for c in attrs], "_first")
     start = max_key(dim, key) + 1
     numbered, n_new = number_rows(fresh, ["_first", *match], key, storage,
@@ -126,8 +157,7 @@ def append_fact(star: Star, events: DataFrame, storage: Storage) -> tuple[DataFr
     ``max`` over the fact's id column."""
     f = events.withColumn("ship_mode_name", F.col("ship_mode"))
     for name, (match, _m) in STAR_LOOKUP.items():
-        lookup = maybe_broadcast(key_lookup(getattr(star, name), name), star.rows.get(name))
-        f = f.join(lookup, match, "inner")
+        f = null_safe_join(f, key_lookup(getattr(star, name), name), match, "inner", star.rows.get(name))
     top = star.rows.get(MAX_FACT_ID)
     top = max_key(star.fact_sales, "sales_fact_id") if top is None else top
     numbered, added = number_rows(f.drop("sales_fact_id"), ["seq"], "sales_fact_id", storage,

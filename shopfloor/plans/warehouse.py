@@ -226,10 +226,7 @@ class CsvWarehouse(Warehouse):
                 st.write(checked.where(F.col("reject_reason").isNotNull())
                          .select("file", "line_no", "reject_reason"), "stage", "skipped")
                 good = (checked.where(F.col("reject_reason").isNull())
-                        .withColumns({"sales_amount": F.col("sales_amount").cast("decimal(18,2)"),
-                                      "profit_amount":
-                                          F.col("profit_amount").cast("decimal(18,4)"),
-                                      "line_no": F.col("line_no").cast("long")})
+                        .withColumn("line_no", F.col("line_no").cast("long"))
                         .select("file", *SALES_COLUMNS))
                 numbered, _ = number_rows(good, ["file", "line_no"], "fact_seq", st, "sales",
                                           start=1)

@@ -11,6 +11,8 @@ and every block is offset by the row count of the file's earlier blocks.
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,21 +31,30 @@ def _reader(spark: SparkSession, encoding: str, multiline: bool):
 
 
 def read_order_lines(spark: SparkSession, path: str | list[str], encoding: str = LATIN_1,
-                     multiline: bool = True) -> DataFrame:
+                     multiline: bool = True, header: list[str] | None = None) -> DataFrame:
     """Every row as text (header names kept), ``_corrupt`` for short or
     malformed rows, and ``line_no`` (0-based per file, header excluded).
 
+    All files must have one header; ``read_order_lines_any_encoding`` takes any.
     ``multiline`` allows newlines inside quoted fields, as the reference's
     reader does; it makes each file one split. Set it off for large files
     without such fields, so files split across tasks."""
     paths = [path] if isinstance(path, str) else list(path)
-    header = _reader(spark, encoding, multiline).csv(paths).columns
+    header = header or _reader(spark, encoding, multiline).csv(paths).columns
     schema = T.StructType([T.StructField(c, T.StringType()) for c in header]
                           + [T.StructField(CORRUPT, T.StringType())])
     rows = _reader(spark, encoding, multiline).schema(schema).csv(paths)
     return with_line_no(rows)
 
 
+def header_names(line: str) -> list[str]:
+    """Column names of a header line. Of equal names the last has the values, as in the
+    reference's reader; the others, and empty names, get a name of their own."""
+    names = next(csv.reader([line.removeprefix("\ufeff")]), [])
+    last = {name: i for i, name in enumerate(names)}
+    return [name if name and last[name] == i else f"_column_{i}" for i, name in enumerate(names)]
+
+
 def with_line_no(rows: DataFrame) -> DataFrame:
     """0-based row number within each file, in file order."""
     scanned = rows.select("*", F.col("_metadata.file_path").alias("_file"),
@@ -60,30 +71,51 @@ def with_line_no(rows: DataFrame) -> DataFrame:
     ).drop("_block", "_scan_id", "_first", "_n", "_before").withColumnRenamed("_file", "file")
 
 
-def detect_encoding(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Per file, UTF-8 when its bytes decode as UTF-8, else latin-1.
+def scan_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(file, encoding, header): UTF-8 when the file's bytes decode as UTF-8, else latin-1 (S2),
+    and its first line that isn't blank (null for a file without any).
 
-    The text source keeps each line's raw bytes; ``is_valid_utf8`` checks
-    them in parallel, line by line, and one flag per file comes back."""
+    The text source keeps each line's raw bytes; one pass checks them in parallel, line by
+    line, and one row per file comes back."""
     paths = [path] if isinstance(path, str) else list(path)
-    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), "value")
+    lines = spark.read.text(paths).select(
+        F.col("_metadata.file_path").alias("file"), "value",
+        F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("place"))
     bad = F.max((~F.is_valid_utf8("value")).cast("int"))
-    return (lines.groupBy("file").agg(bad.alias("_bad"))
-            .select("file", F.when(F.col("_bad") == 1, F.lit(LATIN_1))
-                    .otherwise(F.lit(UTF_8)).alias("encoding")))
+    first = F.min(F.when(F.trim("value") != "", F.struct("place", "value"))).getField("value")
+    return (lines.groupBy("file").agg(bad.alias("_bad"), first.alias("header"))
+            .select("file", F.when(F.col("_bad") == 1, F.lit(LATIN_1)).otherwise(F.lit(UTF_8)).alias("encoding"),
+                    F.make_valid_utf8("header").alias("header")))
+
+
+def detect_encoding(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(file, encoding) of every file."""
+    return scan_files(spark, path).select("file", "encoding")
 
 
 def read_order_lines_any_encoding(spark: SparkSession, paths: list[str],
                                   multiline: bool = True) -> DataFrame:
-    """S2 + S1: read each file with its detected encoding, one union.
-
-    The driver receives one (file, encoding) pair per file - bounded by the
-    number of files, not their size."""
-    found = detect_encoding(spark, paths).collect()
-    by_encoding: dict[str, list[str]] = {}
-    for row in found:
-        by_encoding.setdefault(row["encoding"], []).append(row["file"])
-    parts = [read_order_lines(spark, files, enc, multiline) for enc, files in by_encoding.items()]
+    """S2 + S1: each file by its own encoding and its own header's names, one union.
+
+    Files of one encoding and header are read together. ``_missing`` names the required columns
+    that the row's file lacks, else null. The driver receives one row per file - bounded by the
+    number of files, not their size. A header is one line: names hold no line breaks."""
+    groups: dict[tuple, list[str]] = {}
+    for row in scan_files(spark, paths).collect():
+        if row.header is not None:
+            groups.setdefault((row.encoding, tuple(header_names(row.header))), []).append(row.file)
+    parts = []
+    for (encoding, header), files in sorted(groups.items()):
+        lacking = ", ".join(c for c in REQUIRED if c not in header) or None
+        part = read_order_lines(spark, files, encoding, multiline, list(header))
+        for c in REQUIRED:
+            if c not in header:
+                part = part.withColumn(c, F.lit(None).cast("string"))
+        parts.append(part.withColumn("_missing", F.lit(lacking).cast("string")))
+    if not parts:
+        names = [*REQUIRED, CORRUPT, "file", "_missing"]
+        return spark.createDataFrame([], T.StructType([
+            *[T.StructField(c, T.StringType()) for c in names], T.StructField("line_no", T.LongType())]))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p, allowMissingColumns=True)
@@ -109,5 +141,5 @@ def write_order_lines(sales: DataFrame, path: str, encoding: str = LATIN_1) -> N
      .option("quote", '"').option("escape", '"').csv(path))
 
 
-__all__ = ["read_order_lines", "read_order_lines_any_encoding", "detect_encoding",
+__all__ = ["read_order_lines", "read_order_lines_any_encoding", "detect_encoding", "scan_files",
            "with_line_no", "write_order_lines", "REQUIRED", "OPTIONAL"]

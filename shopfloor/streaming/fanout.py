@@ -119,7 +119,7 @@ class LiveLayouts:
         for name in DIMENSIONS:
             getattr(star, name).write.mode("overwrite").parquet(
                 self.storage.path("star", version, name))
-        facts = star.fact_sales if new_facts is None else new_facts
+        facts = ingest.exact(star.fact_sales if new_facts is None else new_facts)
         facts.write.mode("overwrite").parquet(self.storage.path("star_facts", f"epoch={epoch}"))
         self._publish("star", version, {"rows": star.rows, "fact_parts": parts + [epoch],
                                         "last_epoch": epoch})
@@ -128,6 +128,7 @@ class LiveLayouts:
                      keep: dict[str, str] | None = None) -> None:
         """Write ``nested`` one folder per order month; ``keep`` are months
         (key -> folder) carried over unchanged from the previous version."""
+        nested = ingest.exact(nested)
         version = self.storage.new_version("nested")
         root = self.storage.path("nested_months", version)
         (nested.withColumns({"_y": F.col("date.year"), "_m": F.col("date.month")})
@@ -162,6 +163,7 @@ class LiveLayouts:
                 sizes[name] = graph_ops.file_bytes(self.spark, path)
         parts, schemas = {}, {}
         for name, df in sale_tables.items():
+            df = ingest.exact(df) if name == "Sale" else df
             root = self.storage.path("graph_sales", version, name)
             (df.withColumn("_pm", F.col(MONTH)).write.mode("overwrite")
              .partitionBy("_pm").parquet(root))

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.ingest import ARRIVED, CORRUPT_EVENT
+
 QUERY_EVENT_SCHEMA = T.StructType([
     T.StructField("event_id", T.StringType()),
     T.StructField("db_name", T.StringType()),
@@ -25,22 +27,14 @@ QUERY_EVENT_SCHEMA = T.StructType([
     T.StructField("executed_at", T.StringType()),
 ])
 
+# All fields as text: a number keeps its digits, and one that is no number is still there to be told of.
 SALE_EVENT_SCHEMA = T.StructType([
     T.StructField("sales_fact_id", T.StringType()),
     T.StructField("order_id", T.StringType()),
-    T.StructField("line_no", T.LongType()),
-    T.StructField("order_date", T.StringType()),
-    T.StructField("year", T.IntegerType()),
-    T.StructField("month", T.IntegerType()),
-    T.StructField("month_name", T.StringType()),
-    T.StructField("day", T.IntegerType()),
     *[T.StructField(c, T.StringType()) for c in (
-        "ship_mode", "customer_id", "customer_name", "segment", "country", "city", "state",
-        "postal_code", "region", "product_id", "category", "sub_category", "product_name")],
-    T.StructField("sales_amount", T.DoubleType()),
-    T.StructField("quantity", T.IntegerType()),
-    T.StructField("discount", T.DoubleType()),
-    T.StructField("profit_amount", T.DoubleType()),
+        "line_no", "order_date", "year", "month", "month_name", "day", "ship_mode", "customer_id", "customer_name", "segment", "country", "city", "state",
+        "postal_code", "region", "product_id", "category", "sub_category", "product_name",
+        "sales_amount", "quantity", "discount", "profit_amount")],
 ])
 
 
@@ -95,17 +89,37 @@ def read_sales_transactions(spark: SparkSession, path: str, stream: bool = True,
     return parse_transaction_lines(lines)
 
 
+def parse_sale_events(lines: DataFrame, value: str = "value") -> DataFrame:
+    """JSON text to the 25 fields, as text (numbers keep 15 digits at least), and ``_corrupt``: the text itself where it is no
+    JSON object (null for an event). The frame's other columns stay; blank lines are no record.
+    ``ingest.normalize_events`` types the fields and gives each bad record its error."""
+    schema = T.StructType([*SALE_EVENT_SCHEMA, T.StructField(CORRUPT_EVENT, T.StringType())])
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT_EVENT}
+    others = [c for c in lines.columns if c != value]
+    parsed = lines.where(F.trim(F.col(value)) != "").select(
+        *others, F.col(value).alias("_text"), F.from_json(F.col(value), schema, options).alias("_event"))
+    # Text that is JSON but no object gives a null struct or one without any field.
+    none = F.coalesce(*[F.col(f"_event.{c}") for c in schema.names]).isNull()
+    return parsed.select(*others, *[F.col(f"_event.{c}").alias(c) for c in SALE_EVENT_SCHEMA.names],
+                         F.when(none, F.col("_text")).otherwise(F.col(f"_event.{CORRUPT_EVENT}")).alias(CORRUPT_EVENT))
+
+
 def read_sale_events(spark: SparkSession, path: str, stream: bool = True,
                      max_files_per_trigger: int | None = None) -> DataFrame:
-    """JSON sale events (the 25 fields) and ``seq``, their arrival order: the file's
-    modification time, then the place in the file. (A topic's events of one sale have one key,
-    so its partition's offset is their order: ``kafka_values`` gives that as ``seq``.)"""
-    r = _reader(spark, stream).schema(SALE_EVENT_SCHEMA)
+    """S5 from files of one JSON event a line, with the file's modification time
+    (``_arrived``). ``ingest.normalize_events`` makes the arrival order of it and of the
+    place in the file, batch by batch: a stream itself has no places."""
+    r = _reader(spark, stream)
     if stream and max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-    arrived = F.unix_millis("_metadata.file_modification_time").cast("decimal(38,0)")
-    place = F.monotonically_increasing_id().cast("decimal(38,0)")
-    return r.json(path).withColumn("seq", (arrived * F.lit(1 << 62) + place).cast("decimal(38,0)"))
+    arrived = F.unix_millis("_metadata.file_modification_time").alias(ARRIVED)
+    return parse_sale_events(r.text(path).select("value", arrived))
+
+
+def read_sale_topic(spark: SparkSession, topic: str, servers: str) -> DataFrame:
+    """S5 from a topic. Events of one sale have one key, so the offset in their partition is
+    their order (``seq``)."""
+    return parse_sale_events(kafka_values(spark, topic, servers).select("value", "seq"))
 
 
 # ---------------------------------------------------------------------------

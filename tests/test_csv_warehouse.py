@@ -49,3 +49,32 @@ def test_csv_load_into_three_layouts(spark):
                 for r in graph_ops.q1_top_products(wh.graph()).collect()}
     assert star_q1 == nested_q1 == {"Phone": 170.0, "Chair": 50.0}
     assert graph_q1 == {"Phone": 100.0, "Chair": 50.0}  # the reference's MERGE semantics
+
+
+def test_columns_go_by_each_files_own_header(spark):
+    d = tempfile.mkdtemp(prefix="csvwh-", dir="/tmp")
+    line = ["CA-1", "1/2/2017", "First", "Ann", "Oslo", "North", "Tech", "Phone", "957.5775", "1", "-383.03105"]
+    other = [*HEADER[:8], "Profit", "Quantity", "Sales", "Discount"]
+    _write(os.path.join(d, "a.csv"), [line])
+    files = {"b.csv": (other, [[*line[:8], "10.5", "2", "100.25", "0.2"], [*line[:8], "x", "2", "100.25", "0.2"]]),
+             "c.csv": (HEADER[:10], [line[:10], line[:10]]), "d.csv": (HEADER, []), "e.csv": ([], [])}
+    for name, (header, rows) in files.items():
+        with open(os.path.join(d, name), "w", newline="", encoding="utf-8-sig" if name == "b.csv" else "utf-8") as fh:
+            csv.writer(fh).writerows([header, *rows] if header else rows)
+    wh = CsvWarehouse.open_csv(spark, [d], root=tempfile.mkdtemp(prefix="csvroot-", dir="/tmp"))
+    got = sorted((r.file[-5:], str(r.sales_amount.normalize()), r.quantity, str(r.profit_amount.normalize())) for r in wh.sales().collect())
+    assert got == [("a.csv", "957.5775", 1, "-383.03105"), ("b.csv", "100.25", 2, "10.5")]
+    skipped = sorted((r.file[-5:], r.line, r.reason) for r in wh.skipped().collect())
+    assert skipped == [("b.csv", 3, "bad profit"), ("c.csv", 2, "missing column: Profit"), ("c.csv", 3, "missing column: Profit")]
+    amounts = {(str(r.sales_amount.normalize()), str(r.profit_amount.normalize()))
+               for frame in (wh.star().fact_sales, wh.nested()) for r in frame.collect()}
+    assert amounts == {("957.5775", "-383.03105"), ("100.25", "10.5")}
+
+
+def test_only_files_without_a_required_column(spark):
+    d = tempfile.mkdtemp(prefix="csvwh-", dir="/tmp")
+    with open(os.path.join(d, "a.csv"), "w", newline="") as fh:
+        csv.writer(fh).writerows([HEADER[1:], ["1/2/2017", *"abcdefgh", "1"]])
+    wh = CsvWarehouse.open_csv(spark, [d], root=tempfile.mkdtemp(prefix="csvroot-", dir="/tmp"))
+    assert wh.sales().count() == 0
+    assert [(r.line, r.reason) for r in wh.skipped().collect()] == [(2, "missing column: Order ID")]

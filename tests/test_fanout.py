@@ -1,6 +1,8 @@
 """Sale events through the fan-out consumer."""
+import json
 import os
 import tempfile
+from decimal import Decimal
 
 from pyspark.sql import functions as F
 
@@ -235,3 +237,64 @@ def test_long_tails_of_sale_ids_do_not_parse(spark):
     ids = spark.createDataFrame([("O1-99999999999999999999",), ("O1-7",), (None,)], "sales_fact_id string")
     got = {r.sales_fact_id: (r.line_no, r.parsed) for r in parse_sale_ids(ids).collect()}
     assert got == {"O1-99999999999999999999": (None, False), "O1-7": (7, True), None: (None, False)}
+
+
+GOOD_EVENT = {"sales_fact_id": "O7-1", "order_id": "O7", "line_no": 1, "order_date": "2017-03-05", "ship_mode": "Second",
+              "customer_name": "Bob", "state": "Bergen", "region": "West", "product_name": "Desk", "category": "Furn",
+              "sales_amount": 957.5775, "quantity": 2, "profit_amount": -383.03105}
+
+
+def test_bad_records_of_a_stream_are_errors_and_add_nothing(spark, tmp_path):
+    live = _live(spark)
+    before = {name: sorted(map(str, rows)) for name, rows in _state(live).items()}
+    folder = tmp_path / "events"
+    folder.mkdir()
+    bad = [{**GOOD_EVENT, "sales_fact_id": "O8-1", "sales_amount": "abc"}, {**GOOD_EVENT, "sales_fact_id": "O9-1", "customer_name": None},
+           {**GOOD_EVENT, "sales_fact_id": "O10-1", "sales_amount": 1e30}]
+    lines = [json.dumps(e) for e in bad] + ['{"sales_fact_id": "O11-1", "sales_am', "[1, 2]", "", json.dumps({**GOOD_EVENT, "sales_fact_id": None})]
+    (folder / "a.json").write_text("\n".join(lines))
+    q = start_fan_out(read_sale_events(spark, str(folder)), live)
+    q.processAllAvailable()
+    q.stop()
+    assert {name: sorted(map(str, rows)) for name, rows in _state(live).items()} == before
+    for sink in ("star", "nested", "graph"):
+        got = sorted((r.sales_fact_id or "", r.outcome) for r in outcomes(live).where(F.col("sink") == sink).collect())
+        assert got == [("", 'ERR: no JSON event: [1, 2]'), ("", 'ERR: no JSON event: {"sales_fact_id": "O11-1", "sales_am'),
+                       ("O10-1", "ERR: sales_amount is no decimal: 1.0E30"), ("O8-1", "ERR: sales_amount is no decimal: abc"),
+                       ("O9-1", "ERR: customer_name is missing")]
+
+
+def _state(live):
+    star, graph = live.star(), live.graph()
+    return {**{d: getattr(star, d).collect() for d in star_ops.DIMENSIONS}, "fact": star.fact_sales.collect(),
+            "nested": live.nested().collect(), **{n: df.collect() for n, df in {**graph.nodes, **graph.edges}.items()}}
+
+
+def test_amounts_of_events_are_exact_in_every_layout(spark, tmp_path):
+    live = _live(spark)
+    (tmp_path / "a.json").write_text(json.dumps(GOOD_EVENT))
+    fan_out(live)(read_sale_events(spark, str(tmp_path), stream=False), 0)
+    want = (Decimal("957.5775"), Decimal("-383.03105"))
+    facts = live.star().fact_sales.where("order_id = 'O7'").collect()
+    records = live.nested().where("sales_fact_id = 'O7-1'").collect()
+    nodes = live.graph().nodes["Sale"].where("sales_fact_id = 'O7-1'").collect()
+    assert [(r.sales_amount, r.profit_amount) for r in facts + records + nodes] == [want] * 3
+    assert {r.outcome for r in outcomes(live).collect()} == {"ok"}
+
+
+def test_null_keys_are_created_once(spark):
+    live = _live(spark)
+    rows = [("O2", 1, "2017-03-05", "Second", None, "Bergen", "West", "Desk", "Furn", 40, 2, 4)]
+    star = live.star()
+    for _ in range(2):
+        star = ingest.upsert_star(star, ingest.normalize_events(sales_frame(spark, rows)), live.storage)
+    assert star.dim_customer.where("customer_name IS NULL").count() == 1
+    assert star.fact_sales.count() == 3
+
+
+def test_topic_text_is_parsed_like_files(spark):
+    from shopfloor.streaming.sources import parse_sale_events
+    lines = spark.createDataFrame([(json.dumps(GOOD_EVENT), 5), ("no json", 6)], "value string, seq long")
+    rows = ingest.normalize_events(parse_sale_events(lines)).orderBy("seq").collect()
+    assert [r.error for r in rows] == [None, "no JSON event: no json"]
+    assert (rows[0].sales_amount, rows[0].quantity, rows[0].line_no, rows[0].year) == (Decimal("957.5775"), 2, 1, 2017)
