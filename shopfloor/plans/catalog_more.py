@@ -9,6 +9,8 @@ customer* is the one with the most order lines (ties: smallest name), the
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +19,9 @@ from ..operators import customers as cust
 from ..operators import star as star_ops
 from ..operators import summaries as summ
 from ..sources.tables import read_table
+from ..session import shared_dir
 from .catalog import register
+from .maintenance import StoredLayouts
 from .oracle import with_ctes
 from .warehouse import Warehouse
 
@@ -419,3 +423,43 @@ def graph_q4_after_pending_delete(spark: SparkSession, d: str) -> DataFrame:
     wh = _wh(spark, d)
     g, _ = cust.delete_lines_graph(wh.graph(), pending_order_ids(wh))
     return graph_ops.q4_revenue_by_category(g)
+
+
+# ---------------------------------------------------------------------------
+# Deletes that persist: the stored layouts are read back after the delete
+# ---------------------------------------------------------------------------
+
+def _stored(wh: Warehouse) -> StoredLayouts:
+    root = f"{shared_dir(wh.spark)}/stored-{uuid.uuid4().hex}"
+    return StoredLayouts.create(wh.spark, root, wh.star(), wh.nested(), wh.graph())
+
+
+_MONTHS_LEFT_SQL = """
+left_over AS (SELECT * FROM sales WHERE NOT ({gone})),
+months AS (SELECT CAST(year(order_date) AS INTEGER) AS year, CAST(month(order_date) AS INTEGER) AS month,
+                  COUNT(*) AS lines, CAST(SUM(sales_amount) AS DOUBLE) AS revenue FROM left_over GROUP BY 1, 2)"""
+
+
+def _months_sql(gone: str, **subject) -> str:
+    body = f"""
+SELECT layout, m.* FROM (WITH {_MONTHS_LEFT_SQL.format(gone=gone).lstrip()} SELECT * FROM months) m,
+       (VALUES ('star'), ('nested'), ('graph')) AS l(layout)"""
+    return _with(body, **subject)
+
+
+@register("stored_months_after_customer_delete",
+          _months_sql("customer_name IN (SELECT customer_name FROM target)", target=True))
+def stored_months_after_customer_delete(spark: SparkSession, d: str) -> DataFrame:
+    wh = _wh(spark, d)
+    stored = _stored(wh)
+    stored.delete_customers(frequent_customer(wh))
+    return stored.months()
+
+
+@register("stored_months_after_pending_delete",
+          _months_sql("sales_fact_id IN (SELECT sales_fact_id FROM pending)", pending=True))
+def stored_months_after_pending_delete(spark: SparkSession, d: str) -> DataFrame:
+    wh = _wh(spark, d)
+    stored = _stored(wh)
+    stored.delete_lines(pending_order_ids(wh))
+    return stored.months()
