@@ -113,13 +113,12 @@ def test_coded_counts_keep_order_and_size():
 
 
 def test_frequencies_are_those_of_all_tasks(spark, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "CELL_BITS", 10)
-    monkeypatch.setattr(jaccard_join, "FAN_IN", 3)
+    monkeypatch.setattr(jaccard_join, "FAN_IN", 3)  # eleven tasks, so three rounds of adding up
     texts = [f"a b c d e{i % 5} f g h{i % 7}" for i in range(200)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(11)
     raw = "".join(texts).encode()
     offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
-    want = np.zeros(1024, np.int64)
+    want = np.zeros(1 << jaccard_join.CELL_BITS, np.int64)
     for s in shingle_sets(np.frombuffer(raw, np.uint8), offsets, 3):
         np.add.at(want, jaccard_join._cells(s), 1)
     got = jaccard_join._VALUE[jaccard_join._frequencies(docs, 3)]
