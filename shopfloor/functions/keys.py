@@ -5,9 +5,12 @@ one task. Here the rows are range-partitioned on the ordering (a hot value
 of the first column is split by the later ones), sorted inside each
 partition and given ``monotonically_increasing_id`` (partition id in the
 upper 31 bits, position in the lower 33). The numbered rows are written to
-the shared folder so the ids are fixed; the driver then collects one count
-per partition (bounded by the partition count, not the data) and turns
-them into offsets. The final number is offset[partition] + position + start.
+the shared folder so the ids are fixed. A second written table holds each
+partition's first number: the rows are counted by partition and the counts
+summed in two levels, inside blocks of ``BLOCK`` partitions and then over
+the blocks' totals. The number is first + position + start, by a join of the
+rows with that table; the plan's size does not depend on the partition
+count, and numbers opened again are not counted again.
 """
 
 from __future__ import annotations
@@ -18,28 +21,38 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.storage import Storage
+from .joins import maybe_broadcast
 
 _POSITION_BITS = 33
 _ROW_ID = "_row_id"
-
-
-def _offsets(staged: DataFrame) -> tuple[list[int], int]:
-    counts = (staged.groupBy(F.shiftright(_ROW_ID, _POSITION_BITS).alias("p"))
-              .agg(F.count(F.lit(1)).alias("n")).collect())
-    by_partition = {int(r["p"]): int(r["n"]) for r in counts}
-    top = max(by_partition, default=0)
-    offsets, running = [], 0
-    for pid in range(top + 1):
-        offsets.append(running)
-        running += by_partition.get(pid, 0)
-    return offsets, running
-
-
-def _number_expr(offsets: list[int], start: int) -> Column:
-    pid = F.shiftright(_ROW_ID, _POSITION_BITS).cast("int")
-    position = F.col(_ROW_ID).bitwiseAND(F.lit((1 << _POSITION_BITS) - 1))
-    table = F.array(*[F.lit(o).cast("long") for o in offsets])
-    return F.element_at(table, pid + 1) + position + F.lit(start).cast("long")
+_PARTITION = "_partition"
+# Partitions per block of the first level; the second level sums one row per block.
+BLOCK = 1024
+# In memory: partition and offset, two longs and the row's frame.
+_OFFSET_ROW_BYTES = 64
+# Rows of a known count that one task sorts.
+ROWS_PER_TASK = 1_000_000
+
+
+def partition_offsets(staged: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(_partition, _offset, _rows): rows before each partition that has rows, and its own."""
+    counts = (staged.groupBy(F.shiftright(_ROW_ID, _POSITION_BITS).alias(_PARTITION))
+              .agg(F.count(F.lit(1)).alias("_rows"))
+              .withColumn("_block", F.expr(f"{_PARTITION} div {block}")))
+    before = Window.partitionBy("_block").orderBy(_PARTITION).rowsBetween(
+        Window.unboundedPreceding, -1)
+    inside = counts.withColumn("_inside", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
+    # One row per block of partitions is all that meets in one task.
+    blocks_before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    totals = counts.groupBy("_block").agg(F.sum("_rows").alias("_total"))
+    totals = totals.select("_block", F.coalesce(F.sum("_total").over(blocks_before), F.lit(0))
+                           .alias("_before"))
+    return inside.join(totals, "_block").select(
+        _PARTITION, (F.col("_inside") + F.col("_before")).alias("_offset"), "_rows")
+
+
+def _offsets_stage(stage: str) -> str:
+    return f"{stage}-offsets"
 
 
 def number_rows(df: DataFrame, order_cols: list[str | Column], name: str, storage: Storage,
@@ -64,30 +77,32 @@ def number_rows(df: DataFrame, order_cols: list[str | Column], name: str, storag
     if then is not None:
         ranged = then(ranged)
     staged = storage.write(ranged, "stage", stage)
-    return numbered_view(staged, name, start)
-
+    storage.write(partition_offsets(staged), "stage", _offsets_stage(stage))
+    return numbered_view(storage, stage, name, start)
 
-def numbered_view(staged: DataFrame, name: str, start: int = 0) -> tuple[DataFrame, int]:
-    """The numbers for rows already staged by ``number_rows`` (e.g. after a restart)."""
-    offsets, total = _offsets(staged)
-    numbered = staged.withColumn(name, _number_expr(offsets, start)).drop(_ROW_ID)
-    return numbered, total
 
-
-# A set whose exact row count is at most this is numbered in one task with a
-# plain window: cheaper than three jobs, and its size is proven, not assumed.
-SINGLE_TASK_MAX_ROWS = 1_000_000
+def numbered_view(storage: Storage, stage: str, name: str, start: int = 0) -> tuple[DataFrame, int]:
+    """The numbers of the rows that ``number_rows`` wrote as ``stage`` (e.g. after a restart)."""
+    staged = storage.read("stage", stage)
+    offsets = storage.read("stage", _offsets_stage(stage))
+    size = offsets.agg(F.count(F.lit(1)).alias("n"),
+                       F.coalesce(F.sum("_rows"), F.lit(0)).alias("total")).first()
+    offsets = maybe_broadcast(offsets.drop("_rows"), size["n"], _OFFSET_ROW_BYTES)
+    position = F.col(_ROW_ID).bitwiseAND(F.lit((1 << _POSITION_BITS) - 1))
+    numbered = (staged.withColumn(_PARTITION, F.shiftright(_ROW_ID, _POSITION_BITS))
+                .join(offsets, _PARTITION)
+                .withColumn(name, F.col("_offset") + position + F.lit(start).cast("long"))
+                .select(*[c for c in staged.columns if c not in (_ROW_ID, name)], name))
+    return numbered, int(size["total"])
 
 
 def dense_keys(df: DataFrame, order_cols: list[str], key: str, storage: Storage, stage: str,
                start: int = 1, known_rows: int | None = None) -> tuple[DataFrame, int]:
     """Surrogate keys 1..n for distinct natural keys, in natural-key order.
 
-    ``known_rows``: the exact row count when the caller has it; a small set
-    is then numbered in one task, anything else by ``number_rows``."""
-    if known_rows is not None and known_rows <= SINGLE_TASK_MAX_ROWS:
-        w = Window.orderBy(*order_cols)
-        numbered = df.withColumn(key, (F.row_number().over(w) + F.lit(start - 1)).cast("long"))
-        return numbered.select(key, *[c for c in df.columns]), known_rows
-    numbered, total = number_rows(df, order_cols, key, storage, stage, start=start)
+    ``known_rows``: the exact row count when the caller has it, which gives the
+    number of range partitions (``ROWS_PER_TASK`` rows each)."""
+    parts = None if known_rows is None else max(1, -(-known_rows // ROWS_PER_TASK))
+    numbered, total = number_rows(df, order_cols, key, storage, stage, start=start,
+                                  num_partitions=parts)
     return numbered.select(key, *[c for c in numbered.columns if c != key]), total

@@ -129,7 +129,7 @@ class Warehouse:
         if self._sales is None:
             st = self.storage
             if st.is_done("stage", "sales"):
-                numbered, _ = numbered_view(st.read("stage", "sales"), "line_no")
+                numbered, _ = numbered_view(st, "sales", "line_no")
             else:
                 lines = lineitem_lines(self.spark, self.sf_dir)
                 size = file_bytes(self.spark, table_path(self.sf_dir, "lineitem"))
@@ -219,7 +219,7 @@ class CsvWarehouse(Warehouse):
         if self._sales is None:
             st = self.storage
             if st.is_done("stage", "sales"):
-                numbered, _ = numbered_view(st.read("stage", "sales"), "fact_seq", start=1)
+                numbered, _ = numbered_view(st, "sales", "fact_seq", start=1)
             else:
                 raw = read_order_lines_any_encoding(self.spark, self.paths, self.multiline)
                 checked = clean_columns(raw)

@@ -2,7 +2,8 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from shopfloor.functions.keys import dense_keys, number_rows
+from shopfloor.functions import keys
+from shopfloor.functions.keys import dense_keys, number_rows, numbered_view, partition_offsets
 
 
 def test_number_rows_matches_row_number_with_hot_key(spark, storage):
@@ -50,3 +51,42 @@ def test_dense_keys_type_does_not_depend_on_size(spark, storage):
     large, _ = dense_keys(df, ["n"], "k", storage, "t7")
     assert small.schema["k"].dataType == large.schema["k"].dataType
     assert sorted(small.collect()) == sorted(large.collect())
+
+
+def test_dense_keys_of_a_known_count_use_several_tasks(spark, storage, monkeypatch):
+    monkeypatch.setattr(keys, "ROWS_PER_TASK", 100)
+    df = spark.range(1000).selectExpr("id * 7 % 1000 AS a")
+    got, total = dense_keys(df, ["a"], "k", storage, "t8", known_rows=1000)
+    assert total == 1000
+    assert got.where("k <> a + 1").count() == 0
+    assert storage.read("stage", "t8-offsets").count() > 1
+
+
+def test_offsets_of_many_partitions_are_summed_in_two_levels(spark):
+    # partition p holds p % 5 rows: gaps where p is a multiple of five, several blocks of 64
+    rows = [((p << 33) + i,) for p in range(50_000) for i in range(p % 5)]
+    staged = spark.createDataFrame(rows, "_row_id long")
+    want, running = [], 0
+    for p in range(50_000):
+        if p % 5:
+            want.append((p, running, p % 5))
+        running += p % 5
+    got = partition_offsets(staged, block=64).orderBy("_partition").collect()
+    assert [tuple(r) for r in got] == want
+
+
+def test_numbers_are_opened_again_without_a_count(spark, storage):
+    df = spark.range(500).selectExpr("id % 9 AS a", "id AS b")
+    first, total = number_rows(df, ["a", "b"], "n", storage, "t9", num_partitions=7)
+    again, total_again = numbered_view(storage, "t9", "n")
+    assert total == total_again == 500
+    assert sorted(first.collect()) == sorted(again.collect())
+    plan = again._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and "Window" not in plan and "SinglePartition" not in plan
+
+
+def test_plan_does_not_grow_with_the_partitions(spark, storage):
+    def plan(n):
+        df, _ = number_rows(spark.range(5000), ["id"], "n", storage, f"t10-{n}", num_partitions=n)
+        return len(df._jdf.queryExecution().optimizedPlan().toString())
+    assert abs(plan(2) - plan(300)) < 40
