@@ -17,10 +17,12 @@ finds no good block, all that it leaves, if they have three words together.
 Names are whole ones: a class token or id counts where it, or every part of it
 together with words of place ("site-footer"), is such a name, not by one part
 ("has-sidebar"); ids of headings and sections, which documentation tools make
-from titles, count only as a whole or not at all. Forms and what is called bad
-only by class or id are judged by the rules of their own blocks where they hold
-the greater part of the page's text, or in an article ``HELD`` words of good
-text; reader comments, and elements and roles of menus and the like, are not.
+from titles, count only as a whole or not at all. Names of adverts, sign-up boxes
+and consent notices, names of reader comments, and elements and roles of menus and
+the like make all they hold bad, however long it is, articles (teaser cards) too,
+but not a main element. Forms and what has another bad name are judged by the
+rules of their own blocks where they hold the greater part of the page's text.
+Beside an article, a short block of the form "© 2024 ..." is a copyright line.
 
 Null and empty html gives an empty text, as does a page without a good block.
 Unclosed and stray tags are accepted, an unclosed comment or script runs to the
@@ -69,7 +71,11 @@ PLACE_NAMES = frozenset("""
 area bar block bottom box button buttons container form global header icons inner item items left link links list main
 outer page panel post posts primary right secondary section site slot text title top unit wrap wrapper
 """.split())
-HELD = 50
+# Of these, names of what is no main text however much it holds.
+AD_NAMES = frozenset("""
+ad ads adv advert adverts advertisement advertising consent cookie cookies gdpr login newsletter popup popups promo
+promotion signup sponsor sponsored subscribe subscription
+""".split())
 COMMENT_NAMES = frozenset("comment comments disqus replies reply respond".split())
 HEADINGS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
 SECTIONS = frozenset(["article", "main", "section", "body"])
@@ -80,6 +86,7 @@ NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 # Scripts written without blanks (Thai to Khmer, kana, Han): each letter counts as a word.
 WORD = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]"
                   "|(?:(?![\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff])[^\\W\\d_])+")
+COPYRIGHT = re.compile(r"©|(copyright|\(c\))(\s|©|,|:|\(c\))*(19|20)\d\d\b|(19|20)\d\d\s*©|.*\ball rights reserved\b", re.I)
 RAW_END = {name: re.compile(rf"</{name}\b[^>]*>?", re.I) for name in RAW}
 
 
@@ -111,7 +118,6 @@ class Holder:
 
     above: int
     form: bool = False
-    article: bool = False
     words: int = 0
     good: int = 0
     freed: bool = False
@@ -126,9 +132,9 @@ def _bad_name(name: str, whole: bool) -> frozenset[str]:
     return found if not whole and parts <= BAD_NAMES | PLACE_NAMES else frozenset()
 
 
-def _names(element: str, attributes: str) -> tuple[bool, bool, bool]:
-    """Whether the role, then class or id, tell of something beside the article, and whether of reader comments."""
-    role = named = comments = False
+def _names(element: str, attributes: str) -> tuple[bool, bool, bool, bool]:
+    """Whether the role, then class or id, tell of something beside the article, and whether of adverts and comments."""
+    role = named = advert = comments = False
     for key, value in ATTRIBUTE.findall(attributes):
         key, value = key.lower(), value.strip("\"'")
         if key == "role":
@@ -137,8 +143,9 @@ def _names(element: str, attributes: str) -> tuple[bool, bool, bool]:
             for name in value.split():
                 if found := _bad_name(name, key == "id" and element in SECTIONS):
                     named = True
+                    advert |= not found.isdisjoint(AD_NAMES) and not (key == "id" and element in SECTIONS)
                     comments |= not found.isdisjoint(COMMENT_NAMES)
-    return role, named, comments
+    return role, named, advert, comments
 
 
 class _Reader:
@@ -187,7 +194,7 @@ class _Reader:
             self.link_depth = len(self.stack)
         if name in EMPTY and name != "hr":
             return
-        role, named, comments = _names(name, attributes) if "=" in attributes else (False, False, False)
+        role, named, advert, comments = _names(name, attributes) if "=" in attributes else (False,) * 4
         block = name in BLOCKS
         if block:
             self.flush()
@@ -205,14 +212,18 @@ class _Reader:
         if name in SECTIONS:
             self.sections += 1
             section = self.sections
-        if name in ("article", "main"):
+        if name == "main":
+            # It can't be a part of a menu, header, footer or sidebar.
             in_comments |= comments
             bad, article, holder = in_comments, True, 0
         elif name not in ("html", "body"):
             in_comments |= comments
             bad |= role or comments or name in BAD_ELEMENTS or (name == "header" and not article)
+            # An article may be named after those who can read it.
+            bad |= advert and name != "article"
+            article |= name == "article"
             if not bad and (named or name == "form"):
-                self.holders.append(Holder(holder, name == "form" and not named, article))
+                self.holders.append(Holder(holder, name == "form" and not named))
                 holder = len(self.holders) - 1
         if (bad and not top.bad) or holder > top.holder:
             # What lies beside the article says nothing about the blocks around it.
@@ -277,7 +288,7 @@ def _known(words: list[str], stop_density: float = 0.15) -> bool:
 
 
 def _judge_holders(blocks: list[Block], holders: list[Holder], min_words: int = 10, link_density: float = 0.5) -> None:
-    """Marks the blocks of holders as bad, but for those that hold the page's text or a good part of an article."""
+    """Marks the blocks of holders as bad, but for those that hold the greater part of the page's text."""
     held = [(b, WORD.findall(b.text.lower())) for b in blocks if not b.bad and b.linked < link_density]
     dense = [(b, len(w), _known(w)) for b, w in held if len(w) >= min_words]
     any_language = sum(n for _, n, known in dense if not known) > sum(n for _, n, known in dense if known)
@@ -289,7 +300,7 @@ def _judge_holders(blocks: list[Block], holders: list[Holder], min_words: int =
     holders[0].freed = True
     for h in reversed(holders[1:]):
         most = h.words if h.form else h.good
-        h.freed |= (most >= min_words and 2 * most >= total) or (h.article and h.good >= HELD)
+        h.freed |= most >= min_words and 2 * most >= total
         # What holds a freed one holds the text, too.
         holders[h.above].freed |= h.freed
     for b in blocks:
@@ -305,7 +316,7 @@ def decide(blocks: list[Block], min_words: int = 10, stop_density: float = 0.15,
             b.label = False
             continue
         words = WORD.findall(b.text.lower())
-        if not marked and len(words) < min_words and ("©" in b.text or "(c)" in b.text):
+        if not marked and len(words) < min_words and COPYRIGHT.match(b.text):
             b.label = False
         elif b.linked < link_density and len(words) >= min_words:
             if _known(words, stop_density):
