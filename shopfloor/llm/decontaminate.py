@@ -45,7 +45,8 @@ from .arrow import text_chunks
 
 # Thai to Khmer, kana and Han are written without blanks.
 UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
-WORD = re.compile(f"[{UNSPACED}]|[^\\W{UNSPACED}]+")
+HIGH = re.compile("[\u0e00-\U0010ffff]")
+WORD, PLAIN_WORD = re.compile(f"[{UNSPACED}]|[^\\W{UNSPACED}]+"), re.compile(r"\w+")
 SAMPLES, BITS = 16, 3
 PART = 64
 TARGET, MOST_WALKS, TRIALS = 0.99, 16, 400
@@ -55,7 +56,8 @@ SCHEMA = "doc_id long, item_id long, start long, edits long"
 
 
 def words(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+    text = text.lower()
+    return (WORD if HIGH.search(text) else PLAIN_WORD).findall(text)
 
 
 def allowed_edits(m: int, similarity: float) -> int:
