@@ -226,11 +226,19 @@ def hop(g: Graph, etype: str, measures: list[str] | None = None) -> DataFrame:
 
 def optional_hop(left: DataFrame, left_key: str, g: Graph, etype: str,
                  reverse: bool = False) -> DataFrame:
-    """OPTIONAL MATCH: keep every left row, with null end keys where no edge."""
+    """OPTIONAL MATCH: keep every left row, with null end keys where no edge.
+
+    Two joins instead of one left outer join, whose right side AQE never splits: an inner
+    join, where it splits the edges of a hot key, and an anti join with the distinct ends,
+    which are combined before their shuffle."""
     e = g.edges[etype]
     near, far = ("dst", "src") if reverse else ("src", "dst")
-    e = e.select(F.col(near).alias("_near"), F.col(far).alias(f"{etype.lower()}_end"))
-    return left.join(e, left[left_key] == e["_near"], "left").drop("_near")
+    end = f"{etype.lower()}_end"
+    edges = e.select(F.col(near).alias("_near"), F.col(far).alias(end))
+    ends = e.select(F.col(near).alias("_near")).distinct()
+    met = left.join(edges, left[left_key] == edges["_near"]).drop("_near")
+    unmet = left.join(ends, left[left_key] == ends["_near"], "left_anti")
+    return met.unionByName(unmet.withColumn(end, F.lit(None).cast(e.schema[far].dataType)))
 
 
 def _month_totals(g: Graph, measure: str) -> DataFrame:

@@ -12,7 +12,7 @@ into doubles for callers.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import money
@@ -156,6 +156,28 @@ NESTED_BUILDERS = {
 }
 
 
+# Nested summary -> its key columns and where a record holds them.
+NESTED_SUMMARIES = {
+    "summary_monthly_revenue": {"year": "date.year", "month": "date.month"},
+    "summary_category_performance": {"category": "product.category"},
+    "summary_region_state_profit": {"region": "location.region", "state": "location.state"},
+    "summary_ship_mode_profitability": {"ship_mode": "ship_mode"},
+    "summary_customer_ranking": {"customer_name": "customer.customer_name"},
+}
+
+
+def finish_nested(name: str, totals: DataFrame) -> DataFrame:
+    """The summary's columns from its groups' sums (r, p, q, n and month_name)."""
+    columns = {"summary_monthly_revenue": ["month_name", "total_revenue", "total_profit", "order_count"],
+               "summary_category_performance": ["total_revenue", "total_profit", "units_sold"],
+               "summary_customer_ranking": ["total_revenue", "order_count"]}.get(name, ["total_revenue", "total_profit"])
+    source = {"total_revenue": "r", "total_profit": "p", "units_sold": "q", "order_count": "n", "month_name": "month_name"}
+    out = totals.select(*NESTED_SUMMARIES[name], *(F.col(source[c]).alias(c) for c in columns))
+    if name == "summary_ship_mode_profitability":
+        out = out.withColumn("profit_ratio", _ratio_or_null("total_profit", "total_revenue"))
+    return out
+
+
 def merge_by_key(existing: DataFrame | None, fresh: DataFrame, keys: list[str]) -> DataFrame:
     """M7: ``$merge`` / MERGE - matched rows replaced, new rows inserted,
     unmatched existing rows kept. Null-safe on the keys."""
@@ -182,10 +204,23 @@ def refresh_merged(storage: Storage, name: str, fresh: DataFrame, keys: list[str
 # Graph
 # ---------------------------------------------------------------------------
 
-def graph_monthly(g: Graph) -> DataFrame:
-    per_date = (hop(g, "ON_DATE").groupBy("dst")
-                .agg(F.sum("sales_amount").alias("r"), F.sum("profit_amount").alias("p"),
-                     F.count(F.lit(1)).alias("n")))
+def sums(prefix: str = "") -> list[Column]:
+    """The four sums that every summary is finished from, of the measures of rows."""
+    return [F.sum(f"{prefix}sales_amount").alias("r"), F.sum(f"{prefix}profit_amount").alias("p"),
+            F.sum(f"{prefix}quantity").alias("q"), F.count(F.lit(1)).alias("n")]
+
+
+def sums_of_sums() -> list[Column]:
+    return [F.sum(c).alias(c) for c in ("r", "p", "q", "n")]
+
+
+def per_end(g: Graph, etype: str) -> DataFrame:
+    """Sums per end of the sale edges ``etype``: dst, r, p, q, n. What isn't used is pruned."""
+    return hop(g, etype).groupBy("dst").agg(*sums())
+
+
+def graph_monthly(g: Graph, per_date: DataFrame | None = None) -> DataFrame:
+    per_date = per_end(g, "ON_DATE") if per_date is None else per_date
     im = g.edges["IN_MONTH"]
     per_month = (per_date.join(im, per_date.dst == im.src)
                  .groupBy(im.dst.alias("m"))
@@ -198,10 +233,8 @@ def graph_monthly(g: Graph) -> DataFrame:
                     "order_count"))
 
 
-def graph_category(g: Graph) -> DataFrame:
-    per_product = (hop(g, "OF_PRODUCT").groupBy("dst")
-                   .agg(F.sum("sales_amount").alias("r"), F.sum("profit_amount").alias("p"),
-                        F.sum("quantity").alias("q")))
+def graph_category(g: Graph, per_product: DataFrame | None = None) -> DataFrame:
+    per_product = per_end(g, "OF_PRODUCT") if per_product is None else per_product
     ic = g.edges["IN_CATEGORY"]
     return (per_product.join(ic, per_product.dst == ic.src)
             .groupBy(ic.dst.alias("category_name"))
@@ -209,25 +242,25 @@ def graph_category(g: Graph) -> DataFrame:
                  F.sum("q").alias("units_sold")))
 
 
-def graph_state(g: Graph) -> DataFrame:
-    per_state = (hop(g, "SHIPPED_TO").groupBy(F.col("dst").alias("state_name"))
-                 .agg(F.sum("sales_amount").alias("total_revenue"),
-                      F.sum("profit_amount").alias("total_profit")))
-    return (per_state.join(g.node("State"), "state_name")
+def graph_state(g: Graph, per_state: DataFrame | None = None) -> DataFrame:
+    per_state = per_end(g, "SHIPPED_TO") if per_state is None else per_state
+    totals = per_state.select(F.col("dst").alias("state_name"), F.col("r").alias("total_revenue"),
+                              F.col("p").alias("total_profit"))
+    return (totals.join(g.node("State"), "state_name")
             .select("state_name", "region", "total_revenue", "total_profit"))
 
 
-def graph_ship_mode(g: Graph) -> DataFrame:
-    s = (hop(g, "USES_SHIP_MODE").groupBy(F.col("dst").alias("ship_mode_name"))
-         .agg(F.sum("sales_amount").alias("total_revenue"),
-              F.sum("profit_amount").alias("total_profit")))
-    return s.withColumn("profit_ratio", _ratio_or_null("total_profit", "total_revenue"))
+def graph_ship_mode(g: Graph, per_mode: DataFrame | None = None) -> DataFrame:
+    per_mode = per_end(g, "USES_SHIP_MODE") if per_mode is None else per_mode
+    totals = per_mode.select(F.col("dst").alias("ship_mode_name"), F.col("r").alias("total_revenue"),
+                             F.col("p").alias("total_profit"))
+    return totals.withColumn("profit_ratio", _ratio_or_null("total_profit", "total_revenue"))
 
 
-def graph_customer(g: Graph) -> DataFrame:
-    return (hop(g, "BY_CUSTOMER").groupBy(F.col("dst").alias("customer_name"))
-            .agg(F.sum("sales_amount").alias("total_revenue"),
-                 F.count(F.lit(1)).alias("order_count")))
+def graph_customer(g: Graph, per_customer: DataFrame | None = None) -> DataFrame:
+    per_customer = per_end(g, "BY_CUSTOMER") if per_customer is None else per_customer
+    return per_customer.select(F.col("dst").alias("customer_name"), F.col("r").alias("total_revenue"),
+                               F.col("n").alias("order_count"))
 
 
 # summary label: (builder, node key columns, summarised label)

@@ -39,7 +39,7 @@ def _layout_question(layout: str, qname: str, fn) -> Builder:
 
 def _register_questions() -> None:
     sources = [
-        ("star", star_ops.QUESTIONS, oracle.STAR_SQL, ("star",)),
+        ("star", star_ops.QUESTIONS, oracle.STAR_SQL, ()),
         ("nested", nested_ops.QUESTIONS, oracle.NESTED_SQL, ()),
         ("graph", graph_ops.QUESTIONS, oracle.GRAPH_SQL, ("graph",)),
     ]

@@ -10,6 +10,13 @@ record, a sale node or a sale edge, and one part ``all`` for the small tables. A
 3. replaces exactly those parts (``partitionOverwriteMode=dynamic``) and removes the
    folders of parts that are left without rows.
 
+The ten summaries of the nested records and the graph (M7, M8) are kept with them as sums
+per part: one table per nested summary and one per sale edge, partitioned like the rows. A
+delete sums the rows that stay in the touched parts again and replaces these parts' sums
+before it replaces the rows, so a delete that died in between finds the same parts when it
+is run again. Reading a summary adds up the parts and never reads a sale; a group without
+rows is gone.
+
 Other parts keep their files. Rows are matched by key, so a delete that died is run
 again: parts already replaced have nothing left to go. Null keys match nothing, as in
 SQL. An emptied table stays readable: it always holds one file without rows.
@@ -18,17 +25,27 @@ SQL. An emptied table stays readable: it always holds one file without rows.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameWriter, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.customers import parse_sale_ids
 from ..operators.graph import EDGE_ENDS, NODE_KEYS, SALE_EDGE_DST, Graph
 from ..operators.star import DIMENSIONS, Star
+from ..operators.summaries import GRAPH_BUILDERS, finish_nested, NESTED_SUMMARIES, summarises_edges, sums, sums_of_sums
 from .storage import Storage
 
 PART = "_part"
+# The sale edge that each graph summary sums over first.
+SUMMARY_EDGES = {"MonthlyRevenue": "ON_DATE", "CategoryPerformance": "OF_PRODUCT", "StateProfit": "SHIPPED_TO",
+                 "ShipModeProfitability": "USES_SHIP_MODE", "CustomerRanking": "BY_CUSTOMER"}
+
+
+def _by_part(rows: DataFrame) -> DataFrameWriter:
+    """A writer of few files per part: rows meet by part first, and AQE splits the large ones again."""
+    return rows.hint("rebalance", PART).write.partitionBy(PART)
 
 
 class StoredLayouts:
@@ -54,14 +71,17 @@ class StoredLayouts:
             if name in SALE_EDGE_DST:
                 table = table.join(month, "src", "left")
             out._store(name, table.drop("_month"), F.col("_month") if name in SALE_EDGE_DST else None, table)
+        for name, table in {**out._nested_sums(out._table("nested")), **out._edge_sums()}.items():
+            _by_part(table).parquet(out.storage.path(name))
+            table.limit(0).coalesce(1).drop(PART).write.parquet(f"{out.storage.path(name)}/{PART}=none")
         return out
 
     def _store(self, name: str, shape: DataFrame, part: Column | None = None, table: DataFrame | None = None) -> None:
         path = self.storage.path(name)
         # The letter keeps a part's name from being read back as a number or date.
         label = F.lit("all") if part is None else F.concat(F.lit("m"), F.coalesce(part, F.lit("")))
-        (shape if table is None else table).withColumn(PART, label).select(*shape.columns, PART).write.mode(
-            "overwrite").partitionBy(PART).parquet(path)
+        _by_part((shape if table is None else table).withColumn(PART, label).select(*shape.columns, PART)).mode(
+            "overwrite").parquet(path)
         shape.limit(0).coalesce(1).write.parquet(f"{path}/{PART}=none")
 
     def _table(self, name: str) -> DataFrame:
@@ -85,33 +105,86 @@ class StoredLayouts:
         frame.write.parquet(path)
         return self.spark.read.parquet(path)
 
-    def _delete(self, name: str, keys: DataFrame, columns: list[str]) -> int:
+    def _touched(self, name: str, keys: DataFrame, on: Column) -> list[str]:
+        return [r[0] for r in self._table(name).join(keys, on, "left_semi").select(PART).distinct().collect()]
+
+    def _replace(self, name: str, rows: DataFrame, touched: list[str], then: Callable | None = None) -> None:
+        """Put ``rows`` in the place of the parts ``touched``; ``then`` sees them, written aside, before."""
+        columns, staged = self._table(name).columns, ("_staged", uuid.uuid4().hex)
+        # Not by part yet: AQE drops the observed counts with the plan below an exchange without rows.
+        rows.write.partitionBy(PART).parquet(self.storage.path(*staged))
+        left = {f.split("=", 1)[1] for f in self.storage.folders(*staged) if f.startswith(f"{PART}=")}
+        written = self.spark.read.parquet(self.storage.path(*staged)).select(*columns) if left else self._table(name).limit(0)
+        if then is not None:
+            then(written, touched)
+        if left:
+            (_by_part(written).mode("overwrite").option("partitionOverwriteMode", "dynamic")
+             .parquet(self.storage.path(name)))
+        for gone in set(touched) - left:
+            self.storage.delete(name, f"{PART}={gone}")
+        self.storage.delete(*staged)
+
+    def _delete(self, name: str, keys: DataFrame, columns: list[str], then: Callable | None = None) -> int:
         """Remove the rows whose ``columns`` equal a row of ``keys``; how many went."""
         table = self._table(name)
         keys = keys.toDF(*(f"_key{i}" for i in range(len(columns)))).distinct()
         on = reduce(lambda a, b: a & b, (F.col(c) == F.col(f"_key{i}") for i, c in enumerate(columns)))
-        touched = [r[0] for r in table.join(keys, on, "left_semi").select(PART).distinct().collect()]
+        touched = self._touched(name, keys, on)
         if not touched:
             return 0
         before, after = Observation(), Observation()
-        staged = ("_staged", uuid.uuid4().hex)
         part = table.where(F.col(PART).isin(touched)).observe(before, F.count(F.lit(1)).alias("n"))
-        (part.join(keys, on, "left_anti").observe(after, F.count(F.lit(1)).alias("n"))
-         .write.partitionBy(PART).parquet(self.storage.path(*staged)))
-        left = {f.split("=", 1)[1] for f in self.storage.folders(*staged) if f.startswith(f"{PART}=")}
-        if left:
-            (self.spark.read.parquet(self.storage.path(*staged)).select(*table.columns).write.mode("overwrite")
-             .option("partitionOverwriteMode", "dynamic").partitionBy(PART).parquet(self.storage.path(name)))
-        for gone in set(touched) - left:
-            self.storage.delete(name, f"{PART}={gone}")
-        self.storage.delete(*staged)
+        self._replace(name, part.join(keys, on, "left_anti").observe(after, F.count(F.lit(1)).alias("n")), touched, then)
         return before.get["n"] - after.get["n"]
 
+    # -- summaries ---------------------------------------------------------
+    def _nested_sums(self, records: DataFrame) -> dict[str, DataFrame]:
+        """Table name -> sums of ``records`` per part and group of each nested summary."""
+        return {f"sums_{name}": records.groupBy(PART, *(F.col(c).alias(k) for k, c in keys.items())).agg(
+            *sums(), F.min("date.month_name").alias("month_name")) for name, keys in NESTED_SUMMARIES.items()}
+
+    def _edge_sums(self, ids: DataFrame | None = None, touched: list[str] | None = None) -> dict[str, DataFrame]:
+        """Table name -> sums per part and end of each sale edge; without the sales ``ids``, of the parts ``touched``."""
+        sale, out = self._table("Sale").drop(PART), {}
+        if touched is not None:
+            sale = self._table("Sale").where(F.col(PART).isin(touched)).drop(PART).join(ids, "sales_fact_id", "left_anti")
+        for name in SUMMARY_EDGES.values():
+            edges = self._table(name)
+            if touched is not None:
+                edges = edges.where(F.col(PART).isin(touched))
+            out[f"sums_{name}"] = edges.join(sale, edges.src == sale.sales_fact_id).groupBy(PART, "dst").agg(*sums())
+        return out
+
+    def _refresh_nested(self, left: DataFrame, touched: list[str]) -> None:
+        for name, table in self._nested_sums(left).items():
+            self._replace(name, table, touched)
+
+    def nested_summaries(self) -> dict[str, DataFrame]:
+        """M7: the five summaries of the records that are stored."""
+        return {name: finish_nested(name, self._table(f"sums_{name}").groupBy(*keys).agg(
+            *sums_of_sums(), F.min("month_name").alias("month_name"))) for name, keys in NESTED_SUMMARIES.items()}
+
+    def graph_summaries(self) -> dict[str, DataFrame]:
+        """M7: the five summaries of the sales that the stored graph holds; later hops go over its small tables."""
+        graph = self.graph()
+        return {label: build(graph, self._table(f"sums_{SUMMARY_EDGES[label]}").groupBy("dst").agg(*sums_of_sums()))
+                for label, (build, _, _) in GRAPH_BUILDERS.items()}
+
+    def summarises(self) -> dict[str, DataFrame]:
+        """M8: the SUMMARISES edges of each graph summary; src and dst are the shared key."""
+        return {label: summarises_edges(table, GRAPH_BUILDERS[label][1]) for label, table in self.graph_summaries().items()}
+
+    # -- counting ----------------------------------------------------------
     def _counts(self, counts: dict[tuple[str, str], int]) -> DataFrame:
         return self.spark.createDataFrame([(*k, v) for k, v in counts.items()], "layout string, metric string, value long")
 
     def _delete_sales(self, ids: DataFrame) -> int:
-        """DETACH DELETE of sale nodes: the edges go first, so a delete that died still finds the nodes."""
+        """DETACH DELETE of sale nodes: sums and edges go first, so a delete that died still finds the nodes."""
+        ids = ids.toDF("sales_fact_id").distinct()
+        touched = self._touched("Sale", ids.toDF("_key0"), F.col("sales_fact_id") == F.col("_key0"))
+        if touched:
+            for name, table in self._edge_sums(ids, touched).items():
+                self._replace(name, table, touched)
         for name in SALE_EDGE_DST:
             self._delete(name, ids, ["src"])
         return self._delete("Sale", ids, ["sales_fact_id"])
@@ -126,7 +199,7 @@ class StoredLayouts:
         return self._counts({
             ("star", "deleted_facts"): self._delete("fact_sales", who, ["customer_key"]),
             ("star", "deleted_customers"): self._delete("dim_customer", who, ["customer_key"]),
-            ("nested", "deleted_count"): self._delete("nested", names, ["customer.customer_name"]),
+            ("nested", "deleted_count"): self._delete("nested", names, ["customer.customer_name"], self._refresh_nested),
             ("graph", "deleted_sales"): self._delete_sales(sales),
             ("graph", "deleted_customers"): self._delete("Customer", names, ["customer_name"])})
 
@@ -137,7 +210,7 @@ class StoredLayouts:
         every = parsed.select("sales_fact_id")
         counts = self._counts({
             ("star", "deleted_count"): self._delete("fact_sales", keys, ["order_id", "line_no"]),
-            ("nested", "deleted_count"): self._delete("nested", every, ["sales_fact_id"]),
+            ("nested", "deleted_count"): self._delete("nested", every, ["sales_fact_id"], self._refresh_nested),
             ("graph", "deleted_count"): self._delete_sales(every)})
         return counts, parsed.where(~F.col("parsed")).select("sales_fact_id")
 
