@@ -119,3 +119,20 @@ def test_a_delete_that_died_after_the_sums_is_run_again(spark, storage, tmp_path
     assert graph.nodes["Sale"].where("sales_fact_id = 'O1-0'").count() == 0
     assert _values(again.graph_summaries()) == _values(
         {name: build(graph) for name, (build, _, _) in summaries.GRAPH_BUILDERS.items()})
+
+
+def test_graph_delete_finds_parts_once_and_repeated_nodes_multiply_no_edge(spark, storage, tmp_path, monkeypatch):
+    sales = sales_frame(spark, ROWS)
+    graph = graph_ops.build_graph(sales, storage, "graph")
+    twice = graph_ops.Graph({**graph.nodes, "Sale": graph.nodes["Sale"].union(graph.nodes["Sale"])}, graph.edges, {})
+    stored = StoredLayouts.create(spark, str(tmp_path / "stored"), star_ops.build_star(sales, storage, "star"),
+                                  nested_ops.build_nested(sales, storage, "nested"), twice)
+    sought, look = [], StoredLayouts._touched
+    monkeypatch.setattr(StoredLayouts, "_touched", lambda self, name, *a: sought.append(name) or look(self, name, *a))
+    counts, _ = stored.delete_lines(spark.createDataFrame([("O1-0",)], "sales_fact_id string"))
+    assert sought == ["fact_sales", "nested", "Sale"]
+    assert {r.layout: r.value for r in counts.collect()} == {"star": 1, "nested": 1, "graph": 2}
+    left = stored.graph()
+    assert all(left.edges[name].count() == 4 for name in graph_ops.SALE_EDGE_DST) and left.nodes["Sale"].count() == 8
+    assert _values(stored.graph_summaries()) == _values(
+        {name: build(left) for name, (build, _, _) in summaries.GRAPH_BUILDERS.items()})
