@@ -90,3 +90,17 @@ def test_plan_does_not_grow_with_the_partitions(spark, storage):
         df, _ = number_rows(spark.range(5000), ["id"], "n", storage, f"t10-{n}", num_partitions=n)
         return len(df._jdf.queryExecution().optimizedPlan().toString())
     assert abs(plan(2) - plan(300)) < 40
+
+
+def test_partitions_follow_the_input_not_only_the_setting(spark):
+    from shopfloor.functions.joins import INITIAL_PARTITIONS, partitions_for, size_shuffles
+    floor = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    before = spark.conf.get(INITIAL_PARTITIONS, None)
+    try:
+        size_shuffles(spark, 1 << 30)
+        assert spark.conf.get(INITIAL_PARTITIONS) == "128" and partitions_for(spark, 1 << 31) == 256
+        # Sized anew for each input, down to the session's own number.
+        size_shuffles(spark, 1)
+        assert partitions_for(spark, 1) == floor
+    finally:
+        spark.conf.unset(INITIAL_PARTITIONS) if before is None else spark.conf.set(INITIAL_PARTITIONS, before)
