@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import plain
+from ..functions.joins import partitions_for
 from ..operators import graph as graph_ops
 from ..operators import ingest
 from ..operators import nested as nested_ops
@@ -36,7 +37,8 @@ def ingest_layouts(spark: SparkSession, sf_dir: str) -> dict:
         wh.memo["ingest"] = {
             "base": base,
             "events": events,
-            "star": ingest.upsert_star(base.star(), events, base.storage),
+            "star": ingest.upsert_star(base.star(), events, base.storage,
+                                       partitions_for(spark, wh._staging_bytes())),
             "nested": ingest.upsert_nested(base.nested(), events),
             "graph": ingest.merge_graph(base.graph(), events, on_match=True),
             "graph_batch": ingest.merge_graph(base.graph(), events, on_match=False),
