@@ -36,6 +36,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -88,19 +89,24 @@ WALK_SEEDS, PLACES = _draws(11)
 
 
 def walk_keys(flat: np.ndarray, starts: np.ndarray, m: int, first: int, last: int) -> np.ndarray:
-    """LSH keys (one column for each sample of the walks from ``first``) of the windows of ``m`` symbols at ``starts``."""
-    out = np.zeros((len(starts), (last - first) * SAMPLES), np.uint64)
-    for walk in range(first, last):
-        place = np.floor(PLACES[walk] * (2 * m)).astype(np.int64)
-        pointer = np.zeros(len(starts), np.int64)
-        for step in range(int(place.max()) + 1):
-            inside = pointer < m
-            symbol = np.where(inside, flat[starts + np.minimum(pointer, m - 1)], -1).astype(np.uint64)
-            for sample, bit in zip(*np.nonzero(place == step), strict=True):
-                out[:, (walk - first) * SAMPLES + sample] += _scatter(symbol + np.uint64(1), 977 * bit + 13)
-            draw = _scatter(symbol + np.uint64(step << 32), int(WALK_SEEDS[walk]))
-            pointer += (inside & ((draw >> np.uint64(60)) & np.uint64(1)).astype(bool))
-    return out
+    """LSH keys (one column for each sample of the walks from ``first``) of the windows of ``m`` symbols at ``starts``.
+
+    All walks take a step together, so that short lists of windows don't pay for numpy's calls walk by walk."""
+    out = np.zeros(((last - first) * SAMPLES, len(starts)), np.uint64)
+    place = np.floor(PLACES[first:last] * (2 * m)).astype(np.int64)
+    seeds = np.array([int(s) for s in WALK_SEEDS[first:last]], np.uint64)[:, None]
+    pointer = np.zeros((last - first, len(starts)), np.int64)
+    for step in range(int(place.max(initial=-1)) + 1):
+        inside = pointer < m
+        symbol = np.where(inside, flat[starts + np.minimum(pointer, m - 1)], -1).astype(np.uint64)
+        walk, sample, bit = np.nonzero(place == step)
+        if len(walk):
+            drawn = _scatter(symbol[walk] + np.uint64(1), (977 * bit + 13)[:, None])
+            for row, key in zip((walk * SAMPLES + sample).tolist(), drawn, strict=True):
+                out[row] += key
+        draw = _scatter(symbol + np.uint64(step << 32), seeds)
+        pointer += (inside & ((draw >> np.uint64(60)) & np.uint64(1)).astype(bool))
+    return out.T
 
 
 def _trial(rng: np.random.Generator, item: np.ndarray, edits: int, mixed: bool) -> np.ndarray:
@@ -249,7 +255,7 @@ class Items:
         at = gap
         for text in texts:
             got = words(text)
-            parts += [np.zeros(gap, np.int64), np.fromiter((code(x, 0) for x in got), np.int64, len(got))]
+            parts += [np.zeros(gap, np.int64), np.fromiter(map(code, got, repeat(0)), np.int64, len(got))]
             first.append(at)
             ends.append(at + len(got))
             at += len(got) + gap
