@@ -26,9 +26,15 @@ are joined as follows.
    components; the first pivot is the class with the fewest shingles of its own, which
    is the original where others are its changed copies. After that only pairs of classes
    that are still in different components are candidates, and groups inside one component
-   are gone. All candidates are verified on the whole texts, and every pair that could
-   join two components is among them, so no link is lost: the components are those of
-   the full join.
+   are gone, and each of those classes brings ``SKETCH`` words of 64 bits, in which every shingle
+   of its set turns one bit over. Bits that differ are at most the shingles that only one set has,
+   so the join drops pairs with more of them than a link allows (changed copies that don't link
+   with each other), and no other. All candidates are verified on the whole texts, and every
+   pair that could join two components is among them, so no link is lost: the components are
+   those of the full join.
+
+The texts of classes that can be in a pair are written once, in buckets of their class; the
+verifying joins move the pairs to them, and only the text of a pair's one side moves.
 
 Null and empty texts, and texts without words, have an empty set and link with
 nothing (their own component). Rows are told apart by id and text together, and
@@ -46,11 +52,12 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.joins import INITIAL_PARTITIONS
+from ..plans.storage import LARGE_CODEC, Storage
 from ..session import shared_dir
 from .arrow import text_chunks, utf8
 from .components import components
@@ -60,6 +67,9 @@ CELL_BITS, BLOCKS, FAN_IN = 22, 64, 64
 MAX_MATCHES = 8
 ROW, SET = ["row_id", "row_hash"], ["n", "f1", "f2"]
 ROUNDS = 2
+# Words of a class's sketch, and bytes of text whose sets a task makes at a time (some thirty times that in numbers).
+SKETCH, SET_BYTES = 4, 1 << 19
+SKETCHES = [f"s{i}" for i in range(SKETCH)]
 
 
 def _needed(n, percent: int):
@@ -89,7 +99,7 @@ def _signatures(docs: DataFrame, k: int) -> DataFrame:
     """Key and doc_id of every row, n (set size) and a 128-bit fingerprint of the set."""
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_chunks(batch):
+            for part in text_chunks(batch, limit=SET_BYTES):
                 sets = shingle_sets(*utf8(part.column("text")), k)
                 prints = [np.array([mix(s ^ np.uint64(salt)).sum() for s in sets], np.uint64).view(np.int64)
                           for salt in (0x5851F42D4C957F2D, 0x14057B7EF767814F)]
@@ -118,6 +128,11 @@ def _coded(counts: np.ndarray) -> np.ndarray:
     return (np.searchsorted(_VALUE, counts, side="right") - 1).astype(np.uint8)
 
 
+def _tasks(docs: DataFrame) -> int:
+    """How many tasks read ``docs``."""
+    return (docs.select(F.spark_partition_id().alias("part")).agg(F.max("part")).first()[0] or 0) + 1
+
+
 def _frequencies(docs: DataFrame, k: int) -> np.ndarray:
     """Coded number of shingles of each hash cell, over the sets of all documents.
 
@@ -128,7 +143,7 @@ def _frequencies(docs: DataFrame, k: int) -> np.ndarray:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << CELL_BITS, np.int32)
         for batch in batches:
-            for part in text_chunks(batch):
+            for part in text_chunks(batch, limit=SET_BYTES):
                 for s in shingle_sets(*utf8(part.column("text")), k):
                     np.add.at(total, _cells(s), 1)
         codes = _coded(total)
@@ -142,7 +157,7 @@ def _frequencies(docs: DataFrame, k: int) -> np.ndarray:
         return pa.table({"block": [key[0].as_py()], "part": [key[1].as_py()], "codes": pa.array([_coded(total).tobytes()], pa.binary())})
 
     schema = "block long, part long, codes binary"
-    parts = (docs.select(F.spark_partition_id().alias("part")).agg(F.max("part")).first()[0] or 0) + 1
+    parts = _tasks(docs)
     tables = _rows(docs).select("text").mapInArrow(task, schema)
     while parts:
         parts = 0 if parts <= FAN_IN else -(-parts // FAN_IN)
@@ -154,46 +169,60 @@ def _frequencies(docs: DataFrame, k: int) -> np.ndarray:
     return out
 
 
+def _sketch(hashes: np.ndarray) -> np.ndarray:
+    """``SKETCH`` words of 64 bits; each shingle turns over the one that its lowest bits name."""
+    turned = np.bincount((hashes % np.uint64(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(turned.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def _heads(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Key, n and the longest prefix that a document may choose, of every row."""
+    """Key, n, sketch and the longest prefix that a document may choose, of every row."""
     often = docs.sparkSession.sparkContext.broadcast(_frequencies(docs, k))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_chunks(batch):
+            for part in text_chunks(batch, limit=SET_BYTES):
                 sets = shingle_sets(*utf8(part.column("text")), k)
                 heads = [s[np.argsort(often.value[_cells(s)], kind="stable")[
                     :len(s) - _needed(len(s), percent) + _matches(len(s), percent)]] for s in sets]
+                sketches = np.array([_sketch(s) for s in sets], np.int64).reshape(-1, SKETCH)
                 yield pa.RecordBatch.from_arrays(
-                    [*map(part.column, ROW), pa.array([len(s) for s in sets], pa.int64()), _listed(heads)],
-                    names=[*ROW, "n", "head"])
+                    [*map(part.column, ROW), pa.array([len(s) for s in sets], pa.int64()),
+                     *map(pa.array, np.ascontiguousarray(sketches.T)), _listed(heads)], names=[*ROW, "n", *SKETCHES, "head"])
 
-    return _rows(docs).mapInArrow(task, "row_id long, row_hash long, n long, head array<long>")
+    return _rows(docs).mapInArrow(
+        task, f"row_id long, row_hash long, n long, {', '.join(f'{s} long' for s in SKETCHES)}, head array<long>")
 
 
 def _adaptive(percent: int):
     """Chooses l for each class and returns the shared shingles of its prefix."""
-    def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out: list[tuple] = []
-            for cls, n, shared in zip(frame.cls, frame.n, frame.shared, strict=True):
-                shared = sorted(shared, key=lambda s: s["pos"])
-                token = np.array([s["token"] for s in shared], np.int64)
-                place = np.array([s["pos"] for s in shared], np.int64)
-                count = np.array([s["classes"] for s in shared], np.int64)
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            classes, sizes, shared = (batch.column(c) for c in ("cls", "n", "shared"))
+            ends = shared.offsets.to_numpy().astype(np.int64)
+            tokens, places, counts = (shared.values.field(c).to_numpy() for c in ("token", "pos", "classes"))
+            chosen, kept = [np.empty(0, np.int64)], []
+            for row, n in enumerate(sizes.to_pylist()):
+                order = ends[row] + np.argsort(places[ends[row]:ends[row + 1]], kind="stable")
+                place, met_before = places[order], np.concatenate([[0], np.cumsum(counts[order] - 1)])
                 best = None
                 for matches in range(1, _matches(n, percent) + 1):
                     length = int(np.searchsorted(place, n - _needed(n, percent) + matches))
-                    met = int((count[:length] - 1).sum())
+                    met = int(met_before[length])
                     cost = met + n * met / matches ** 2
                     if best is None or cost < best[0]:
                         best = (cost, matches, length)
                     if not met:
                         best = (0, matches, 0)
                         break
-                out += [(cls, n, best[1], t, p, r) for r, (t, p) in enumerate(
-                    zip(token[:best[2]].tolist(), place.tolist()), 1)]
-            yield pd.DataFrame(out, columns=["cls", "n", "matches", "token", "pos", "rank"]).astype("int64")
+                chosen.append(order[:best[2]])
+                kept.append(best[1:])
+            at, matches, length = np.concatenate(chosen), *np.array(kept, np.int64).reshape(-1, 2).T
+            rank = np.arange(1, len(at) + 1) - np.repeat(np.cumsum(length) - length, length)
+            yield pa.RecordBatch.from_arrays(
+                [*(pa.array(np.repeat(x, length)) for x in (classes.to_numpy(), sizes.to_numpy(), matches)),
+                 pa.array(tokens[at]), pa.array(places[at].astype(np.int64)), pa.array(rank.astype(np.int64))],
+                names=["cls", "n", "matches", "token", "pos", "rank"])
 
     return task
 
@@ -205,8 +234,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
     """
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_chunks(batch, "ta"):
-                for piece in text_chunks(part, "tb"):
+            for part in text_chunks(batch, "ta", SET_BYTES):
+                for piece in text_chunks(part, "tb", SET_BYTES):
                     left, right = (shingle_sets(*utf8(piece.column(c)), k) for c in ("ta", "tb"))
                     common = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(left, right, strict=True)], np.int64)
                     size = np.array([len(x) + len(y) for x, y in zip(left, right, strict=True)], np.int64)
@@ -226,9 +255,13 @@ def _joined_classes(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, D
 
     def written(frame: DataFrame, name: str) -> DataFrame:
         # A written table cuts lineage, and Spark knows its size.
-        frame.write.parquet(f"{folder}/{name}")
+        frame.write.option("compression", LARGE_CODEC).parquet(f"{folder}/{name}")
         return spark.read.parquet(f"{folder}/{name}")
 
+    # As many buckets as shuffles have partitions at least, or joins would move the texts and not the pairs.
+    least = spark.conf.get(INITIAL_PARTITIONS, None) or spark.conf.get("spark.sql.shuffle.partitions")
+    store, buckets = Storage(spark, folder), max(int(least), _tasks(docs))
+
     signed = written(_signatures(docs, k), "signed")
     # Rows with an id come before those without.
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", *ROW)).alias("first")
@@ -236,17 +269,20 @@ def _joined_classes(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, D
                       .withColumn("cls", F.monotonically_increasing_id()), "classes")
 
     heads = (_heads(docs, k, percent).where("n > 0").join(classes.select(*ROW, "cls"), ROW).dropDuplicates(ROW))
-    rows = written(heads.select("cls", "n", F.posexplode("head").alias("pos", "token")), "heads")
+    heads = written(heads.select("cls", "n", *SKETCHES, "head"), "heads")
+    rows = heads.select("cls", "n", F.posexplode("head").alias("pos", "token"))
     # Counts are summed before the shuffle, and the join back may be split where one shingle is in very many classes.
     often = rows.groupBy("token").agg(F.count("*").alias("classes")).where("classes > 1")
     shared = rows.join(often, "token").groupBy("cls", "n").agg(
         F.collect_list(F.struct("token", "pos", "classes")).alias("shared"))
-    prefix = written(shared.mapInPandas(
+    prefix = written(shared.mapInArrow(
         _adaptive(percent), "cls long, n long, matches long, token long, pos long, rank long"), "prefix")
 
     # At a token that both hold, at most the lesser rank of it is common so far, and at most the shorter rest after it.
     reach = (f"(least(rank, prank) + least(n - pos, pn - ppos) - 1) * {100 + percent} >= {percent} * (n + pn)")
     partner = ["cls", "n", "matches", "pos", "rank", "comp"]
+    # What only one of two linked sets has: both sizes less twice the least overlap.
+    differ = f"{' + '.join(f'bit_count({s} ^ p{s})' for s in SKETCHES)} <= n + pn - 2 * (({percent} * (n + pn) + {99 + percent}) div {100 + percent})"
     state, links, texts = prefix.withColumn("comp", F.col("cls")), None, None
     comps = spark.createDataFrame([], "cls long, root long")
     for step in range(ROUNDS + 1):
@@ -259,9 +295,10 @@ def _joined_classes(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, D
             met = state.join(pivots, "token").where("comp <> pcomp")
         else:
             mixed = state.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
-            open_rows = state.join(mixed.select("token"), "token", "left_semi")
-            others = open_rows.select("token", *(F.col(c).alias(f"p{c}") for c in partner))
-            met = open_rows.join(others, "token").where("cls < pcls AND comp <> pcomp")
+            open_rows = state.join(mixed.select("token"), "token", "left_semi").join(heads.select("cls", *SKETCHES), "cls")
+            open_rows = written(open_rows.select("token", *partner, *SKETCHES), "open")
+            others = open_rows.select("token", *(F.col(c).alias(f"p{c}") for c in [*partner, *SKETCHES]))
+            met = open_rows.join(others, "token").where("cls < pcls AND comp <> pcomp").where(differ)
         pairs = (met.where(reach).groupBy(F.col("pcls").alias("a"), F.col("cls").alias("b"), F.least("matches", "pmatches").alias("least"))
                  .agg(F.count("*").alias("met")).where("met >= least"))
         if step < ROUNDS:
@@ -272,7 +309,8 @@ def _joined_classes(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, D
             continue
         if texts is None:
             able = prefix.select("cls").distinct().join(classes.select("cls", *ROW), "cls")
-            texts = written(_rows(docs).join(able, ROW).dropDuplicates(ROW).select("cls", "text"), "texts")
+            moved = _rows(docs).join(able, ROW).select("cls", "text").repartition(buckets, "cls")
+            texts = store.write_bucketed(moved.dropDuplicates(["cls"]), "cls", buckets, "texts", partitioned=True)
         found = written(_verified(pairs, texts, k, percent), f"links-{step}")
         if found.isEmpty():
             continue

@@ -37,7 +37,7 @@ _POWERS: dict[str, np.ndarray] = {}
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POWERS.get("up", ())) < n + 1:
-        size = max(n + 1, 1 << 22)
+        size = max(1 << n.bit_length(), 1 << 20)  # over n; a power of two, so that it is seldom made again
         for name, base in (("up", BASE), ("down", pow(BASE, -1, 1 << 64))):
             steps = np.full(size, base, np.uint64)
             steps[0] = 1

@@ -123,3 +123,45 @@ def test_frequencies_are_those_of_all_tasks(spark, monkeypatch):
         np.add.at(want, jaccard_join._cells(s), 1)
     got = jaccard_join._VALUE[jaccard_join._frequencies(docs, 3)]
     assert ((got == 0) == (want == 0)).all() and (got <= want).all() and (got >= 0.6 * want).all()
+
+
+def test_copies_that_do_not_link_are_no_candidates(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join.uuid, "uuid4", lambda: type("Id", (), {"hex": "copies-apart"}))
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(80):
+        words = [f"c{j}" for j in range(150)]
+        for j in rng.choice(np.arange(5, 145, 5), 4, replace=False):
+            words[j] = f"own{i}x{j}"
+        rows.append((i, " ".join(words), "en", "x"))
+    assert got(spark, rows, 3, 90) == brute(rows, 3, 90) == [(i, 148, i) for i in range(80)]
+    folder = f"{jaccard_join.shared_dir(spark)}/jaccard-join-copies-apart"
+    # Each copy has a pivot it does not link to, which is all that is left of the 3,160 pairs.
+    assert spark.read.parquet(f"{folder}/pairs-{jaccard_join.ROUNDS}").count() < 160
+
+
+def test_sketches_differ_by_no_more_bits_than_the_sets_do():
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        sets = [rng.integers(0, 1 << 63, n, np.uint64) for n in rng.integers(1, 400, 3)]
+        x, y = np.concatenate(sets[:2]), np.concatenate(sets[1:])
+        bits = sum(int(b).bit_count() for b in (jaccard_join._sketch(x) ^ jaccard_join._sketch(y)).view(np.uint64))
+        assert bits <= len(sets[0]) + len(sets[2])
+    assert not (jaccard_join._sketch(x) ^ jaccard_join._sketch(x[::-1])).any()
+
+
+def test_texts_stay_where_they_are_when_pairs_are_verified(spark, tmp_path):
+    texts = spark.createDataFrame([(i, BASE + f" t{i // 2}") for i in range(20)], "cls long, text string")
+    store = jaccard_join.Storage(spark, str(tmp_path))
+    kept = store.write_bucketed(texts.repartition(8, "cls"), "cls", 8, "texts", partitioned=True)
+    pairs = spark.createDataFrame([(2 * i, 2 * i + 1) for i in range(10)], "a long, b long")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = jaccard_join._verified(pairs, kept, 3, 90)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(tuple, found.collect())) == [(2 * i, 2 * i + 1) for i in range(10)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    # The pairs move to each side's texts, with the first side's text the second time.
+    assert plan.count("Exchange") == 2 and plan.count("Bucketed: true") == 2
