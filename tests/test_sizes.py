@@ -1,7 +1,9 @@
 """What grows with the order lines in the graph: aggregations that sort, size of the files."""
 import glob
+import time
 
 from conftest import sales_frame
+from shopfloor.operators import customers
 from shopfloor.operators import graph as graph_ops
 
 ROWS = [
@@ -30,3 +32,43 @@ def test_sale_tables_are_compressed_small_ones_keep_the_broadcast_bound(spark, s
         files = glob.glob(storage.path("g", part, "*.parquet"))
         assert files and all(f.endswith(".zstd.parquet") for f in files)
     assert glob.glob(storage.path("g", "nodes", "State", "*.snappy.parquet"))
+
+
+def _scratch_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {files.apply(i).getName() for i in range(files.size())}
+
+
+def test_a_graph_build_leaves_no_shuffle_or_cached_files(spark, storage):
+    before = _scratch_files(spark)
+    graph = graph_ops.build_graph(sales_frame(spark, ROWS), storage, "g", unique_sales=True, buckets=3)
+    for _ in range(50):  # files go in the background
+        left = _scratch_files(spark) - before
+        if not left:
+            break
+        time.sleep(0.2)
+    assert not left
+    assert storage.folders("g") == ["edges", "nodes"]
+    for etype, column in graph_ops.SALE_EDGE_DST.items():
+        files = glob.glob(storage.path("g", "edges", etype, "*.parquet"))
+        assert len({f.split("_")[-1] for f in files}) == len(files)  # one file per bucket
+        rows = sorted((str(r.src), str(r.dst)) for r in graph.edges[etype].collect())
+        assert rows == sorted((str(r[0]), str(r[1])) for r in sales_frame(spark, ROWS).select("sales_fact_id", column).collect())
+
+
+def test_a_frame_can_be_collected_again_after_its_shuffle_went(spark):
+    rows = spark.range(1000).repartition(7).groupBy("id").count().where("id < 5")
+    assert len(rows.collect()) == 5
+    time.sleep(1)
+    assert len(rows.collect()) == 5
+
+
+def test_a_small_request_does_not_shuffle_the_edges_of_all_customers(spark, storage):
+    graph = graph_ops.build_graph(sales_frame(spark, ROWS), storage, "g", unique_sales=True, buckets=3)
+    names = spark.createDataFrame([("Ann",), ("Nobody",), (None,), ("Ann",)], "customer_name string").limit(4)
+    left, counts = customers.delete_customers_graph(graph, names)
+    assert {r.src for r in left.edges["OF_PRODUCT"].collect()} == {"O1-1", "O2-3"} and counts.first().value == 2
+    plan = left.edges["OF_PRODUCT"]._jdf.queryExecution().optimizedPlan().toString()
+    semi = [x for x in plan.splitlines() if "Join LeftSemi" in x]
+    assert len(semi) == 2 and "customer_name" in semi[0] and plan.index("Aggregate") < plan.index("Join LeftSemi")
+    assert "GlobalLimit" in plan[plan.index(semi[1]):]  # the request meets the edges first, the nodes what is left of them
