@@ -3,11 +3,13 @@ import os
 
 import pytest
 from conftest import sales_frame
+from shopfloor.functions import joins
 from shopfloor.operators import graph as graph_ops
 from shopfloor.operators import nested as nested_ops
 from shopfloor.operators import star as star_ops
 from shopfloor.operators import summaries
-from shopfloor.plans.maintenance import StoredLayouts
+from shopfloor.plans.maintenance import LINE_TABLES, StoredLayouts
+from shopfloor.session import settings
 
 ROWS = [("O1", 0, "2017-01-02", "First", "Ann", "Oslo", "North", "Phone", "Tech", 100, 1, 10),
         ("O1", 1, "2017-01-02", "First", "Ann", "Oslo", "North", "Desk", "Furn", 30, 1, 3),
@@ -136,3 +138,44 @@ def test_graph_delete_finds_parts_once_and_repeated_nodes_multiply_no_edge(spark
     assert all(left.edges[name].count() == 4 for name in graph_ops.SALE_EDGE_DST) and left.nodes["Sale"].count() == 8
     assert _values(stored.graph_summaries()) == _values(
         {name: build(left) for name, (build, _, _) in summaries.GRAPH_BUILDERS.items()})
+
+
+def _plans(monkeypatch):
+    """Table -> plan of the rows that replace its parts, as it is when they are written."""
+    plans, put = {}, StoredLayouts._replace
+
+    def look(self, name, rows, touched, then=None):
+        plans[name] = rows._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        put(self, name, rows, touched, then)
+
+    monkeypatch.setattr(StoredLayouts, "_replace", look)
+    return plans
+
+
+def test_many_keys_meet_the_rows_in_the_shuffle_that_brings_parts_together(spark, storage, tmp_path, monkeypatch):
+    stored = _stored(spark, storage, tmp_path)
+    monkeypatch.setattr(joins, "BROADCAST_MAX_BYTES", 0)
+    plans = _plans(monkeypatch)
+    ids = spark.createDataFrame([("O1-1",), ("O1-0",), ("O1-0",), ("O3-3",), ("O9-9",)], "sales_fact_id string")
+    with settings(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1"}):
+        counts, _ = stored.delete_lines(ids)
+    assert {r.layout: r.value for r in counts.collect()} == {"star": 3, "nested": 3, "graph": 3}
+    again = StoredLayouts(spark, stored.root)
+    assert all(left == {"O2-2", "O4-4"} for left in _sale_ids(again))
+    for name in LINE_TABLES:
+        shuffles = [x for x in plans[name].splitlines() if "Exchange hashpartitioning(" in x]
+        # Rows once, and the keys (the sales' state is bucketed for the edges).
+        assert len(shuffles) == (1 if name in graph_ops.SALE_EDGE_DST else 2), plans[name]
+        assert all("_slot" in x for x in shuffles)
+    nested, graph = again.nested(), again.graph()
+    assert _values(again.nested_summaries()) == _values({name: build(nested) for name, (build, _) in summaries.NESTED_BUILDERS.items()})
+    assert _values(again.graph_summaries()) == _values({name: build(graph) for name, (build, _, _) in summaries.GRAPH_BUILDERS.items()})
+    assert all(f.endswith(".zstd.parquet") for name in LINE_TABLES for f in _files(again, name) if "_part=none" not in f)
+
+
+def test_few_keys_move_no_rows(spark, storage, tmp_path, monkeypatch):
+    stored = _stored(spark, storage, tmp_path)
+    plans = _plans(monkeypatch)
+    counts = stored.delete_customers(spark.createDataFrame([("Ann",)], "customer_name string"))
+    assert ("graph", "deleted_sales", 3) in {tuple(r) for r in counts.collect()}
+    assert all("Exchange hashpartitioning(" not in plans[name] for name in ("fact_sales", "nested", "Sale"))
